@@ -124,7 +124,7 @@ cust_dirty AS (
     ) FROM cust_feat
   ),
   d2 AS (
-    SELECT *, CASE WHEN cust_id % 37 = 0 THEN 'n/a' ELSE printf('%.4f', rev_Mean) END AS rev_text FROM d
+    SELECT *, CASE WHEN cust_id % 37 = 0 THEN 'n/a' ELSE printf('%.6f', rev_Mean) END AS rev_text FROM d
   )
   SELECT * FROM d2 UNION ALL SELECT * FROM d2 WHERE cust_id % 50 = 0
 )"""
@@ -163,7 +163,18 @@ scored AS (
   FROM cust_feat
 )"""
 
+CUST_CLEAN = """
+cust_clean AS (
+  SELECT * REPLACE (
+    CASE WHEN prizm_social_one IN ('NULL','null','NaN','missing','-') THEN NULL ELSE prizm_social_one END
+      AS prizm_social_one,
+    CASE WHEN crclscod IN ('NULL','null','NaN','missing','-') THEN NULL ELSE crclscod END AS crclscod,
+    CASE WHEN rev_text IN ('NULL','null','NaN','missing','-') THEN NULL ELSE rev_text END AS rev_text)
+  FROM cust_dirty
+)"""
+
 _VIEWS = {
+    "cust_clean": (CUST_CLEAN, ("cust_dirty",)),
     "cust_feat": (CUST_FEAT, ()),
     "cust_dirty": (CUST_DIRTY, ("cust_feat",)),
     "cust_split": (CUST_SPLIT, ("cust_feat",)),
@@ -186,4 +197,9 @@ def with_views(body: str, *names: str, extra: str | None = None) -> str:
     ctes = [_VIEWS[n][0].strip() for n in order]
     if extra:
         ctes.append(extra.strip())
-    return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        # merge the body's own CTE list into ours
+        ctes.append(body[5:].lstrip())
+        return "WITH " + ",\n".join(ctes)
+    return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -220,7 +220,9 @@ def cust_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         "crclscod": _rule(F.col("crclscod"), (23, "null"), (29, "NaN"), (31, None)).cast("string"),
     }
     cols = [replaced.get(c, F.col(c)).alias(c) for c in feat.columns]
-    rev_text = F.when(ck % 37 == 0, F.lit("n/a")).otherwise(F.format_string("%.4f", rev)).alias("rev_text")
+    rev_text = (
+        F.when(ck % 37 == 0, F.lit("n/a")).when(rev.isNotNull(), F.format_string("%.6f", rev)).alias("rev_text")
+    )
     dirty = feat.select(*cols, rev_text)
     return dirty.unionByName(dirty.where(ck % 50 == 0))
 
@@ -244,3 +246,10 @@ def scored(spark: SparkSession, sf_dir: str, feat: DataFrame | None = None) -> D
     return feat.select("cust_id", "churn", F.explode(F.array(*entries)).alias("s")).select(
         "s.model", "cust_id", "churn", "s.p"
     )
+
+
+def cust_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cust_dirty`` after the null-token scrub (every string column)."""
+    from ebbtide.sources.io import scrub_null_tokens
+
+    return scrub_null_tokens(cust_dirty(spark, sf_dir))
