@@ -114,3 +114,30 @@ def key_rank(df: DataFrame, key: str, rank_col: str = "rn", n_buckets: int = 102
     bucketed = Bucketizer(splits=splits, inputCol="_kd", outputCol="_kb", handleInvalid="keep").transform(keyed)
     out = ranked(bucketed, [], F.col(key), key, rank_col, bucket=F.col("_kb"))
     return out.drop("_kd", "_kb")
+
+
+def dense_rank_values(df: DataFrame, group: str, value: str, rank_col: str = "rank") -> DataFrame:
+    """Distinct (group, value) pairs with the 1-based rank of ``value`` in sorted
+    order within ``group`` -- exact, without putting a group in one task.
+
+    The distinct pairs are range-partitioned on (group, value) and written to
+    the checkpoint folder, which pins each row's partition id; per-partition
+    counts (#partitions x #groups rows, a bounded table) give offsets, and rows
+    are ranked inside their partition."""
+    from ebbtide.session import checkpoint_dir
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = df.select(group, value).distinct()
+    r = (
+        d.repartitionByRange(parts, F.col(group), F.col(value))
+        .withColumn("_pid", F.spark_partition_id())
+        .checkpoint(eager=True)
+    )
+    counts = r.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    j = r.join(F.broadcast(offs), ["_pid", group])
+    local = Window.partitionBy("_pid", group).orderBy(value)
+    return j.select(group, value, (F.row_number().over(local) + F.col("_off")).alias(rank_col))

@@ -11,13 +11,20 @@ from pyspark.sql.types import DoubleType
 from ebbtide.plans.fixtures import NUMERIC_FEATURES
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (engine-independent comparison of float results)."""
+def round_doubles(df: DataFrame, digits: int = 6, floor_mode: bool = False) -> DataFrame:
+    """Round every double column (engine-independent comparison of float results).
+
+    ``floor_mode`` rounds as ``floor(x * 10^d + 0.5) / 10^d``: plain IEEE steps
+    that give identical bits in every engine, even on decimal ties."""
+    scale = float(10 ** digits)
+
+    def rnd(c):
+        if floor_mode:
+            return (F.floor(F.col(c) * scale + 0.5).cast("double") / scale)
+        return F.round(F.col(c), digits)
+
     return df.select(
-        *[
-            F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
+        *[rnd(f.name).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields]
     )
 
 

@@ -40,7 +40,41 @@ def _count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0))
 
 
+def _source_signature(sf_dir: str) -> str:
+    """Fingerprint of the input folder (paths, sizes, mtimes) for stage-table reuse."""
+    import hashlib
+    import os
+
+    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    if os.path.isdir(sf_dir):
+        for name in sorted(os.listdir(sf_dir)):
+            st = os.stat(os.path.join(sf_dir, name))
+            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+    return h.hexdigest()[:16]
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Stage table: built once per input folder, written as Parquet under the
+    cluster's shared checkpoint folder and read back.  Cuts lineage (a lost
+    executor re-reads files instead of recomputing joins) and lets every later
+    query start from the written table."""
+    from pyspark.errors import AnalysisException
+
+    from ebbtide.session import scratch_path
+
+    path = scratch_path(spark, f"stage/{_source_signature(sf_dir)}/{name}")
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # not written yet
+        build().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
 def cust_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, sf_dir, "cust_feat", lambda: build_cust_feat(spark, sf_dir))
+
+
+def build_cust_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus"
     )
@@ -228,7 +262,10 @@ def cust_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cust_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(cust_feat(spark, sf_dir), key="cust_id", label="churn")
+    return materialized(
+        spark, sf_dir, "cust_split",
+        lambda: stratified_split(cust_feat(spark, sf_dir), key="cust_id", label="churn"),
+    )
 
 
 MODEL_SEEDS = {"A": (42, 81, 19), "B": (43, 91, 9)}
