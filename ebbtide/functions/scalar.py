@@ -69,8 +69,11 @@ def decline_flag(x, cutoff: float = DECLINE_CUTOFF) -> Column:
 
 
 def round_half_even(x, scale: int) -> Column:
-    """NumPy/pandas rounding (banker's): 0.25 -> 0.2 at one decimal."""
-    return F.bround(_c(x), scale)
+    """NumPy/pandas rounding: scale, round half to even on the double, unscale
+    (``rint(x * 10^d) / 10^d``, the same IEEE steps as ``numpy.around``):
+    0.25 -> 0.2 at one decimal.  ``bround`` would round the decimal text instead."""
+    f = float(10 ** scale)
+    return F.rint(_c(x) * f) / f
 
 
 def at_threshold(p, thr) -> Column:

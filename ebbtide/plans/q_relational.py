@@ -433,7 +433,7 @@ def fn_tier_cut(spark, sf_dir):
     "fn_round_half_even",
     with_views(
         """
-SELECT model, cust_id, round_even(p * 100, 1) AS prob_pct FROM scored
+SELECT model, cust_id, round_even(p * 100 * 10.0, 0) / 10.0 AS prob_pct FROM scored
 """,
         "scored",
     ),
@@ -445,7 +445,7 @@ def fn_round_half_even(spark, sf_dir):
 
 @register(
     "fn_round_half_even_ties",
-    with_views("SELECT cust_id, eqpdays, round_even(eqpdays / 4, 1) AS quarter_1dp FROM cust_dirty", "cust_dirty"),
+    with_views("SELECT cust_id, eqpdays, round_even(eqpdays / 4 * 10.0, 0) / 10.0 AS quarter_1dp FROM cust_dirty", "cust_dirty"),
 )
 def fn_round_half_even_ties(spark, sf_dir):
     """Exact binary ties (x.25, x.75) round to even, like NumPy: 0.25 -> 0.2."""
