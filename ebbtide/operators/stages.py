@@ -12,7 +12,16 @@ import json
 
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReader, MLWriter
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -72,7 +81,7 @@ class TableModelReader(MLReader):
         return inst
 
 
-class TableModel(Model, HasState, JsonParams):
+class TableModel(Model, HasState, JsonParams, MLReadable, MLWritable):
     """A model whose fitted lookup table is a DataFrame."""
 
     table: DataFrame | None = None

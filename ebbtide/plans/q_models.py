@@ -1 +1,244 @@
-"""placeholder"""
+"""Model queries: batch scoring, persistence, cross-validation, random search,
+k-NN join, explanations (V17-V20, S7, J6, E1-E4)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ebbtide.operators import metrics as M
+from ebbtide.operators.explain import linear_attributions, tree_attributions
+from ebbtide.operators.models import (
+    FEATURES,
+    assemble,
+    cross_validate,
+    feature_columns,
+    importance_table,
+    knn_score,
+    model_zoo,
+    positive_probability,
+    random_search,
+    with_class_weight,
+    with_validation_slice,
+)
+from ebbtide.operators.preprocess import ID_COLS, build_preprocessing_pipeline
+from ebbtide.operators.split import kfold
+from ebbtide.plans.common import round_doubles
+from ebbtide.plans.fixture_sql import with_views
+from ebbtide.plans.fixtures import materialized
+from ebbtide.plans.q_features import dirty_split
+from ebbtide.plans.registry import register
+from ebbtide.session import scratch_path
+
+
+def processed(spark, sf_dir) -> DataFrame:
+    """Preprocessed feature matrix of every row (pipeline fitted on train rows);
+    written once as a stage table."""
+
+    def build():
+        d = dirty_split(spark, sf_dir)
+        d = d.withColumn("fold", F.when(F.col("split") == "train", F.col("fold"))).cache()
+        model = build_preprocessing_pipeline().fit(d.where(F.col("split") == "train"))
+        out = model.transform(d)
+        # duplicated raw rows (same customer twice) are one customer in the matrix
+        return out.dropDuplicates(["cust_id"])
+
+    return materialized(spark, sf_dir, "processed", build)
+
+
+def _matrix(spark, sf_dir):
+    df = processed(spark, sf_dir)
+    cols = feature_columns(df, ID_COLS)
+    return df, cols
+
+
+def _best_model(spark, sf_dir):
+    df, cols = _matrix(spark, sf_dir)
+    tr = assemble(with_validation_slice(with_class_weight(df.where(F.col("split") == "train"))), cols)
+    model = model_zoo()["LightGBM"].fit(tr)
+    return model, df, cols
+
+
+@register("model_batch_score")
+def model_batch_score(spark, sf_dir):
+    """Positive-class probability of the test customers from the boosted model."""
+    model, df, cols = _best_model(spark, sf_dir)
+    te = assemble(df.where(F.col("split") == "test"), cols)
+    return round_doubles(positive_probability(model.transform(te)).select("cust_id", "churn", "p"))
+
+
+@register("sink_model_roundtrip")
+def sink_model_roundtrip(spark, sf_dir):
+    """Fitted preprocessing + classifier saved with ML persistence, loaded back and
+    applied to the test rows; returns scores before and after the round trip."""
+    d = dirty_split(spark, sf_dir)
+    d = d.withColumn("fold", F.when(F.col("split") == "train", F.col("fold"))).cache()
+    train = d.where(F.col("split") == "train")
+    prep = build_preprocessing_pipeline().fit(train)
+    mat = prep.transform(train)
+    cols = feature_columns(mat, ID_COLS)
+    clf = Pipeline(stages=[
+        VectorAssembler(inputCols=cols, outputCol=FEATURES, handleInvalid="keep"),
+        LogisticRegression(featuresCol=FEATURES, labelCol="label", regParam=0.1, maxIter=200),
+    ]).fit(mat.withColumn("label", F.col("churn").cast("double")))
+    base = scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}")
+    prep.write().overwrite().save(f"{base}/preprocessor")
+    clf.write().overwrite().save(f"{base}/classifier")
+    prep2 = PipelineModel.load(f"{base}/preprocessor")
+    clf2 = PipelineModel.load(f"{base}/classifier")
+    te = d.where(F.col("split") == "test")
+    before = positive_probability(clf.transform(prep.transform(te))).select("cust_id", F.col("p").alias("p_before"))
+    after = positive_probability(clf2.transform(prep2.transform(te))).select("cust_id", F.col("p").alias("p_after"))
+    return round_doubles(before.join(after, "cust_id").dropDuplicates(["cust_id"]))
+
+
+def _cv_scores(spark, sf_dir, parallelism=8):
+    df, cols = _matrix(spark, sf_dir)
+    tr = df.where(F.col("split") == "train")
+    folds = kfold(tr.select("cust_id", "churn"), "cust_id", "churn", 3, seed=44).select(
+        "cust_id", F.col("fold").cast("int").alias("cv_fold"))
+    data = tr.join(folds, "cust_id")
+    return cross_validate(model_zoo(), data, "cv_fold", 3, cols, parallelism=parallelism)
+
+
+@register("model_cv_summary")
+def model_cv_summary(spark, sf_dir):
+    """Six classifiers x 3 stratified folds: per fold ROC-AUC, AP and F1 at the best
+    threshold of the fold's scores; mean and population std per model."""
+    oof = _cv_scores(spark, sf_dir)
+    by = ("model", "fold")
+    cum = M.cumulative_confusion(M.score_histogram(oof, by=by), by=by)
+    thr = M.best_threshold(cum, by=by).select(*by, "threshold")
+    cnt = M.confusion_counts(oof.join(F.broadcast(thr), list(by)), F.col("threshold"), by=by)
+    per_fold = (M.roc_auc(cum, by=by).join(M.average_precision(cum, by=by), list(by))
+                .join(M.point_metrics(cnt, by=by).select(*by, "f1"), list(by)))
+    long = per_fold.unpivot(list(by), ["roc_auc", "pr_auc", "f1"], "metric", "value")
+    return round_doubles(long.groupBy("model", "metric").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("folds")))
+
+
+@register("model_random_search")
+def model_random_search(spark, sf_dir):
+    """30 seeded draws of boosted-tree settings, 5 stratified folds, ROC-AUC; draws
+    ranked by mean CV AUC (the refit best model is the search result)."""
+    df, cols = _matrix(spark, sf_dir)
+    tr = df.where(F.col("split") == "train").withColumn("fold", F.col("fold").cast("int"))
+    data = assemble(with_validation_slice(with_class_weight(tr)), cols)
+    est = model_zoo()["LightGBM"]
+    cvm = random_search(est, data, "fold", n_iter=30, parallelism=8)
+    maps = cvm.getEstimatorParamMaps()
+    rows = []
+    for i, (pm, auc) in enumerate(zip(maps, cvm.avgMetrics)):
+        desc = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
+        rows.append((i, desc, float(auc)))
+    out = spark.createDataFrame(rows, "draw int, params string, cv_roc_auc double")
+    return round_doubles(out)
+
+
+KNN_COLS = ("rev_Mean", "mou_Mean", "avgrev", "plcd_vce_Mean", "totmrc_Mean")
+
+
+def _knn_sql():
+    z_t = ", ".join(
+        f"(\"{c}\" - m{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1 END AS z{i}" for i, c in enumerate(KNN_COLS))
+    stats = ", ".join(f"avg(\"{c}\") AS m{i}, stddev_pop(\"{c}\") AS s{i}" for i, c in enumerate(KNN_COLS))
+    dist = " + ".join(f"pow(t.z{i} - q.z{i}, 2)" for i in range(len(KNN_COLS)))
+    return with_views(
+        f"""
+WITH tr AS (SELECT * FROM cust_split WHERE split = 'train'),
+st AS (SELECT {stats} FROM tr),
+tz AS (SELECT cust_id AS t_key, CAST(churn AS DOUBLE) AS t_y, {z_t} FROM tr, st),
+qz AS (SELECT cust_id AS q_key, {z_t} FROM cust_split, st WHERE split = 'test'),
+d AS (SELECT q.q_key, t.t_key, t.t_y, sqrt({dist}) AS d FROM qz q, tz t),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY d, t_key) AS r FROM d) WHERE r <= 15)
+SELECT q_key AS cust_id,
+  round(CASE WHEN sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) > 0 THEN avg(CASE WHEN d = 0 THEN t_y END)
+        ELSE sum(t_y / d) / sum(1 / d) END, 6) AS p
+FROM top GROUP BY q_key
+""",
+        "cust_split",
+    )
+
+
+@register("join_knn_score", _knn_sql())
+def join_knn_score(spark, sf_dir):
+    """Exact 15-NN distance-weighted churn score of every test customer among the
+    train customers (standardised columns; band join on a 1-D projection)."""
+    from ebbtide.plans.fixtures import cust_split
+
+    s = cust_split(spark, sf_dir)
+    tr = s.where(F.col("split") == "train")
+    te = s.where(F.col("split") == "test")
+    return round_doubles(knn_score(tr, te, KNN_COLS, k=15))
+
+
+# ---- explanations ------------------------------------------------------------------
+
+def _linear(spark, sf_dir):
+    df, cols = _matrix(spark, sf_dir)
+    tr = df.where(F.col("split") == "train")
+    lr = LogisticRegression(featuresCol=FEATURES, labelCol="churn", regParam=0.1, maxIter=200)
+    model = lr.fit(assemble(tr, cols))
+    te = df.where(F.col("split") == "test")
+    return linear_attributions(model, tr, te, cols), te, cols, model
+
+
+@register("explain_linear_global")
+def explain_linear_global(spark, sf_dir):
+    """Mean |attribution| per feature (exact linear SHAP: coef * (x - train mean)), top 20."""
+    att, _, _, _ = _linear(spark, sf_dir)
+    g = att.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"))
+    return round_doubles(g.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(20))
+
+
+@register("explain_linear_local")
+def explain_linear_local(spark, sf_dir):
+    """Top 15 attributions by |value| for the highest- and lowest-probability customers."""
+    att, te, cols, model = _linear(spark, sf_dir)
+    scored = positive_probability(model.transform(assemble(te, cols))).select("cust_id", "p")
+    ext = scored.agg(
+        F.max_by("cust_id", F.struct(F.col("p"), -F.col("cust_id"))).alias("high"),
+        F.min_by("cust_id", F.struct(F.col("p"), F.col("cust_id"))).alias("low"),
+    )
+    picks = ext.select(F.explode(F.array(
+        F.struct(F.lit("High-Risk Churner").alias("who"), F.col("high").alias("cust_id")),
+        F.struct(F.lit("Safe Customer").alias("who"), F.col("low").alias("cust_id")),
+    )).alias("s")).select("s.who", "s.cust_id")
+    a = att.join(F.broadcast(picks), "cust_id")  # two keys
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("cust_id").orderBy(F.abs("shap_value").desc(), "feature")
+    return round_doubles(a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 15))
+
+
+@register("explain_dependence")
+def explain_dependence(spark, sf_dir):
+    """(feature value, attribution) pairs for the 3 features of largest mean |attribution|."""
+    att, te, cols, _ = _linear(spark, sf_dir)
+    top3 = (att.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("m"))
+            .orderBy(F.col("m").desc(), "feature").limit(3).select("feature"))
+    vals = te.select("cust_id", *cols).unpivot(["cust_id"], cols, "feature", "feature_value")
+    return round_doubles(att.join(F.broadcast(top3), "feature").join(vals, ["cust_id", "feature"]))
+
+
+@register("explain_tree_global")
+def explain_tree_global(spark, sf_dir):
+    """Path-dependent TreeSHAP of the boosted model on every test row (Arrow
+    batches, broadcast tree arrays); mean |SHAP| per feature, top 20."""
+    model, df, cols = _best_model(spark, sf_dir)
+    te = df.where(F.col("split") == "test")
+    att = tree_attributions(spark, model, te, cols)
+    g = att.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"))
+    return round_doubles(g.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(20))
+
+
+@register("explain_importance")
+def explain_importance(spark, sf_dir):
+    """Built-in feature importances of the boosted model, top 20."""
+    model, _, cols = _best_model(spark, sf_dir)
+    return round_doubles(importance_table(spark, model, cols).limit(20))
