@@ -47,7 +47,13 @@ def engineered_columns() -> dict[str, Column]:
     }
 
 
-ENGINEERED = tuple(engineered_columns())
+ENGINEERED = (
+    "call_completion_rate", "drop_rate", "block_rate", "short_call_ratio", "dropped_or_blocked_rate",
+    "unanswered_rate", "data_to_voice_ratio", "voice_mou_per_call", "revenue_per_minute", "overage_ratio",
+    "custcare_rate", "peak_usage_share", "roam_to_total_ratio", "revenue_per_subscriber", "customer_ltv",
+    "mou_momentum", "rev_momentum", "lifetime_vs_recent_mou", "revenue_stability", "active_sub_ratio",
+    "models_per_phone", "device_age_tier", "mou_declining_flag", "revenue_declining_flag",
+)
 
 
 class FeatureEngineer(StatelessTransformer):
