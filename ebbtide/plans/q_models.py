@@ -147,7 +147,7 @@ def _knn_sql():
     z_t = ", ".join(
         f"(\"{c}\" - m{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1 END AS z{i}" for i, c in enumerate(KNN_COLS))
     stats = ", ".join(f"avg(\"{c}\") AS m{i}, stddev_pop(\"{c}\") AS s{i}" for i, c in enumerate(KNN_COLS))
-    dist = " + ".join(f"pow(t.z{i} - q.z{i}, 2)" for i in range(len(KNN_COLS)))
+    dist = " + ".join(f"(t.z{i} - q.z{i}) * (t.z{i} - q.z{i})" for i in range(len(KNN_COLS)))
     return with_views(
         f"""
 WITH tr AS (SELECT * FROM cust_split WHERE split = 'train'),
