@@ -53,17 +53,21 @@ class MixedImputer(JsonEstimator):
         skip = set(self._opts()["exclude"])
         num = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in skip]
         cat = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in skip]
-        aggs = [F.median(F.col(c)).alias(f"n{i}") for i, c in enumerate(num)]
-        aggs += [F.mode(F.col(c), True).alias(f"c{i}") for i, c in enumerate(cat)]
-        row = df.agg(*aggs).first() if aggs else None
-        medians, modes = {}, {}
-        for i, c in enumerate(num):
-            if row[f"n{i}"] is None:
-                raise ValueError(f"MixedImputer: numeric column {c!r} is entirely null; no median to impute")
-            medians[c] = float(row[f"n{i}"])
-        for i, c in enumerate(cat):
-            modes[c] = row[f"c{i}"]
-        return MixedImputerModel(state={"numeric": medians, "categorical": modes})
+        from ebbtide.operators.quantile import exact_quantiles, modes
+
+        medians, mode_values = {}, {}
+        if num:
+            long_num = long_values(df, num)
+            got = {r["feature"]: r["value"] for r in exact_quantiles(long_num, ["feature"], "value", [0.5]).collect()}
+            for c in num:
+                if got.get(c) is None:
+                    raise ValueError(f"MixedImputer: numeric column {c!r} is entirely null; no median to impute")
+                medians[c] = float(got[c])
+        if cat:
+            long_cat = long_values(df, cat, value_type="string")
+            got = {r["feature"]: r["mode"] for r in modes(long_cat, ["feature"]).collect()}
+            mode_values = {c: got.get(c) for c in cat}
+        return MixedImputerModel(state={"numeric": medians, "categorical": mode_values})
 
 
 class TargetEncoderModel(TableModel):

@@ -91,13 +91,16 @@ class PercentileClipper(JsonEstimator):
     def _fit(self, df: DataFrame) -> PercentileClipperModel:
         o = self._opts()
         cols = ratio_columns(df.columns, o["keywords"])
-        probs = F.array(F.lit(float(o["lower"])), F.lit(float(o["upper"])))
-        if o["exact"]:
-            aggs = [F.percentile(F.col(c), probs).alias(c) for c in cols]
-        else:
-            aggs = [F.percentile_approx(F.col(c), probs, int(o["accuracy"])).alias(c) for c in cols]
-        row = df.agg(*aggs).first() if cols else None
-        bounds = {c: [float(row[c][0]), float(row[c][1])] for c in cols if row[c] is not None}
+        if not cols:
+            return PercentileClipperModel(state={"bounds": {}})
+        from ebbtide.operators.profile import quantiles
+
+        lo, hi = float(o["lower"]), float(o["upper"])
+        rows = quantiles(df, cols, [lo, hi], exact=bool(o["exact"]), accuracy=int(o["accuracy"])).collect()
+        found: dict[str, dict[float, float]] = {}
+        for r in rows:  # 2 x #columns rows
+            found.setdefault(r["feature"], {})[float(r["q"])] = float(r["value"])
+        bounds = {c: [found[c][lo], found[c][hi]] for c in cols if c in found}
         return PercentileClipperModel(state={"bounds": bounds})
 
 

@@ -73,8 +73,11 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def missing_by_row_bucket(df: DataFrame, key: str, cols: Sequence[str], buckets: int = 50) -> DataFrame:
-    """Heat-map data at scale: null rate per (row bucket, column); rows bucketed by key hash."""
-    b = df.select(F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).alias("row_bucket"), *cols)
+    """Heat-map data at scale: null rate per (row bucket, column); rows bucketed by
+    an md5 hash of the key (one grouped pass, #buckets x #columns output cells)."""
+    from ebbtide.functions.scalar import md5_int
+
+    b = df.select((md5_int(F.col(key).cast("string")) % buckets).cast("int").alias("row_bucket"), *cols)
     wide = b.groupBy("row_bucket").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols]
     )
@@ -113,14 +116,16 @@ def crosstab(df: DataFrame, cats: Sequence[str], label: str) -> DataFrame:
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact: bool = True,
               accuracy: int = 10000) -> DataFrame:
-    """Per column quantiles with linear interpolation at (n-1)q (exact ``percentile``);
-    ``exact=False`` switches to ``percentile_approx`` for very large inputs."""
+    """Per column quantiles with linear interpolation at (n-1)q, exact by distributed
+    selection (see ``operators.quantile``); ``exact=False`` returns the
+    ``percentile_approx`` values directly."""
     long = long_values(df, cols)
-    arr = F.array(*[F.lit(float(q)) for q in probs])
     if exact:
-        agg = F.percentile(F.col("value"), arr)
-    else:
-        agg = F.percentile_approx(F.col("value"), arr, accuracy)
+        from ebbtide.operators.quantile import exact_quantiles
+
+        return exact_quantiles(long, ["feature"], "value", probs, accuracy)
+    arr = F.array(*[F.lit(float(q)) for q in probs])
+    agg = F.percentile_approx(F.col("value"), arr, accuracy)
     g = long.groupBy("feature").agg(agg.alias("qs"))
     return g.select(
         "feature",
@@ -133,15 +138,15 @@ def box_stats(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     datum within 1.5 IQR, outlier count.  Pass 1: quartiles (grouped, exact
     percentile); pass 2: fence join (broadcast of a #features x #labels table)
     and min/max/count inside the fences."""
+    from ebbtide.operators.quantile import exact_quantiles
+
     long = long_values(df, cols, ids=[label]).where(F.col("value").isNotNull())
-    q = long.groupBy("feature", label).agg(
-        F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("qs"),
-        F.avg("value").alias("mean"),
-        F.count(F.lit(1)).alias("n"),
-    ).select(
-        "feature", label, "n", "mean",
-        F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"),
+    qs = exact_quantiles(long, ["feature", label], "value", [0.25, 0.5, 0.75]).groupBy("feature", label).agg(
+        *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name)
+          for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     )
+    mom = long.groupBy("feature", label).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    q = mom.join(qs, ["feature", label]).select("feature", label, "n", "mean", "q1", "median", "q3")
     fences = q.select(
         "*",
         (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
@@ -213,8 +218,10 @@ def density_smooth(df: DataFrame, col: str, label: str, clip_q: float = 0.97, n_
     v = df.select(F.col(label), F.col(col).cast("double").alias("x")).where(
         F.col("x").isNotNull() & F.col(label).isNotNull()
     )
-    stats = v.groupBy(label).agg(F.percentile("x", clip_q).alias("cap"), F.min("x").alias("x_min"),
-                                 F.count(F.lit(1)).alias("n"))
+    from ebbtide.operators.quantile import exact_quantiles
+
+    caps = exact_quantiles(v, [label], "x", [clip_q]).select(label, F.col("value").alias("cap"))
+    stats = v.groupBy(label).agg(F.min("x").alias("x_min"), F.count(F.lit(1)).alias("n")).join(caps, label)
     stats = stats.select(label, "cap", "n", F.least(F.col("x_min"), F.col("cap")).alias("lo"),
                          F.col("cap").alias("hi"))
     clipped = v.join(F.broadcast(stats), label).select(

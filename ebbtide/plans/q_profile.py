@@ -68,6 +68,25 @@ def agg_missing_profile(spark, sf_dir):
     return round_doubles(prof.missing_profile(cust_clean(spark, sf_dir), CLEAN_COLS))
 
 
+@register(
+    "agg_missing_heatmap",
+    with_views(
+        "SELECT row_bucket, \"column\", round(nulls / rows_, 6) AS null_rate FROM ("
+        + " UNION ALL ".join(
+            f"SELECT CAST(CAST('0x' || substr(md5(CAST(cust_id AS VARCHAR)), 1, 8) AS BIGINT) % 20 AS INTEGER) "
+            f"AS row_bucket, '{c}' AS \"column\", count(*) - count(\"{c}\") AS nulls, count(*) AS rows_ "
+            f"FROM cust_clean GROUP BY 1"
+            for c in CLEAN_COLS
+        )
+        + ")",
+        "cust_clean",
+    ),
+)
+def agg_missing_heatmap(spark, sf_dir):
+    """The missing-value heat map at scale: null rate per (row bucket, column)."""
+    return round_doubles(prof.missing_by_row_bucket(cust_clean(spark, sf_dir), "cust_id", CLEAN_COLS, 20))
+
+
 # ---- A3 class share, A4 class weight ------------------------------------------------
 
 @register(
