@@ -33,7 +33,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     """(by..., q, value): exact linear-interpolated quantiles of ``value`` per group (NULLs ignored)."""
     by = list(by)
     probs = [float(q) for q in probs]
-    d = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    # cached: every round reads it several times, and later plans see a leaf
+    # instead of the caller's (possibly deep) lineage
+    d = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()).cache()
     margin = 4.0 / accuracy
     result = None
     pending = None  # (by..., qi) still to solve

@@ -21,6 +21,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", f"{scratch}/checkpoint")
         .getOrCreate()
     )
