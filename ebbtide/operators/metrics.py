@@ -47,7 +47,7 @@ def cumulative_confusion(hist: DataFrame, by: Sequence[str] = ("model",), p: str
     Two-level prefix sum in descending score order (see module doc)."""
     by = list(by)
     probs = [i / PREFIX_BUCKETS for i in range(1, PREFIX_BUCKETS)]
-    cuts = sorted(set(hist.approxQuantile(p, probs, 0.001))) if hist.head(1) else []
+    cuts = sorted(set(hist.approxQuantile(p, probs, 0.001)))  # [] for an empty histogram
     splits = [float("-inf"), *cuts, float("inf")]
     b = Bucketizer(splits=splits, inputCol=p, outputCol="_b", handleInvalid="keep").transform(
         hist.withColumn(p, F.col(p).cast("double"))

@@ -44,6 +44,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: stage tables and checkpoints need a folder on shared "
+            "storage that every executor can read (set spark.checkpoint.dir for the application)"
+        )
     local = tempfile.mkdtemp(prefix="ebbtide-ckpt-", dir=os.environ.get("EBBTIDE_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
