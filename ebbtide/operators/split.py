@@ -91,14 +91,15 @@ def stratified_split(
     ).drop("_rn_split", "_n_class")
     folded = ranked(split, [label, "split"], hash_order_key(key, fold_seed), key, "_rn_fold")
     return folded.withColumn(
-        "fold", F.when(F.col("split") == "train", F.pmod(F.col("_rn_fold") - 1, F.lit(n_folds))).otherwise(-1)
+        "fold",
+        F.when(F.col("split") == "train", F.pmod(F.col("_rn_fold") - 1, F.lit(n_folds))).otherwise(-1).cast("int"),
     ).drop("_rn_fold")
 
 
 def kfold(df: DataFrame, key: str, label: str, n_folds: int, seed: int = 43) -> DataFrame:
     """Stratified k-fold column ``fold`` over all rows of ``df``."""
     r = ranked(df, [label], hash_order_key(key, seed), key, "_rn_fold")
-    return r.withColumn("fold", F.pmod(F.col("_rn_fold") - 1, F.lit(n_folds))).drop("_rn_fold")
+    return r.withColumn("fold", F.pmod(F.col("_rn_fold") - 1, F.lit(n_folds)).cast("int")).drop("_rn_fold")
 
 
 def key_rank(df: DataFrame, key: str, rank_col: str = "rn", n_buckets: int = 1024) -> DataFrame:

@@ -40,12 +40,15 @@ def _count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0))
 
 
+STAGE_VERSION = "2"  # bump when a stage table's definition changes
+
+
 def _source_signature(sf_dir: str) -> str:
     """Fingerprint of the input folder (paths, sizes, mtimes) for stage-table reuse."""
     import hashlib
     import os
 
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h = hashlib.sha1(f"{STAGE_VERSION}|{os.path.abspath(sf_dir)}".encode())
     if os.path.isdir(sf_dir):
         for name in sorted(os.listdir(sf_dir)):
             st = os.stat(os.path.join(sf_dir, name))

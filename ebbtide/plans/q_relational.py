@@ -241,10 +241,10 @@ def _null_cells_expr(cols):
     with_views(
         """
 SELECT 'cust_feat' AS table_name, count(*) AS row_count,
-  sum({feat_nulls}) AS null_cells
+  CAST(sum({feat_nulls}) AS BIGINT) AS null_cells
 FROM cust_feat
 UNION ALL
-SELECT 'cust_dirty', count(*), sum({dirty_nulls}) FROM cust_dirty
+SELECT 'cust_dirty', count(*), CAST(sum({dirty_nulls}) AS BIGINT) FROM cust_dirty
 """.replace(
             "{feat_nulls}", " + ".join(f'CAST("{c}" IS NULL AS BIGINT)' for c in NUMERIC_FEATURES)
         ).replace(
@@ -317,8 +317,9 @@ def join_features_label(spark, sf_dir):
     "join_fold_semi_anti",
     with_views(
         """
-WITH t AS (SELECT count(*) AS n, sum(churn) AS pos FROM cust_split WHERE split = 'train'),
-f AS (SELECT fold, count(*) AS n_in, sum(churn) AS pos_in FROM cust_split WHERE split = 'train' GROUP BY fold)
+WITH t AS (SELECT count(*) AS n, CAST(sum(churn) AS BIGINT) AS pos FROM cust_split WHERE split = 'train'),
+f AS (SELECT fold, count(*) AS n_in, CAST(sum(churn) AS BIGINT) AS pos_in FROM cust_split WHERE split = 'train'
+      GROUP BY fold)
 SELECT fold, n_in, t.n - n_in AS n_out, pos_in, t.pos - pos_in AS pos_out FROM f, t
 """,
         "cust_split",
