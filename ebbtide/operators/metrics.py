@@ -211,10 +211,18 @@ def calibration(scores: DataFrame, by: Sequence[str] = ("model",), p: str = "p",
 
 def grid_counts(scores: DataFrame, grid: Sequence[float], by: Sequence[str] = ("model",), p: str = "p",
                 label: str = "churn") -> DataFrame:
-    """For every grid threshold t: tp, fp = rows with p >= t (theta join by
-    binary search).  Each score falls in one grid cell (Bucketizer: t_{b-1} <= p < t_b),
-    counts per cell are a (#groups x len(grid)+1)-row table, and a running sum
-    over it gives the >= counts.  No score x grid product is materialised."""
+    """For every grid threshold t_j: tp, fp = rows with p >= t_j (theta join by
+    binary search), in ONE pass over the scores.
+
+    Each score falls in one grid cell (``Bucketizer``: cell c holds
+    t_{c-1} <= p < t_c), so "p >= t_j" means "cell >= j + 1".  Counts per
+    cell form a (#groups x len(grid)+1)-row table; running sums over it give
+    the >= counts of each populated cell c, which hold for every j from the
+    previous populated cell up to c - 1; thresholds above the top populated
+    cell count zero.  One ``explode`` emits the dense grid -- no join and no
+    score x grid product."""
+    by = list(by)
+    g = len(grid)
     splits = [float("-inf"), *grid, float("inf")]
     b = Bucketizer(splits=splits, inputCol="_pd", outputCol="_cell").transform(
         scores.withColumn("_pd", F.col(p).cast("double"))
@@ -223,20 +231,30 @@ def grid_counts(scores: DataFrame, grid: Sequence[float], by: Sequence[str] = ("
     cells = b.groupBy(*by, F.col("_cell").cast("int").alias("cell")).agg(
         F.sum(y.cast("long")).alias("pos"), F.sum((~y).cast("long")).alias("neg")
     )
-    # dense grid per group: cells 1..len(grid) (cell j holds t_{j-1} <= p < t_j)
-    groups = cells.select(*by).distinct()
-    gtab = groups.select(*by, F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("j", "threshold"))
-    tot = cells.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    above = Window.partitionBy(*by).orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = cells.select(*by, "cell", F.sum("pos").over(above).alias("tp_c"), F.sum("neg").over(above).alias("fp_c"))
-    # threshold j (0-based) counts cells >= j + 1: take the smallest populated cell >= j + 1
-    joined = gtab.join(cum, list(by)).where(F.col("cell") >= F.col("j") + 1)
-    best = joined.groupBy(*by, "j", "threshold").agg(F.min_by(F.struct("tp_c", "fp_c"), F.col("cell")).alias("c"))
-    full = gtab.join(best, [*by, "j", "threshold"], "left").join(tot, list(by))
-    return full.select(
-        *by, "j", "threshold",
-        F.coalesce(F.col("c.tp_c"), F.lit(0)).cast("long").alias("tp"),
-        F.coalesce(F.col("c.fp_c"), F.lit(0)).cast("long").alias("fp"),
+    down = Window.partitionBy(*by).orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*by).orderBy("cell")
+    whole = Window.partitionBy(*by)
+    c2 = cells.select(
+        *by, "cell",
+        F.sum("pos").over(down).alias("tp_c"), F.sum("neg").over(down).alias("fp_c"),
+        F.coalesce(F.lag("cell").over(up), F.lit(0)).alias("prev"),
+        F.max("cell").over(whole).alias("top"),
+        F.sum("pos").over(whole).alias("n_pos"), F.sum("neg").over(whole).alias("n_neg"),
+    )
+    empty = F.array().cast("array<int>")
+    own = F.when(F.col("cell") > F.col("prev"), F.sequence(F.col("prev"), F.col("cell") - 1)).otherwise(empty)
+    tail = F.when((F.col("cell") == F.col("top")) & (F.col("top") <= g - 1),
+                  F.sequence(F.col("top"), F.lit(g - 1))).otherwise(empty)
+    entries = F.concat(
+        F.transform(own, lambda j: F.struct(j.alias("j"), F.col("tp_c").alias("tp"), F.col("fp_c").alias("fp"))),
+        F.transform(tail, lambda j: F.struct(j.alias("j"), F.lit(0).cast("long").alias("tp"),
+                                             F.lit(0).cast("long").alias("fp"))),
+    )
+    grid_arr = F.array(*[F.lit(t) for t in grid])
+    out = c2.select(*by, "n_pos", "n_neg", F.explode(entries).alias("e"))
+    return out.select(
+        *by, F.col("e.j").alias("j"), F.element_at(grid_arr, F.col("e.j") + 1).alias("threshold"),
+        F.col("e.tp").cast("long").alias("tp"), F.col("e.fp").cast("long").alias("fp"),
         F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"),
     )
 
