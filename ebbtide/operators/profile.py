@@ -140,7 +140,8 @@ def box_stats(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     and min/max/count inside the fences."""
     from ebbtide.operators.quantile import exact_quantiles
 
-    long = long_values(df, cols, ids=[label]).where(F.col("value").isNotNull())
+    # read by the moments, the quantile selection and the fence pass: computed once
+    long = long_values(df, cols, ids=[label]).where(F.col("value").isNotNull()).cache()
     qs = exact_quantiles(long, ["feature", label], "value", [0.25, 0.5, 0.75]).groupBy("feature", label).agg(
         *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name)
           for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]

@@ -18,8 +18,10 @@ def _lit(x: float) -> str:
 
 
 def scored_split(spark, sf_dir) -> DataFrame:
+    """(model, cust_id, churn, p, split); cached because every evaluation query
+    derives several aggregates (train thresholds, test curves, counts) from it."""
     s = cust_split(spark, sf_dir).select("cust_id", "split")
-    return scored(spark, sf_dir).join(s, "cust_id")
+    return scored(spark, sf_dir).join(s, "cust_id").cache()
 
 
 def _cum(df: DataFrame) -> DataFrame:
