@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ebbtide.operators.report import risk_tiers
+from ebbtide.functions.constants import EXPLORER_FEATURES
+from ebbtide.operators import metrics as M
+from ebbtide.operators.report import explorer_table, filter_explorer, kpi_strip, page, risk_tiers
+from ebbtide.operators.split import kfold
+from ebbtide.plans.common import round_doubles
 from ebbtide.plans.fixture_sql import with_views
-from ebbtide.plans.fixtures import scored
+from ebbtide.plans.fixtures import cust_feat, cust_split, scored
+from ebbtide.plans.q_eval import (
+    COMPOSITE_SQL,
+    SS,
+    TEST_METRICS,
+    scored_split,
+    sql,
+    test_metrics,
+    train_thresholds,
+)
 from ebbtide.plans.registry import register
 
 RISK_TIERS_SQL = with_views(
@@ -39,25 +53,6 @@ def agg_risk_tiers(spark, sf_dir):
 # CV summary and pivot, tuning summary
 # ---------------------------------------------------------------------------
 
-from pyspark.sql import Window  # noqa: E402
-
-from ebbtide.functions.constants import EXPLORER_FEATURES  # noqa: E402
-from ebbtide.operators import metrics as M  # noqa: E402
-from ebbtide.operators.report import explorer_table, filter_explorer, kpi_strip, page  # noqa: E402
-from ebbtide.operators.split import kfold  # noqa: E402
-from ebbtide.plans.common import round_doubles  # noqa: E402
-from ebbtide.plans.fixtures import cust_feat, cust_split  # noqa: E402
-from ebbtide.plans.q_eval import (  # noqa: E402
-    COMPOSITE_SQL,
-    SS,
-    TEST_METRICS,
-    scored_split,
-    sql,
-    test_metrics,
-    train_thresholds,
-)
-
-
 @register("agg_kpi_strip", sql(
     "SELECT t.model, count(*) AS total, round(avg(t.churn), 6) AS churn_rate, "
     "CAST(sum(CASE WHEN t.p >= t.threshold THEN 1 ELSE 0 END) AS BIGINT) AS pred_churners, "
