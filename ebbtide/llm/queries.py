@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import licenses, quality_rules
+from ebbtide.llm import gam, langid, licenses, quality_rules, simhash, toxicity
 from ebbtide.sources.tables import table
 
 
@@ -12,13 +12,33 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.contract(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.contract(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.contract(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.contract(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.contract(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
+    "op6_toxicity": op6_toxicity,
+    "op8_language_id": op8_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
