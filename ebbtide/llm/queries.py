@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import gam, langid, licenses, quality_rules, simhash, toxicity
+from ebbtide.llm import decontaminate, gam, langid, licenses, quality_rules, simhash, toxicity, urls
 from ebbtide.sources.tables import table
 
 
@@ -24,10 +24,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contract(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.contract(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.contract(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,10 +45,14 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
     "op4_quality_rules": quality_rules.oracle(),
+    "op7_decontamination": decontaminate.oracle(),
+    "op9_url_filter": urls.oracle(),
 }
