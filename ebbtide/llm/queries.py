@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import decontaminate, gam, langid, licenses, quality_rules, simhash, toxicity, urls
+from ebbtide.llm import bpe, decontaminate, gam, langid, licenses, quality_rules, simhash, toxicity, urls
 from ebbtide.sources.tables import table
 
 
@@ -16,6 +16,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.contract(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.contract(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.contract(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
