@@ -1,50 +1,63 @@
 """Byte-level BPE encoding and decoding (3).
 
-A text is split by the tokenizer's pattern; every piece is encoded by itself.
-A piece that is a token is that token.  Any other piece is folded: its UTF-8
-bytes (one character a byte, by way of Latin-1) are the first parts, and each
-step of a Spark ``aggregate`` merges the leftmost neighbouring pair of lowest
-rank until no pair has one.  Beside the parts the fold carries the rank of each
-pair, so a step looks up two new pairs only.  Ranks are a literal: an array of
-small maps, addressed by the hash of the bytes, as Spark's map look-up walks
-through a map.
-
-Distinct words.  Pieces are counted over all rows (partial counts before the
-shuffle).  Those at or above the smallest count that at most ``COMMON_WORDS``
-distinct pieces reach are folded once each, as a table of distinct words; their
-ids return as a second literal of that bounded size, and texts look them up.
-Rarer pieces are folded where they stand.  The bound only decides where a piece
-is folded; it never changes a result.
-
-Decoding looks every id up in a literal array of the tokens' bytes (as hex
-digits), joins these and turns them into binary once.
-
-All of it is Spark SQL; texts are never shuffled and no row needs another one.
-The tokenizer file is read by the driver from a path that is a parameter.
+A text is split by the tokenizer's pattern, and every piece is encoded by
+itself.  A piece that is a token is that token.  Any other piece is folded by
+Spark higher-order functions: its UTF-8 bytes are the first parts, and each step
+of an ``aggregate`` merges the leftmost neighbouring pair of lowest rank until
+no pair has one.  Beside the parts the fold carries the rank of each pair, so a
+step looks up two new pairs only.
+
+Rank map.  A literal: entry ``(left id, right id) -> rank`` for each split of a
+token into two tokens, in an array addressed by the pair's hash and a second
+literal array of displacements chosen so that no two pairs share a place.  (A
+map literal would be searched entry by entry.)  A merged pair's rank is its id.
+
+Distinct words.  Pieces that are no tokens are counted over all rows.  Those at
+or above the smallest count that at most ``COMMON_WORDS`` distinct pieces reach
+are folded once, as a table of distinct words, and their ids are broadcast (a
+bounded table).  All others are folded once for each text they stand in.  The
+bound only decides where a piece is folded, never what comes out.
+
+Around the fold, Arrow batches split texts and put the ids of their pieces in
+order; texts are never shuffled.  Decoding concatenates the tokens' bytes.  The
+tokenizer file is read by the driver from a path that is a parameter.
 
 Defined results: null and empty texts have no tokens and decode to no bytes;
-repeated rows are encoded one by one; an id outside the vocabulary decodes to
-null; an empty table gives an empty table.
+repeated rows are encoded one by one; an id outside the vocabulary is an error
+of the caller and raises; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ebbtide.llm.common import written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Largest number of distinct pieces folded ahead and sent as a literal (about 60 bytes each).
-COMMON_WORDS = 100_000
+#: Largest number of distinct pieces folded ahead and broadcast (about 40 bytes each).
+COMMON_WORDS = 400_000
 #: Counts from here on are told apart no further when the smallest common count is chosen.
 TOP_COUNT = 10_000
-_SLOTS = 1 << 15
-_NONE = 2**31 - 1
+#: Pieces held at once: of a text, and distinct ones in a partial count.
+RUN, PARTIAL = 200_000, 200_000
+#: Places of the rank map and of its displacements (powers of two).
+PLACES, SHIFTS = 1 << 18, 1 << 15
+_NONE = 1 << 30
 
 
 def default_vocabulary() -> str:
@@ -66,133 +79,276 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _slot(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(_SLOTS)).cast("int")
+# ---- the rank map as literals -----------------------------------------------
 
+@cache
+def _rank_map(path: str) -> tuple[str, str, str]:
+    """JSON of the displacement array, the places (pair * 65536 + rank, -1 if empty) and the ids of the 256 bytes."""
+    vocabulary = ranks(path)
+    pairs: dict[int, int] = {}
+    for token, rank in vocabulary.items():
+        for i in range(1, len(token)):
+            left, right = vocabulary.get(token[:i]), vocabulary.get(token[i:])
+            if left is not None and right is not None:
+                pairs[left * 65536 + right] = rank
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for key in pairs:
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
+        groups.setdefault(h % SHIFTS, []).append((key, (h >> 20) % PLACES))
+    shift, places = [0] * SHIFTS, [-1] * PLACES
+    for number, group in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
+        for by in range(PLACES):
+            spots = {at ^ by for _, at in group}
+            if len(spots) == len(group) and all(places[s] < 0 for s in spots):
+                break
+        else:
+            raise ValueError("two pairs cannot be told apart by their hash")
+        shift[number] = by
+        for key, at in group:
+            places[at ^ by] = key * 65536 + pairs[key]
+    one = [vocabulary[bytes([b])] for b in range(256)]
+    return json.dumps(shift), json.dumps(places), json.dumps(one)
+
+
+class Fold:
+    """Spark expression for the ids of one piece."""
+
+    def __init__(self, path: str):
+        # the optimizer turns from_json of a literal into an array literal once a plan
+        self.shift, self.places, self.one = (
+            F.from_json(F.lit(x), f"array<{kind}>") for x, kind in zip(_rank_map(path), ("int", "bigint", "bigint"),
+                                                                     strict=True))
+
+    def _rank(self, pair: Column) -> Column:
+        h = F.xxhash64(pair)
+        at = F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(PLACES - 1)).cast("int").bitwiseXOR(
+            F.get(self.shift, h.bitwiseAND(F.lit(SHIFTS - 1)).cast("int")))
+        return F.transform(F.array(F.get(self.places, at)), lambda e: F.when(
+            F.shiftright(e, 16) == pair, e.bitwiseAND(F.lit(65535))).otherwise(F.lit(_NONE)))[0]
 
-def _literal_map(spark: SparkSession, entries: list[tuple[str, object]], value_type: str) -> Column:
-    """A literal array of ``_SLOTS`` maps; an entry's map is that of its key's hash.
-
-    The optimizer turns ``from_json`` of a literal into a literal once per plan."""
-    import xxhash
-
-    slots: list[dict[str, object]] = [{} for _ in range(_SLOTS)]
-    for key, value in entries:
-        h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42)
-        slots[(h - (1 << 64) if h >= 1 << 63 else h) % _SLOTS][key] = value
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), f"array<map<string,{value_type}>>")
-
-
-def _find(table: Column, key: Column) -> Column:
-    return F.get(table, _slot(key))[key]
-
+    def _merge(self, state: Column) -> Column:
+        """One step: the leftmost pair of lowest rank becomes one part, whose id is that rank."""
+        parts, pair_ranks = state["parts"], state["ranks"]
+        none = F.array().cast("array<bigint>")
+
+        def merged(part: Column) -> Column:
+            def joined(at: Column) -> Column:  # the pair's place, counted from 1
+                pairs = F.concat(
+                    F.when(at > 1, F.array(F.get(parts, at - 2) * 65536 + part)).otherwise(none),
+                    F.when(at < F.size(pair_ranks), F.array(part * 65536 + F.get(parts, at + 1))).otherwise(none),
+                )
+                return F.struct(
+                    F.concat(F.slice(parts, 1, at - 1), F.array(part), F.slice(parts, at + 2, F.size(parts))).alias(
+                        "parts"),
+                    F.concat(F.slice(pair_ranks, 1, F.greatest(at - 2, F.lit(0))), F.transform(pairs, self._rank),
+                             F.slice(pair_ranks, at + 2, F.size(parts))).alias("ranks"),
+                )
+
+            place = F.array(F.array_position(pair_ranks, part).cast("int"))
+            return F.when(part < _NONE, F.get(F.transform(place, joined), F.lit(0))).otherwise(state)
+
+        return F.coalesce(F.get(F.transform(F.array(F.array_min(pair_ranks)), merged), F.lit(0)), state)
+
+    def __call__(self, piece: Column) -> Column:
+        by_byte = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")  # one character a byte
+        chars = F.filter(F.split(by_byte, ""), lambda c: c != "")
+
+        def folded(parts: Column) -> Column:
+            rest = F.slice(parts, 2, F.size(parts))
+            pairs = F.zip_with(F.slice(parts, 1, F.size(rest)), rest, lambda a, b: a * 65536 + b)
+            start = F.struct(parts.alias("parts"), F.transform(pairs, self._rank).alias("ranks"))
+            return F.aggregate(rest, start, lambda s, _: self._merge(s), lambda s: s["parts"])
+
+        return F.get(F.transform(F.array(F.transform(chars, lambda c: F.get(self.one, F.ascii(c)))), folded), F.lit(0))
+
+
+# ---- pieces -----------------------------------------------------------------
+
+def runs(pattern: regex.Pattern, text: str | None) -> Iterator[list[str]]:
+    """The pieces of a whole text, in runs of bounded size."""
+    if not text:
+        return
+    if len(text) <= 4 * RUN:
+        yield pattern.findall(text)
+        return
+    found = (m.group() for m in pattern.finditer(text))
+    while run := list(islice(found, RUN)):
+        yield run
+
+
+def _counted(docs: DataFrame, text_col: str, pattern: str, path_tokens) -> DataFrame:
+    """(piece, n) over all rows, pieces that are tokens left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, tokens = regex.compile(pattern), path_tokens.value
+        counts: Counter[str] = Counter()
+
+        def part() -> pa.RecordBatch:
+            rows = [(p, n) for p, n in counts.items() if p not in tokens]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p for p, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["piece", "n"])
+
+        for b in batches:
+            for text in b.column(0):
+                for pieces in runs(split, text.as_py()):
+                    counts.update(pieces)
+                    if len(counts) >= PARTIAL:
+                        yield part()
+        yield part()
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "piece string, n long").groupBy(
+        "piece").agg(F.sum("n").alias("n"))
+
+
+def _common(spark: SparkSession, counted: DataFrame, fold: Fold) -> dict[str, bytes]:
+    """Ids (32 bits each) of the most frequent distinct pieces, at most ``COMMON_WORDS``."""
+    heights = (
+        counted.groupBy(F.least("n", F.lit(TOP_COUNT)).alias("n")).agg(F.count(F.lit(1)).alias("pieces"))
+        .orderBy(F.desc("n")).collect()  # at most TOP_COUNT rows
+    )
+    least, total = None, 0
+    for r in heights:
+        total += r["pieces"]
+        if total > COMMON_WORDS:
+            break
+        least = r["n"]
+    if least is None:
+        return {}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.asarray(x, "<u4").tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["piece", "ids"])
+
+    table = (
+        counted.where(F.col("n") >= least).select("piece", fold(F.col("piece")).alias("ids"))
+        .mapInArrow(pack, "piece string, ids binary").toArrow()  # at most COMMON_WORDS rows
+    )
+    return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
+
+
+# ---- encoding and decoding --------------------------------------------------
+
+def _assembled(spark: SparkSession, docs: DataFrame, text_col: str, keep: list[str], path: str, pattern: str,
+               emit: Callable[[np.ndarray], dict], fields: str) -> DataFrame:
+    """``keep`` and what ``emit`` makes of the ids of every row."""
+    tokens = {t.decode("utf-8"): np.uint32(r).tobytes() for t, r in ranks(path).items() if _is_text(t)}
+    sent_tokens = spark.sparkContext.broadcast(tokens)
+    fold = Fold(path)
+    counted = written(spark, _counted(docs, text_col, pattern, sent_tokens), "bpe-pieces")
+    sent = spark.sparkContext.broadcast(_common(spark, counted, fold))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known_tokens, known = regex.compile(pattern), sent_tokens.value, sent.value
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                codes, rare = [], []
+                for text in part.column(len(keep)):
+                    new: dict[str, bytes] = {}
+                    out = []
+                    for pieces in runs(find, text.as_py()):
+                        for p in pieces:
+                            x = known_tokens.get(p) or known.get(p) or new.get(p)
+                            if x is None:  # places from the top of the 32 bits stand for the text's own words
+                                x = new[p] = np.uint32((1 << 32) - 1 - len(new)).tobytes()
+                            out.append(x)
+                        out = [b"".join(out)]
+                    codes.append(out[0] if out else b"")
+                    rare.append(list(new))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:len(keep)], pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))],
+                    [*keep, "__codes", "__rare"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                made: dict[str, list] = {}
+                for code, words in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist(),
+                                       strict=True):
+                    for k, v in emit(_in_order(np.frombuffer(code, "<u4"), words)).items():
+                        made.setdefault(k, []).append(v)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:len(keep)],
+                     *(pa.array(v, to_arrow.field(k).type) for k, v in made.items())], [*keep, *made])
+
+    added = StructType.fromDDL(fields)
+    to_arrow = to_arrow_schema(added)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    coded = source.mapInArrow(
+        split, StructType([*source.schema.fields[:-1], *StructType.fromDDL("__codes binary, __rare array<string>")]))
+    folded = coded.withColumn("__rare", F.transform("__rare", fold))
+    return folded.mapInArrow(join, StructType([*source.schema.fields[:-1], *added.fields]))
+
+
+def _is_text(token: bytes) -> bool:
+    try:
+        token.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _in_order(codes: np.ndarray, words: list[list[int]]) -> np.ndarray:
+    """The ids of a text: its own words' ids in the places that stand for them."""
+    if not words:
+        return codes.astype(np.int64)
+    own = codes >= (1 << 32) - len(words)
+    number = ((1 << 32) - 1 - codes.astype(np.int64))[own]
+    sizes = np.ones(len(codes), np.int64)
+    lens = np.array([len(w) for w in words], np.int64)
+    sizes[own] = lens[number]
+    out = np.repeat(codes.astype(np.int64), sizes)
+    starts = np.cumsum(lens) - lens
+    flat = np.concatenate([np.asarray(w, np.int64) for w in words])
+    at = (np.cumsum(sizes) - sizes)[own]
+    total = int(lens[number].sum())
+    inside = np.arange(total) - np.repeat(np.cumsum(lens[number]) - lens[number], lens[number])
+    out[np.repeat(at, lens[number]) + inside] = flat[np.repeat(starts[number], lens[number]) + inside]
+    return out
 
-class Codec:
-    """Spark expressions of one vocabulary."""
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.spark = spark
-        vocabulary = ranks(path)
-        self.pattern = f"(?U){pattern}"  # white space as Unicode has it
-        self.ranks = _literal_map(spark, [(t.decode("latin-1"), r) for t, r in vocabulary.items()], "int")
-        by_id = [""] * (max(vocabulary.values(), default=-1) + 1)
-        for token, rank in vocabulary.items():
-            by_id[rank] = token.hex()
-        self.hexes = F.split(F.lit(",".join(by_id)), ",")
+def encode(spark: SparkSession, docs: DataFrame, text_col: str = "text", path: str | None = None,
+           pattern: str | None = None) -> DataFrame:
+    """The input's columns and ``ids``, the tokens of each whole text (an input column of that name is replaced)."""
+    keep = [c for c in docs.columns if c.lower() != "ids"]
+    return _assembled(spark, docs, text_col, keep, path or default_vocabulary(), pattern or default_pattern(),
+                      lambda ids: {"ids": ids}, "ids array<int>")
 
-    def pieces(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _rank(self, part: Column) -> Column:
-        return F.coalesce(_find(self.ranks, part), F.lit(_NONE))
+def decode(spark: SparkSession, df: DataFrame, ids_col: str = "ids", out_col: str = "bytes",
+           path: str | None = None) -> DataFrame:
+    """The input's columns and the bytes of each row's ids (no ids or null: no bytes)."""
+    sent = spark.sparkContext.broadcast({r: t for t, r in ranks(path or default_vocabulary()).items()})
+    at = df.columns.index(ids_col)
 
-    def _merge(self, state: Column) -> Column:
-        """One step of the fold: the leftmost pair of lowest rank becomes one part."""
-        parts, pair_ranks = state["parts"], state["ranks"]
-        none = F.array().cast("array<int>")
-
-        def joined(at: Column) -> Column:  # the pair's place, counted from 1
-            part = F.concat(F.get(parts, at - 1), F.get(parts, at))
-            left = F.when(at > 1, F.array(self._rank(F.concat(F.get(parts, at - 2), part)))).otherwise(none)
-            right = F.when(at < F.size(pair_ranks), F.array(self._rank(F.concat(part, F.get(parts, at + 1))))).otherwise(
-                none)
-            return F.struct(
-                F.concat(F.slice(parts, 1, at - 1), F.array(part), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(pair_ranks, 1, F.greatest(at - 2, F.lit(0))), left, right,
-                         F.slice(pair_ranks, at + 2, F.size(parts))).alias("ranks"),
-            )
-
-        lowest = F.array_min(pair_ranks)
-        place = F.array_position(pair_ranks, lowest).cast("int")
-        return F.when(lowest < _NONE, F.get(F.transform(F.array(place), joined), F.lit(0))).otherwise(state)
-
-    def folded(self, piece: Column) -> Column:
-        """Ids of one piece."""
-        by_byte = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
-        parts = F.filter(F.split(by_byte, ""), lambda c: c != "")
-        start = F.struct(
-            parts.alias("parts"),
-            F.zip_with(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 2, F.size(parts)),
-                       lambda a, b: self._rank(F.concat(a, b))).alias("ranks"),
-        )
-        merged = F.aggregate(F.slice(parts, 2, F.size(parts)), start, lambda s, _: self._merge(s), lambda s: F.transform(
-            s["parts"], lambda p: self._rank(p)))
-        whole = _find(self.ranks, by_byte)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(merged)
-
-    def common(self, pieces: DataFrame) -> Column | None:
-        """Literal ids of the most frequent distinct pieces of a table with one array column ``pieces``."""
-        counted = written(
-            self.spark,
-            pieces.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")),
-            "bpe-pieces",
-        )
-        heights = (
-            counted.groupBy(F.least("n", F.lit(TOP_COUNT)).alias("n")).agg(F.count(F.lit(1)).alias("pieces"))
-            .orderBy(F.desc("n")).collect()  # at most TOP_COUNT rows
-        )
-        least, total = None, 0
-        for r in heights:
-            total += r["pieces"]
-            if total > COMMON_WORDS:
-                break
-            least = r["n"]
-        if least is None:
-            return None
-        words = counted.where(F.col("n") >= least).select("piece").repartition(8 * self.spark.sparkContext.defaultParallelism)
-        rows = words.select("piece", self.folded(F.col("piece")).alias("ids")).collect()  # at most COMMON_WORDS rows
-        return _literal_map(self.spark, sorted((r["piece"], list(r["ids"])) for r in rows), "array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [b"".join([sent.value[i] for i in ids or ()]) for ids in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, out_col])
 
-    def ids(self, pieces: Column, common: Column | None) -> Column:
-        def one(piece: Column) -> Column:
-            return self.folded(piece) if common is None else F.coalesce(_find(common, piece), self.folded(piece))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, BinaryType())]))
 
-        return F.flatten(F.transform(pieces, one))
 
-    def decoded(self, ids: Column) -> Column:
-        """Bytes of an array of ids."""
-        return F.when(F.exists(ids, lambda i: F.get(self.hexes, i).isNull()), F.lit(None)).otherwise(
-            F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hexes, i)), "")))
+def digests(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None,
+            pattern: str | None = None) -> DataFrame:
+    """``keep``, n_tokens, and the SHA-256 of the ids (joined by commas) and of the bytes they decode to."""
+    path = path or default_vocabulary()
+    sent = spark.sparkContext.broadcast({r: t for t, r in ranks(path).items()})
 
+    def emit(ids: np.ndarray) -> dict:
+        listed = ids.tolist()
+        decoded = b"".join([sent.value[i] for i in listed])
+        return {
+            "n_tokens": len(listed),
+            "ids_sha256": hashlib.sha256(",".join(map(str, listed)).encode()).hexdigest(),
+            "decoded_sha256": hashlib.sha256(decoded).hexdigest(),
+        }
 
-def encode(spark: SparkSession, docs: DataFrame, text_col: str = "text", path: str | None = None,
-           pattern: str | None = None, keep: tuple[Column, ...] | None = None) -> tuple[DataFrame, Codec]:
-    """The input's columns (or ``keep``) and ``ids``, the tokens of each whole text; and the codec to decode them."""
-    codec = Codec(spark, path or default_vocabulary(), pattern or default_pattern())
-    pieces = docs.select(codec.pieces(F.col(text_col)).alias("pieces"))
-    common = codec.common(pieces)
-    kept = keep if keep is not None else tuple(F.col(f"`{c}`") for c in docs.columns if c.lower() != "ids")
-    staged = docs.select(*kept, codec.pieces(F.col(text_col)).alias("__pieces"))
-    names = [f"`{c}`" for c in staged.columns if c != "__pieces"]
-    return staged.select(*names, codec.ids(F.col("__pieces"), common).alias("ids")), codec
+    return _assembled(spark, docs, text_col, keep, path, pattern or default_pattern(), emit,
+                      "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def contract(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    encoded, codec = encode(spark, docs, keep=(F.col("doc_id"),))
-    ids = F.col("ids")
-    return encoded.select(
-        "doc_id",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(codec.decoded(ids), 256).alias("decoded_sha256"),
-    )
+    return digests(spark, docs, ["doc_id"])
