@@ -332,22 +332,22 @@ def decode(spark: SparkSession, df: DataFrame, ids_col: str = "ids", out_col: st
 
 
 def digests(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None,
-            pattern: str | None = None) -> DataFrame:
-    """``keep``, n_tokens, and the SHA-256 of the ids (joined by commas) and of the bytes they decode to."""
+            pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``keep``, n_tokens, and the SHA-256 of the ids (joined by commas) and of the bytes they decode to; the ids too, if asked for."""
     path = path or default_vocabulary()
     sent = spark.sparkContext.broadcast({r: t for t, r in ranks(path).items()})
 
     def emit(ids: np.ndarray) -> dict:
         listed = ids.tolist()
         decoded = b"".join([sent.value[i] for i in listed])
-        return {
+        return ({"ids": ids} if with_ids else {}) | {
             "n_tokens": len(listed),
             "ids_sha256": hashlib.sha256(",".join(map(str, listed)).encode()).hexdigest(),
             "decoded_sha256": hashlib.sha256(decoded).hexdigest(),
         }
 
     return _assembled(spark, docs, text_col, keep, path, pattern or default_pattern(), emit,
-                      "n_tokens long, ids_sha256 string, decoded_sha256 string")
+                      ("ids array<int>, " if with_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def contract(spark: SparkSession, docs: DataFrame) -> DataFrame:

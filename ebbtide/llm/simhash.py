@@ -3,7 +3,7 @@
 A document becomes one 64-bit fingerprint of its word shingles.  Two
 fingerprints are linked if at most ``max_bits`` (3) bits differ.
 
-Candidate search.  A fingerprint is cut into ``(max_bits + 1) // 2`` segments
+Candidate search.  A fingerprint is cut into ``max_bits // 2 + 1`` segments
 (two of 32 bits for 3 bits), fewer than the usual ``max_bits + 1``.  By the
 pigeonhole principle at least one segment of a linked pair then differs by at
 most one bit.  Each segment is indexed as it is, and once more for each of its
@@ -23,7 +23,9 @@ checkpoint folder; nothing but two numbers a round reaches the driver.
 
 Defined results: null and blank texts have fingerprint zero and are linked like
 any other; a text shorter than a shingle is hashed as one sequence; rows with
-the same id keep a row each; an empty table gives an empty table.
+the same id keep a row each; a null id is no node, so a row without an id joins a
+component only through the texts it shares a fingerprint with; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
     """(shift, width) of the segments a fingerprint is cut into."""
-    n = max((max_bits + 1) // 2, 1)
+    n = max_bits // 2 + 1  # so one segment holds at most one of the differing bits
     cuts = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -88,11 +90,8 @@ def _signed(value: int) -> int:
 
 
 def _index(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(key, side, fp, node): plain segments (side null) and their one-wildcard variants (side = the bit left out).
-
-    The key packs the segment's number and the wildcard position beside the hash-free
-    segment value: both are kept apart as (slot, value), so keys never collide.
-    """
+    """(slot, value, side, fp, node): plain segments (side 2) and their one-wildcard variants (side = the bit left out).
+    A slot is a segment and the place of its wildcard, so keys of different kinds never meet."""
     fp = F.col("fp")
     rows: list[Column] = []
     for s, (shift, width) in enumerate(_segments(max_bits)):
@@ -175,5 +174,14 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     )
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the one with the smallest id, with all its columns.
+    Repeated rows of an id shrink to one; rows with a null id stay."""
+    named = docs.where(F.col(id_col).isNotNull())
+    first = near_duplicates(spark, named, id_col, text_col).select(F.col("component_id").alias("_first")).distinct()
+    kept = named.join(first, F.col(id_col).cast("long") == F.col("_first"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def contract(spark: SparkSession, df: DataFrame) -> DataFrame:
     return near_duplicates(spark, df)
