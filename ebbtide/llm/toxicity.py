@@ -44,7 +44,8 @@ THRESHOLD = 0.5
 FOLDS, HELD_OUT_FOLD = 5, 0
 WINDOW, STRIDE = 24, 16
 WORD_ROWS, GRAM_ROWS, EDGE_ROWS, WORD_DIM, GRAM_DIM, EDGE_DIM, HIDDEN = 8192, 4096, 8192, 8, 12, 6, 8
-EPOCHS, BATCH_TEXTS, RATE = 6, 32, 0.01
+#: Passes over the sample; a small sample gets as many more as make up ``LEAST_STEPS`` steps.
+EPOCHS, LEAST_STEPS, BATCH_TEXTS, RATE = 6, 150, 32, 0.01
 #: Windows in one forward pass; words looked up before their texts are scored; distinct words remembered.
 BLOCK_WINDOWS, FLUSH_WORDS, KNOWN_WORDS = 4096, 100_000, 60_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -264,7 +265,9 @@ def fit(texts: list[str], y: np.ndarray, prior: float, epochs: int = EPOCHS, see
     p, rng = _start(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v2 = {k: np.zeros_like(v) for k, v in p.items()}
-    step, steps = 0, epochs * -(-len(y) // BATCH_TEXTS)
+    a_pass = -(-len(y) // BATCH_TEXTS)
+    epochs = max(epochs, -(-LEAST_STEPS // a_pass))
+    step, steps = 0, epochs * a_pass
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH_TEXTS):
