@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.constants import DECLINE_CUTOFF, EPS, NULL_TOKENS, RISK_HIGH, RISK_MEDIUM, TIER_EDGES
@@ -35,6 +35,17 @@ def scrub_tokens(x, tokens: Iterable[str] = NULL_TOKENS) -> Column:
     return F.when(c.isin(*tokens), F.lit(None)).otherwise(c)
 
 
+def is_missing(df: DataFrame, name: str) -> Column:
+    """NULL, or NaN in a floating-point column (the two are one missing value)."""
+    c = F.col(name)
+    return (c.isNull() | F.isnan(c)) if df.schema[name].dataType.typeName() in ("double", "float") else c.isNull()
+
+
+def without_nan(df: DataFrame, name: str) -> Column:
+    """The column with NaN turned into NULL."""
+    return F.when(~is_missing(df, name), F.col(name))
+
+
 def log1p_safe(x) -> Column:
     """``log1p`` defined only above -1 (NULL at and below, like NaN/-inf dropped)."""
     c = _c(x)

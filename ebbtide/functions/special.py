@@ -16,16 +16,21 @@ from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-_EPS = 1e-15
+_EPS = 4e-16
 _TINY = 1e-300
 
 
+def _steps(a: float) -> int:
+    """Both expansions settle within a multiple of sqrt(a) steps; far beyond it they have failed."""
+    return 1000 + int(40 * math.sqrt(a))
+
+
 def _betacf(a: float, b: float, x: float) -> float:
     qab, qap, qam = a + b, a + 1.0, a - 1.0
     c, d = 1.0, 1.0 - qab * x / qap
     d = 1.0 / (d if abs(d) > _TINY else _TINY)
     h = d
-    for m in range(1, 500):
+    for m in range(1, _steps(max(a, b))):
         m2 = 2 * m
         aa = m * (b - m) * x / ((qam + m2) * (a + m2))
         d = 1.0 + aa * d
@@ -41,8 +46,8 @@ def _betacf(a: float, b: float, x: float) -> float:
         de = d * c
         h *= de
         if abs(de - 1.0) < _EPS:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"incomplete beta did not converge for a={a}, b={b}, x={x}")
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:
@@ -71,18 +76,18 @@ def gammainc_upper_reg(a: float, x: float) -> float:
     gln = math.lgamma(a)
     if x < a + 1.0:
         ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(1000):
+        for _ in range(_steps(a)):
             ap += 1.0
             d *= x / ap
             s += d
             if abs(d) < abs(s) * _EPS:
-                break
-        return 1.0 - s * math.exp(-x + a * math.log(x) - gln)
+                return 1.0 - s * math.exp(-x + a * math.log(x) - gln)
+        raise ArithmeticError(f"incomplete gamma did not converge for a={a}, x={x}")
     b = x + 1.0 - a
     c = 1.0 / _TINY
     d = 1.0 / b
     h = d
-    for i in range(1, 1000):
+    for i in range(1, _steps(a)):
         an = -i * (i - a)
         b += 2.0
         d = an * d + b
@@ -93,8 +98,8 @@ def gammainc_upper_reg(a: float, x: float) -> float:
         de = d * c
         h *= de
         if abs(de - 1.0) < _EPS:
-            break
-    return math.exp(-x + a * math.log(x) - gln) * h
+            return math.exp(-x + a * math.log(x) - gln) * h
+    raise ArithmeticError(f"incomplete gamma did not converge for a={a}, x={x}")
 
 
 def chi2_sf(x: float, dof: float) -> float:

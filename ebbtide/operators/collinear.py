@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType, StringType, StructField, StructType
 
+from ebbtide.functions.scalar import is_missing
 from ebbtide.operators.stages import JsonEstimator, StateModel
 
 
@@ -59,29 +60,29 @@ def gram_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     return g
 
 
-def vif_from_gram(g: np.ndarray) -> np.ndarray:
+def vif_from_gram(g: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """VIF_i = (R^-1)_ii with R the Gram matrix scaled to a unit diagonal, so columns
+    of any magnitude count alike.  Columns that take part in an exact linear
+    dependence (and all-zero columns) are infinite; the rest use the
+    pseudo-inverse on the remaining directions."""
     d = g.shape[0]
-    out = np.empty(d)
-    for i in range(d):
-        gii = g[i, i]
-        if d == 1:
-            out[i] = 1.0
-            continue
-        others = [j for j in range(d) if j != i]
-        sub = g[np.ix_(others, others)]
-        gi = g[others, i]
-        beta, *_ = np.linalg.lstsq(sub, gi, rcond=None)
-        rss = gii - gi @ beta
-        out[i] = np.inf if rss <= 1e-12 * max(gii, 1e-300) else gii / rss
-    return out
+    diag = np.diag(g)
+    scale = np.sqrt(np.where(diag > 0, diag, 1.0))
+    w, v = np.linalg.eigh(g / np.outer(scale, scale))
+    null = w <= tol * d
+    power = v * v
+    out = power[:, ~null] @ (1.0 / w[~null])
+    out[power[:, null].sum(axis=1) > 1e-9] = np.inf
+    out[diag <= 0] = np.inf
+    return np.ones(1) if d == 1 else out
 
 
 def numeric_null_free(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    """Numeric columns without any NULL (``dropna(axis=1)``), via one null-count aggregate."""
+    """Numeric columns without any NULL or NaN (``dropna(axis=1)``), via one count aggregate."""
     num = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
     if not num:
         return []
-    row = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in num]).first()
+    row = df.agg(*[F.sum(is_missing(df, c).cast("long")).alias(c) for c in num]).first()
     return [c for c in num if (row[c] or 0) == 0]
 
 

@@ -11,6 +11,7 @@ computed by subtraction (total - fold) from one grouped pass, never k scans.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -20,10 +21,17 @@ from pyspark.sql.types import NumericType, StringType
 from ebbtide.functions.constants import HIGH_CARD_CATS, TARGET_SMOOTHING
 from ebbtide.operators.profile import long_values
 from ebbtide.operators.split import dense_rank_values
+from ebbtide.functions.scalar import without_nan
 from ebbtide.operators.stages import JsonEstimator, StateModel, TableModel
+from ebbtide.session import scratch_path
 
-# fitted lookup tables up to this many rows are broadcast to every task
-BROADCAST_ROWS = 2_000_000
+
+def _fitted(table: DataFrame, name: str) -> DataFrame:
+    """Write a fitted lookup table to the shared checkpoint folder: transforms start
+    from the files, whose measured bytes let adaptive execution choose the join."""
+    path = scratch_path(table.sparkSession, f"fitted/{name}-{uuid.uuid4().hex}")
+    table.write.parquet(path)
+    return table.sparkSession.read.parquet(path)
 
 
 class MixedImputerModel(StateModel):
@@ -33,7 +41,7 @@ class MixedImputerModel(StateModel):
         out = []
         for x in df.columns:
             if x in num:
-                out.append(F.coalesce(F.col(x).cast("double"), F.lit(num[x])).alias(x))
+                out.append(F.coalesce(without_nan(df, x).cast("double"), F.lit(num[x])).alias(x))
             elif x in cat:
                 out.append(F.coalesce(F.col(x), F.lit(cat[x])).alias(x))
             else:
@@ -43,8 +51,8 @@ class MixedImputerModel(StateModel):
 
 class MixedImputer(JsonEstimator):
     """Numeric -> train median (exact, midpoint on even n); string -> train mode
-    (most frequent, smallest on ties).  All medians and modes in ONE aggregate.
-    Boolean columns pass through untouched.  Numerics come out as double."""
+    (most frequent, smallest on ties).  NaN counts as missing.  Boolean columns pass
+    through untouched.  Numerics come out as double."""
 
     def __init__(self, exclude: Sequence[str] = ()):
         super().__init__(exclude=list(exclude))
@@ -83,12 +91,10 @@ class TargetEncoderModel(TableModel):
             if f != -1:
                 gm_expr = F.when(F.col("_te_fold") == f, F.lit(g)).otherwise(gm_expr)
         out = df.withColumn("_te_fold", fold.cast("int"))
-        small = st["table_rows"] <= BROADCAST_ROWS
         for c in cols:
             m = self.table.where(F.col("column") == c).select(
                 F.col("fold").alias("_te_fold"), F.col("value").alias(f"_te_v_{c}"), F.col("enc").alias(f"{c}_enc")
             )
-            m = F.broadcast(m) if small else m
             out = out.join(m, (out["_te_fold"] == m["_te_fold"]) & (out[c] == m[f"_te_v_{c}"]), "left").drop(
                 m["_te_fold"], m[f"_te_v_{c}"]
             )
@@ -146,21 +152,18 @@ class TargetEncoderOOF(JsonEstimator):
             "column", "value", F.lit(-1).alias("fold"),
             ((F.col("y_t") + k * F.lit(fold_means[-1])) / (F.col("n_t") + k)).alias("enc"),
         )
-        table = oof.unionByName(full).cache()
-        rows = table.count()
-        state = {"columns": cols, "fold_means": {str(kk): v for kk, v in fold_means.items()}, "table_rows": rows}
+        table = _fitted(oof.unionByName(full), "target-encoder")
+        state = {"columns": cols, "fold_means": {str(kk): v for kk, v in fold_means.items()}}
         return TargetEncoderModel(state=state, table=table, foldCol=fold_col)
 
 
 class OrdinalEncoderModel(TableModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         cols = [c for c in self._get_state()["columns"] if c in df.columns]
-        small = self._get_state()["table_rows"] <= BROADCAST_ROWS
         out = df
         for c in cols:
             m = self.table.where(F.col("column") == c).select(F.col("value").alias(f"_oe_{c}"),
                                                               F.col("code").alias(f"_oe_code_{c}"))
-            m = F.broadcast(m) if small else m
             out = out.join(m, out[c] == m[f"_oe_{c}"], "left").drop(f"_oe_{c}")
         return out.select(
             *[
@@ -181,11 +184,10 @@ class OrdinalCategoricalEncoder(JsonEstimator):
         skip = set(self._opts()["exclude"])
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in skip]
         if not cols:
-            return OrdinalEncoderModel(state={"columns": [], "table_rows": 0},
+            return OrdinalEncoderModel(state={"columns": []},
                                        table=df.sparkSession.createDataFrame([], "column string, value string, code double"))
         long = long_values(df, cols, value_type="string", var="column", val="value").where(F.col("value").isNotNull())
         # exact sorted rank of the distinct values without one task per column
         ranked_values = dense_rank_values(long, "column", "value", "rank")
-        table = ranked_values.select("column", "value", (F.col("rank") - 1).cast("double").alias("code")).cache()
-        rows = table.count()
-        return OrdinalEncoderModel(state={"columns": cols, "table_rows": rows}, table=table)
+        table = ranked_values.select("column", "value", (F.col("rank") - 1).cast("double").alias("code"))
+        return OrdinalEncoderModel(state={"columns": cols}, table=_fitted(table, "ordinal-encoder"))

@@ -81,12 +81,11 @@ class PercentileClipperModel(StateModel):
 
 
 class PercentileClipper(JsonEstimator):
-    """Clip ratio-named columns at train quantiles (linear interpolation, exact);
-    ``accuracy`` switches to ``percentile_approx`` for very large inputs."""
+    """Clip ratio-named columns at train quantiles (linear interpolation, exact)."""
 
     def __init__(self, lower: float = 0.01, upper: float = 0.99, keywords: Sequence[str] = RATIO_KEYWORDS,
-                 exact: bool = True, accuracy: int = 10000):
-        super().__init__(lower=lower, upper=upper, keywords=list(keywords), exact=exact, accuracy=accuracy)
+                 accuracy: int = 10000):
+        super().__init__(lower=lower, upper=upper, keywords=list(keywords), accuracy=accuracy)
 
     def _fit(self, df: DataFrame) -> PercentileClipperModel:
         o = self._opts()
@@ -96,7 +95,7 @@ class PercentileClipper(JsonEstimator):
         from ebbtide.operators.profile import quantiles
 
         lo, hi = float(o["lower"]), float(o["upper"])
-        rows = quantiles(df, cols, [lo, hi], exact=bool(o["exact"]), accuracy=int(o["accuracy"])).collect()
+        rows = quantiles(df, cols, [lo, hi], accuracy=int(o["accuracy"])).collect()
         found: dict[str, dict[float, float]] = {}
         for r in rows:  # 2 x #columns rows
             found.setdefault(r["feature"], {})[float(r["q"])] = float(r["value"])

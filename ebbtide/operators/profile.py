@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
-from ebbtide.functions.scalar import width_bin
+from ebbtide.functions.scalar import is_missing, width_bin
 
 
 def _numeric_cols(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -57,11 +57,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per column: null count and rate, from one one-row aggregate then unpivot."""
+    """Per column: count and rate of missing values (NULL or NaN), from one one-row aggregate then unpivot."""
     cols = list(cols or df.columns)
     wide = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(F.col(c).isNull().cast("long")).alias(f"_m{i}") for i, c in enumerate(cols)],
+        *[F.sum(is_missing(df, c).cast("long")).alias(f"_m{i}") for i, c in enumerate(cols)],
     )
     stack = ", ".join(f"'{c}', _m{i}" for i, c in enumerate(cols))
     long = wide.select("_rows", F.expr(f"stack({len(cols)}, {stack}) AS (column, nulls)"))
@@ -79,7 +79,7 @@ def missing_by_row_bucket(df: DataFrame, key: str, cols: Sequence[str], buckets:
 
     b = df.select((md5_int(F.col(key).cast("string")) % buckets).cast("int").alias("row_bucket"), *cols)
     wide = b.groupBy("row_bucket").agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols]
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(is_missing(df, c).cast("long")).alias(c) for c in cols]
     )
     long = wide.unpivot(["row_bucket", "_rows"], list(cols), "column", "nulls")
     return long.select("row_bucket", "column", (F.col("nulls") / F.col("_rows")).alias("null_rate"))
@@ -114,34 +114,21 @@ def crosstab(df: DataFrame, cats: Sequence[str], label: str) -> DataFrame:
     )
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact: bool = True,
-              accuracy: int = 10000) -> DataFrame:
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10000) -> DataFrame:
     """Per column quantiles with linear interpolation at (n-1)q, exact by distributed
-    selection (see ``operators.quantile``); ``exact=False`` returns the
-    ``percentile_approx`` values directly."""
-    long = long_values(df, cols)
-    if exact:
-        from ebbtide.operators.quantile import exact_quantiles
-
-        return exact_quantiles(long, ["feature"], "value", probs, accuracy)
-    arr = F.array(*[F.lit(float(q)) for q in probs])
-    agg = F.percentile_approx(F.col("value"), arr, accuracy)
-    g = long.groupBy("feature").agg(agg.alias("qs"))
-    return g.select(
-        "feature",
-        F.posexplode("qs").alias("i", "value"),
-    ).select("feature", F.element_at(arr, F.col("i") + 1).alias("q"), "value")
+    selection (see ``operators.quantile``)."""
+    from ebbtide.operators.quantile import exact_quantiles
+
+    return exact_quantiles(long_values(df, cols), ["feature"], "value", probs, accuracy)
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """Box plot statistics per (feature, label): quartiles, mean, whiskers ending on a
-    datum within 1.5 IQR, outlier count.  Pass 1: quartiles (grouped, exact
-    percentile); pass 2: fence join (broadcast of a #features x #labels table)
-    and min/max/count inside the fences."""
+    datum within 1.5 IQR, outlier count.  Pass 1: quartiles (exact selection);
+    pass 2: fence join and min/max/count inside the fences."""
     from ebbtide.operators.quantile import exact_quantiles
 
-    # read by the moments, the quantile selection and the fence pass: computed once
-    long = long_values(df, cols, ids=[label]).where(F.col("value").isNotNull()).cache()
+    long = long_values(df, cols, ids=[label]).where(F.col("value").isNotNull() & ~F.isnan("value"))
     qs = exact_quantiles(long, ["feature", label], "value", [0.25, 0.5, 0.75]).groupBy("feature", label).agg(
         *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name)
           for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
@@ -155,7 +142,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     )
     v = F.col("value")
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
-    w = long.join(F.broadcast(fences.select("feature", label, "lo_fence", "hi_fence")), ["feature", label])
+    w = long.join(fences.select("feature", label, "lo_fence", "hi_fence"), ["feature", label])
     whiskers = w.groupBy("feature", label).agg(
         F.min(F.when(inside, v)).alias("whisker_lo"),
         F.max(F.when(inside, v)).alias("whisker_hi"),
@@ -225,7 +212,7 @@ def density_smooth(df: DataFrame, col: str, label: str, clip_q: float = 0.97, n_
     stats = v.groupBy(label).agg(F.min("x").alias("x_min"), F.count(F.lit(1)).alias("n")).join(caps, label)
     stats = stats.select(label, "cap", "n", F.least(F.col("x_min"), F.col("cap")).alias("lo"),
                          F.col("cap").alias("hi"))
-    clipped = v.join(F.broadcast(stats), label).select(
+    clipped = v.join(stats, label).select(
         label, F.least(F.col("x"), F.col("cap")).alias("x"), "lo", "hi", "n"
     )
     counts = clipped.groupBy(label, width_bin("x", F.col("lo"), F.col("hi"), n_bins).alias("bin")).agg(

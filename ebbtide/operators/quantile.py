@@ -9,22 +9,27 @@ the exact answer is found by selection:
    e = 4 / accuracy (``percentile_approx`` has rank error <= n / accuracy),
    which bracket the two ranks floor((n-1)q) and floor((n-1)q) + 1;
 2. one pass over the rows counts, per (group, q), the values below the
-   bracket and keeps only the rows inside it (about 8n / accuracy rows);
-3. the bracket rows are ranked (a window per (group, q) over those few rows);
-   the values at the two target ranks are interpolated.
+   bracket and, for each distinct value inside it, its copies; equal values
+   collapse before the shuffle, however many there are;
+3. running counts over the distinct values of a bracket (about 8n / accuracy at
+   most) say which value holds each target rank; the two are interpolated.
 
 A bracket that fails its check (possible only for tiny, edge-case groups)
 is widened and recomputed for those groups alone; the last round uses the
-whole value range, which is always correct.
+whole value range, which is always correct.  The result, one row per group and
+probability, is written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.session import scratch_path
+
 ACCURACY = 10_000
 
 
@@ -33,9 +38,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     """(by..., q, value): exact linear-interpolated quantiles of ``value`` per group (NULLs ignored)."""
     by = list(by)
     probs = [float(q) for q in probs]
-    # cached: every round reads it several times, and later plans see a leaf
-    # instead of the caller's (possibly deep) lineage
-    d = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()).cache()
+    d = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     margin = 4.0 / accuracy
     result = None
     pending = None  # (by..., qi) still to solve
@@ -64,30 +67,36 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
                                  (pos - F.floor(pos)).alias("_frac"))
         if pending is not None:
             targets = targets.join(pending, [*by, "qi"], "left_semi")
-        # targets: #groups x #probs rows (bounded by the caller's group count)
-        joined = d.join(F.broadcast(targets), by)
-        below = joined.groupBy(*by, "qi").agg(F.sum((F.col("_v") < F.col("lo")).cast("long")).alias("_below"))
-        inside = joined.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-        w = Window.partitionBy(*by, "qi").orderBy("_v")
-        ranked = inside.join(below, [*by, "qi"]).select(
-            *by, "qi", "q", "_k", "_frac", "_n", "_v",
-            (F.col("_below") + F.row_number().over(w) - 1).alias("_rank"),
-        )
-        picked = ranked.groupBy(*by, "qi", "q", "_k", "_frac", "_n").agg(
-            F.max(F.when(F.col("_rank") == F.col("_k"), F.col("_v"))).alias("_a"),
-            F.max(F.when(F.col("_rank") == F.least(F.col("_k") + 1, F.col("_n") - 1), F.col("_v"))).alias("_b"),
-        ).cache()
+        # one row per (group, q, value in the bracket), and one with a null value for all below it
+        joined = d.join(targets, by).where(F.col("_v") <= F.col("hi"))
+        counts = joined.groupBy(*by, "qi", "q", "_k", "_frac", "_n", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias(
+            "_v")).agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*by, "qi").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        upto = counts.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
+
+        def at(rank):
+            return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+
+        picked = upto.groupBy(*by, "qi", "q", "_k", "_frac", "_n").agg(
+            at(F.col("_k")).alias("_a"), at(F.least(F.col("_k") + 1, F.col("_n") - 1)).alias("_b"))
+        picked = _written(picked, attempt)
         ok = picked.where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
         solved = ok.select(*by, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")).alias("value"))
         result = solved if result is None else result.unionByName(solved)
-        all_targets = targets.select(*by, "qi")
-        pending = all_targets.join(ok.select(*by, "qi"), [*by, "qi"], "left_anti").cache()
-        if pending.count() == 0:
+        pending = picked.where(F.col("_a").isNull() | F.col("_b").isNull()).select(*by, "qi")
+        if whole or not pending.head(1):
             break
         margin *= 16
     return result
 
 
+def _written(df: DataFrame, attempt: int) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"quantiles/{uuid.uuid4().hex}-{attempt}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def exact_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return exact_quantiles(df, by, value, [0.5]).drop("q")
 

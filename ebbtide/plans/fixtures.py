@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ebbtide.functions.constants import EPS
 from ebbtide.functions.scalar import md5_int
 from ebbtide.operators.split import stratified_split
+from ebbtide.session import scratch_path
 from ebbtide.sources.tables import table
 
 CUTOFF = "2001-02-15"
@@ -40,37 +41,51 @@ def _count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0))
 
 
-STAGE_VERSION = "2"  # bump when a stage table's definition changes
+STAGE_VERSION = "3"  # bump when a stage table's definition changes
 
 
-def _source_signature(sf_dir: str) -> str:
-    """Fingerprint of the input folder (paths, sizes, mtimes) for stage-table reuse."""
+def _source_signature(spark: SparkSession, sf_dir: str) -> str:
+    """Fingerprint of the input files (paths, sizes, times) for stage-table reuse, taken
+    through the Hadoop file system, so that it follows the data on any store."""
     import hashlib
-    import os
 
-    h = hashlib.sha1(f"{STAGE_VERSION}|{os.path.abspath(sf_dir)}".encode())
-    if os.path.isdir(sf_dir):
-        for name in sorted(os.listdir(sf_dir)):
-            st = os.stat(os.path.join(sf_dir, name))
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+    path, fs = _hadoop(spark, sf_dir)
+    h = hashlib.sha1(f"{STAGE_VERSION}|{path}".encode())
+    files = fs.listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:16]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(qualified path, file system) of a path on whatever store it names."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(p), fs
+
+
+def stage_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return scratch_path(spark, f"stage/{_source_signature(spark, sf_dir)}/{name}")
+
+
+def stage_done(spark: SparkSession, path: str) -> bool:
+    done, fs = _hadoop(spark, f"{path}/_SUCCESS")
+    return fs.exists(done)
+
+
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Stage table: built once per input folder, written as Parquet under the
     cluster's shared checkpoint folder and read back.  Cuts lineage (a lost
     executor re-reads files instead of recomputing joins) and lets every later
     query start from the written table."""
-    from pyspark.errors import AnalysisException
-
-    from ebbtide.session import scratch_path
-
-    path = scratch_path(spark, f"stage/{_source_signature(sf_dir)}/{name}")
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # not written yet
+    path = stage_path(spark, sf_dir, name)
+    if not stage_done(spark, path):  # never written, or not to the end
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def cust_feat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,31 +6,34 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.functions.scalar import is_missing
 from ebbtide.operators import metrics as M
-from ebbtide.operators.explain import linear_attributions, tree_attributions
+from ebbtide.operators.explain import linear_attributions, mean_abs, tree_attributions_wide
 from ebbtide.operators.models import (
     FEATURES,
+    LOGISTIC_C,
     assemble,
     cross_validate,
     feature_columns,
     importance_table,
     knn_score,
+    lgb_param_draws,
     model_zoo,
     positive_probability,
     random_search,
     with_class_weight,
-    with_validation_slice,
+    xgb_param_draws,
 )
 from ebbtide.operators.preprocess import ID_COLS, build_preprocessing_pipeline
 from ebbtide.operators.split import kfold
 from ebbtide.plans.common import round_doubles
 from ebbtide.plans.fixture_sql import with_views
-from ebbtide.plans.fixtures import materialized
+from ebbtide.plans.fixtures import materialized, stage_done, stage_path
 from ebbtide.plans.q_features import dirty_split
 from ebbtide.plans.registry import register
 from ebbtide.session import scratch_path
@@ -42,11 +45,12 @@ def processed(spark, sf_dir) -> DataFrame:
 
     def build():
         d = dirty_split(spark, sf_dir)
-        d = d.withColumn("fold", F.when(F.col("split") == "train", F.col("fold"))).cache()
+        d = d.withColumn("fold", F.when(F.col("split") == "train", F.col("fold")))
         model = build_preprocessing_pipeline().fit(d.where(F.col("split") == "train"))
-        out = model.transform(d)
-        # duplicated raw rows (same customer twice) are one customer in the matrix
-        return out.dropDuplicates(["cust_id"])
+        # duplicated raw rows stay rows of their own: copies of a customer are numbered
+        copy = F.row_number().over(Window.partitionBy("cust_id").orderBy("cust_id"))
+        return no_nulls(model.transform(d)).withColumn(
+            "row_id", F.concat_ws("-", F.col("cust_id").cast("string"), copy.cast("string")))
 
     return materialized(spark, sf_dir, "processed", build)
 
@@ -57,11 +61,24 @@ def _matrix(spark, sf_dir):
     return df, cols
 
 
+def no_nulls(df: DataFrame) -> DataFrame:
+    """The frame itself; the job fails at a row with a missing value in a feature
+    (the post-condition of preprocessing)."""
+    missing = F.lit(False)
+    for c in df.columns:
+        if c not in ID_COLS:
+            missing = missing | is_missing(df, c)
+    return df.where(F.when(missing, F.raise_error(F.lit("preprocessing left a missing value"))).otherwise(F.lit(True)))
+
+
 def _best_model(spark, sf_dir):
+    """The boosted model of the test queries, fitted once per input on every train row and kept beside the stage tables."""
     df, cols = _matrix(spark, sf_dir)
-    tr = assemble(with_validation_slice(with_class_weight(df.where(F.col("split") == "train"))), cols)
-    model = model_zoo()["LightGBM"].fit(tr)
-    return model, df, cols
+    path = stage_path(spark, sf_dir, "boosted-model")
+    if not stage_done(spark, f"{path}/metadata"):
+        tr = assemble(with_class_weight(df.where(F.col("split") == "train")), cols)
+        model_zoo()["LightGBM"].fit(tr).write().overwrite().save(path)
+    return GBTClassificationModel.load(path), df, cols
 
 
 @register("model_batch_score")
@@ -69,7 +86,7 @@ def model_batch_score(spark, sf_dir):
     """Positive-class probability of the test customers from the boosted model."""
     model, df, cols = _best_model(spark, sf_dir)
     te = assemble(df.where(F.col("split") == "test"), cols)
-    return round_doubles(positive_probability(model.transform(te)).select("cust_id", "churn", "p"))
+    return round_doubles(positive_probability(model.transform(te)).select("row_id", "cust_id", "churn", "p"))
 
 
 @register("sink_model_roundtrip")
@@ -77,7 +94,7 @@ def sink_model_roundtrip(spark, sf_dir):
     """Fitted preprocessing + classifier saved with ML persistence, loaded back and
     applied to the test rows; returns scores before and after the round trip."""
     d = dirty_split(spark, sf_dir)
-    d = d.withColumn("fold", F.when(F.col("split") == "train", F.col("fold"))).cache()
+    d = d.withColumn("fold", F.when(F.col("split") == "train", F.col("fold")))
     train = d.where(F.col("split") == "train")
     prep = build_preprocessing_pipeline().fit(train)
     mat = prep.transform(train)
@@ -100,10 +117,11 @@ def sink_model_roundtrip(spark, sf_dir):
 def _cv_scores(spark, sf_dir, parallelism=8):
     df, cols = _matrix(spark, sf_dir)
     tr = df.where(F.col("split") == "train")
-    folds = kfold(tr.select("cust_id", "churn"), "cust_id", "churn", 3, seed=44).select(
-        "cust_id", F.col("fold").cast("int").alias("cv_fold"))
-    data = tr.join(folds, "cust_id")
-    return cross_validate(model_zoo(), data, "cv_fold", 3, cols, parallelism=parallelism)
+    folds = kfold(tr.select("row_id", "churn"), "row_id", "churn", 3, seed=44).select(
+        "row_id", F.col("fold").cast("int").alias("cv_fold"))
+    data = tr.join(folds, "row_id")
+    return cross_validate(model_zoo(early_stopping=True), data, "cv_fold", 3, cols, key="row_id",
+                          parallelism=parallelism)
 
 
 @register("model_cv_summary")
@@ -122,22 +140,45 @@ def model_cv_summary(spark, sf_dir):
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("folds")))
 
 
+def _search(spark, sf_dir, name: str):
+    """30 seeded draws of one search space, 5 stratified folds; best first, kept as a stage table."""
+    df, cols = _matrix(spark, sf_dir)
+
+    def build():
+        tr = df.where(F.col("split") == "train").withColumn("fold", F.col("fold").cast("int"))
+        data = assemble(with_class_weight(tr), cols)
+        est = model_zoo()[name]
+        draws = xgb_param_draws(est, tr.count()) if name == "XGBoost" else lgb_param_draws(est)
+        rows = [
+            (d, ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)), float(auc))
+            for d, pm, auc in random_search(est, draws, data, "fold", parallelism=8, stop_early=True)
+        ]
+        return spark.createDataFrame(rows, "draw int, params string, cv_roc_auc double")
+
+    return materialized(spark, sf_dir, f"search-{name}", build)
+
+
 @register("model_random_search")
 def model_random_search(spark, sf_dir):
-    """30 seeded draws of boosted-tree settings, 5 stratified folds, ROC-AUC; draws
-    ranked by mean CV AUC (the refit best model is the search result)."""
-    df, cols = _matrix(spark, sf_dir)
-    tr = df.where(F.col("split") == "train").withColumn("fold", F.col("fold").cast("int"))
-    data = assemble(with_validation_slice(with_class_weight(tr)), cols)
-    est = model_zoo()["LightGBM"]
-    cvm = random_search(est, data, "fold", n_iter=30, parallelism=8)
-    maps = cvm.getEstimatorParamMaps()
-    rows = []
-    for i, (pm, auc) in enumerate(zip(maps, cvm.avgMetrics)):
-        desc = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((i, desc, float(auc)))
-    out = spark.createDataFrame(rows, "draw int, params string, cv_roc_auc double")
-    return round_doubles(out)
+    """The XGBoost search: 30 draws by mean CV ROC-AUC."""
+    return round_doubles(_search(spark, sf_dir, "XGBoost"))
+
+
+@register("model_random_search_lgb")
+def model_random_search_lgb(spark, sf_dir):
+    """The LightGBM search: 30 draws from its own space by mean CV ROC-AUC."""
+    return round_doubles(_search(spark, sf_dir, "LightGBM"))
+
+
+@register("model_tuning_result")
+def model_tuning_result(spark, sf_dir):
+    """Best CV ROC-AUC of each search, best model first (the tuning summary of the searches themselves)."""
+    best = [
+        _search(spark, sf_dir, name).agg(F.max("cv_roc_auc").alias("cv_roc_auc")).select(
+            F.lit(name).alias("model"), "cv_roc_auc")
+        for name in ("LightGBM", "XGBoost")
+    ]
+    return round_doubles(best[0].unionByName(best[1]).orderBy(F.col("cv_roc_auc").desc(), "model"))
 
 
 KNN_COLS = ("rev_Mean", "mou_Mean", "avgrev", "plcd_vce_Mean", "totmrc_Mean")
@@ -168,7 +209,7 @@ FROM top GROUP BY q_key
 @register("join_knn_score", _knn_sql())
 def join_knn_score(spark, sf_dir):
     """Exact 15-NN distance-weighted churn score of every test customer among the
-    train customers (standardised columns; band join on a 1-D projection)."""
+    train customers (standardised columns; grid over two random projections)."""
     from ebbtide.plans.fixtures import cust_split
 
     s = cust_split(spark, sf_dir)
@@ -182,10 +223,29 @@ def join_knn_score(spark, sf_dir):
 def _linear(spark, sf_dir):
     df, cols = _matrix(spark, sf_dir)
     tr = df.where(F.col("split") == "train")
-    lr = LogisticRegression(featuresCol=FEATURES, labelCol="churn", regParam=0.1, maxIter=200)
+    lr = LogisticRegression(featuresCol=FEATURES, labelCol="churn", regParam=1 / (LOGISTIC_C * tr.count()), maxIter=200)
     model = lr.fit(assemble(tr, cols))
     te = df.where(F.col("split") == "test")
-    return linear_attributions(model, tr, te, cols), te, cols, model
+    return linear_attributions(model, tr, te, cols, key="row_id"), te, cols, model
+
+
+def _local(att, scored):
+    """Top 15 attributions by |value| of the rows with the highest and the lowest probability."""
+    ext = scored.agg(
+        F.max_by("row_id", F.struct(F.col("p"), F.col("row_id"))).alias("high"),
+        F.min_by("row_id", F.struct(F.col("p"), F.col("row_id"))).alias("low"),
+    ).first()  # two ids
+    who = F.when(F.col("row_id") == ext["high"], "High-Risk Churner").otherwise("Safe Customer")
+    w = Window.partitionBy("row_id").orderBy(F.abs("shap_value").desc(), "feature")
+    two = att.where(F.col("row_id").isin(ext["high"], ext["low"]))
+    return round_doubles(two.select(who.alias("who"), "*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= 15))
+
+
+def _dependence(att, te, cols, means):
+    """(feature value, attribution) pairs for the 3 features of largest mean |attribution|."""
+    top3 = [r["feature"] for r in means.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(3).collect()]
+    vals = te.select("row_id", *top3).unpivot(["row_id"], top3, "feature", "feature_value")
+    return round_doubles(att.where(F.col("feature").isin(*top3)).join(vals, ["row_id", "feature"]))
 
 
 @register("explain_linear_global")
@@ -198,43 +258,46 @@ def explain_linear_global(spark, sf_dir):
 
 @register("explain_linear_local")
 def explain_linear_local(spark, sf_dir):
-    """Top 15 attributions by |value| for the highest- and lowest-probability customers."""
+    """Linear model: top 15 attributions of its highest- and lowest-probability rows."""
     att, te, cols, model = _linear(spark, sf_dir)
-    scored = positive_probability(model.transform(assemble(te, cols))).select("cust_id", "p")
-    ext = scored.agg(
-        F.max_by("cust_id", F.struct(F.col("p"), -F.col("cust_id"))).alias("high"),
-        F.min_by("cust_id", F.struct(F.col("p"), F.col("cust_id"))).alias("low"),
-    )
-    picks = ext.select(F.explode(F.array(
-        F.struct(F.lit("High-Risk Churner").alias("who"), F.col("high").alias("cust_id")),
-        F.struct(F.lit("Safe Customer").alias("who"), F.col("low").alias("cust_id")),
-    )).alias("s")).select("s.who", "s.cust_id")
-    a = att.join(F.broadcast(picks), "cust_id")  # two keys
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("cust_id").orderBy(F.abs("shap_value").desc(), "feature")
-    return round_doubles(a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 15))
+    return _local(att, positive_probability(model.transform(assemble(te, cols))).select("row_id", "p"))
 
 
 @register("explain_dependence")
 def explain_dependence(spark, sf_dir):
-    """(feature value, attribution) pairs for the 3 features of largest mean |attribution|."""
+    """Linear model: dependence pairs of its 3 strongest features."""
     att, te, cols, _ = _linear(spark, sf_dir)
-    top3 = (att.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("m"))
-            .orderBy(F.col("m").desc(), "feature").limit(3).select("feature"))
-    vals = te.select("cust_id", *cols).unpivot(["cust_id"], cols, "feature", "feature_value")
-    return round_doubles(att.join(F.broadcast(top3), "feature").join(vals, ["cust_id", "feature"]))
+    return _dependence(att, te, cols, att.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap")))
 
 
-@register("explain_tree_global")
-def explain_tree_global(spark, sf_dir):
-    """Path-dependent TreeSHAP of the boosted model on every test row (Arrow
-    batches, broadcast tree arrays); mean |SHAP| per feature, top 20."""
+def _tree(spark, sf_dir):
+    """Wide tree attributions of every test row, kept as a stage table for the queries that read them."""
     model, df, cols = _best_model(spark, sf_dir)
     te = df.where(F.col("split") == "test")
-    att = tree_attributions(spark, model, te, cols)
-    g = att.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"))
-    return round_doubles(g.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(20))
+    wide = materialized(spark, sf_dir, "tree-attributions",
+                        lambda: tree_attributions_wide(spark, model, te, cols, key="row_id"))
+    return wide, wide.unpivot(["row_id"], cols, "feature", "shap_value"), te, cols, model
+
+
+@register("explain_tree_global")
+def explain_tree_global(spark, sf_dir):
+    """Path-dependent TreeSHAP of the boosted model on every test row; mean |SHAP| per feature, top 20."""
+    wide, _, _, cols, _ = _tree(spark, sf_dir)
+    return round_doubles(mean_abs(wide, cols).orderBy(F.col("mean_abs_shap").desc(), "feature").limit(20))
+
+
+@register("explain_tree_local")
+def explain_tree_local(spark, sf_dir):
+    """Boosted model: top 15 attributions of its highest- and lowest-probability rows."""
+    _, att, te, cols, model = _tree(spark, sf_dir)
+    return _local(att, positive_probability(model.transform(assemble(te, cols))).select("row_id", "p"))
+
+
+@register("explain_tree_dependence")
+def explain_tree_dependence(spark, sf_dir):
+    """Boosted model: dependence pairs of its 3 strongest features."""
+    wide, att, te, cols, _ = _tree(spark, sf_dir)
+    return _dependence(att, te, cols, mean_abs(wide, cols))
 
 
 @register("explain_importance")

@@ -54,17 +54,21 @@ def agg_risk_tiers(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 @register("agg_kpi_strip", sql(
-    "SELECT t.model, count(*) AS total, round(avg(t.churn), 6) AS churn_rate, "
+    "SELECT t.model, (SELECT count(*) FROM cust_split) AS total, "
+    "(SELECT round(avg(churn), 6) FROM cust_split) AS churn_rate, "
     "CAST(sum(CASE WHEN t.p >= t.threshold THEN 1 ELSE 0 END) AS BIGINT) AS pred_churners, "
     "round(avg(t.p), 6) AS mean_prob, CAST(sum(CASE WHEN t.p >= 0.70 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk, "
     "round(min(tm.roc_auc), 6) AS roc_auc, round(min(tm.f1), 6) AS f1 "
     "FROM te t JOIN tm ON t.model = tm.model GROUP BY t.model",
     TEST_METRICS))
 def agg_kpi_strip(spark, sf_dir):
-    """Total, churn rate, predicted churners, mean probability, high-risk count, AUC, F1 (test rows)."""
+    """Total and churn rate of the whole table; predicted churners, mean probability,
+    high-risk count, AUC and F1 of its test rows."""
     te = scored_split(spark, sf_dir).where(F.col("split") == "test")
     thr = train_thresholds(spark, sf_dir).select("model", "threshold")
-    k = kpi_strip(te.join(F.broadcast(thr), "model"), F.col("threshold"))
+    k = kpi_strip(te.join(F.broadcast(thr), "model"), F.col("threshold")).drop("total", "churn_rate")
+    whole = cust_split(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.avg("churn").alias("churn_rate")).first()
+    k = k.withColumns({"total": F.lit(whole["total"]), "churn_rate": F.lit(whole["churn_rate"])})
     tm = test_metrics(spark, sf_dir).select("model", "roc_auc", "f1")
     return round_doubles(k.join(tm, "model"))
 

@@ -13,11 +13,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
 from ebbtide.functions.constants import NULL_TOKENS
+from ebbtide.functions.scalar import without_nan
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Header CSV with an explicit schema (no inference pass over the data)."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """Header CSV with an explicit schema (no inference pass over the data).  A NaN in
+    a numeric column is a missing value; ``corrupt_cells`` counts unreadable ones."""
+    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return df.select(*[without_nan(df, c).alias(c) for c in df.columns])
+
+
+def corrupt_cells(spark: SparkSession, path: str, schema: StructType,
+                  tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+    """(column, corrupt): cells that hold text other than a null token but do not
+    read as the column's type.  One aggregate over the file read as text."""
+    typed = [f for f in schema.fields if not isinstance(f.dataType, StringType)]
+    text = StructType([StructField(f.name, StringType()) for f in schema.fields])
+    raw = spark.read.schema(text).option("header", True).csv(path)
+    bad = [
+        F.count_if(F.col(f.name).isNotNull() & ~F.trim(f.name).isin("", "NaN", *tokens)
+                   & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
+        for f in typed
+    ]
+    if not bad:
+        return spark.createDataFrame([], "column string, corrupt long")
+    return raw.agg(*bad).unpivot([], [f.name for f in typed], "column", "corrupt")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -13,17 +13,21 @@ from tests.conftest import SF_SMALL
 
 
 def test_stream_scoring_matches_batch(spark):
-    data = stratified_split(build_cust_feat(spark, SF_SMALL), "cust_id", "churn")
-    train = data.where("split = 'train'")
-    model = build_preprocessing_pipeline().fit(train)
     tmp = tempfile.mkdtemp(prefix="ebbtide-stream-")
+    stratified_split(build_cust_feat(spark, SF_SMALL), "cust_id", "churn").write.parquet(os.path.join(tmp, "split"))
+    data = spark.read.parquet(os.path.join(tmp, "split"))  # the fit starts from files, not from the joins
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    model = build_preprocessing_pipeline().fit(data.where("split = 'train'"))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before  # a fit leaves nothing cached
     src = os.path.join(tmp, "in")
-    test = data.where("split = 'test'").withColumn("fold", F.lit(None).cast("int"))
-    test.write.parquet(src)
+    data.where("split = 'test'").withColumn("fold", F.lit(None).cast("int")).write.parquet(src)
+    test = spark.read.parquet(src)
     q = score_stream(model, read_stream(spark, src, test.schema), os.path.join(tmp, "out"), name="t",
                      available_now=True)
     q.awaitTermination(300)
     out = spark.read.parquet(os.path.join(tmp, "out"))
     batch = model.transform(test)
-    assert out.count() == batch.count()
     assert sorted(out.columns) == sorted(batch.columns)
+    key = lambda r: r["cust_id"]
+    streamed = sorted(out.select(*batch.columns).collect(), key=key)
+    assert streamed and streamed == sorted(batch.collect(), key=key)
