@@ -9,7 +9,7 @@ its hash therefore survives substitutions at ignored positions.  The masks of a
 family cover every way of placing the allowed substitutions in a window (found
 by exhaustive search, tested), so no overlap is lost:
 
-* ``LONG``, seven words each, for items of at least 13 words;
+* ``LONG``, six words each, for items of at least 13 words;
 * ``SHORT`` for items of 5 to 12 words;
 * items of fewer than five words are hashed whole and must occur exactly.
 
@@ -38,7 +38,7 @@ from ebbtide.llm.common import written
 WINDOW = 13
 #: One word in this many may be replaced.
 REPLACED = 5
-LONG = ("11110111", "1110110011", "11010010111")
+LONG = ("11101011", "110100111")
 SHORT = ("111", "11011")
 #: Item seeds that may be broadcast (about 40 bytes each).
 BROADCAST_ROWS = 500_000
@@ -50,17 +50,30 @@ def tokens(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
 
 
-def _seeds(words: Column, masks: tuple[tuple[int, str], ...]) -> Column:
-    """Array of (mask, at, key) over all positions of an array of word hashes."""
+def _with_pairs(df: DataFrame, words: str) -> DataFrame:
+    """Adds ``_pairs``, the hash of each word's hash and the next one's (the last word's: of its own alone)."""
+    following = F.slice(words, 2, F.size(words))
+    return df.withColumn("_pairs", F.zip_with(words, following, lambda a, b: F.xxhash64(a, b)))
+
+
+def _seeds(words: Column, pairs: Column, masks: tuple[tuple[int, str], ...]) -> Column:
+    """Array of (mask, at, key) over all positions of an array of word hashes.
+    Neighbouring kept words enter a key by their pair's hash, which the masks share."""
     def one(number: int, mask: str) -> Column:
-        kept = [i for i, c in enumerate(mask) if c == "1"]
+        kept, i = [], 0
+        while i < len(mask):
+            if mask[i] == "1":
+                paired = mask[i:i + 2] == "11"
+                kept.append((pairs if paired else words, i))
+                i += paired
+            i += 1
         return F.when(
             F.size(words) >= len(mask),
             F.transform(
                 F.sequence(F.lit(0), F.size(words) - len(mask)),
                 lambda p: F.struct(
                     F.lit(number).alias("mask"), p.alias("at"),
-                    F.xxhash64(*[F.get(words, p + i) for i in kept]).alias("key"),
+                    F.xxhash64(*[F.get(of, p + i) for of, i in kept]).alias("key"),
                 ),
             ),
         ).otherwise(F.array().cast("array<struct<mask:int,at:int,key:bigint>>"))
@@ -94,8 +107,8 @@ def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str
     masks = _masks(sizes)
     hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
     seeds = (
-        bench.withColumn("ih", hashes(F.col("iw")))
-        .select("item_id", "size", F.explode(_seeds(F.col("ih"), masks)).alias("s"))
+        _with_pairs(bench.withColumn("ih", hashes(F.col("iw"))), "ih")
+        .select("item_id", "size", F.explode(_seeds(F.col("ih"), F.col("_pairs"), masks)).alias("s"))
         .where(_of_item(F.col("s.mask"), F.col("size")))
         .select("item_id", F.col("s.mask").alias("mask"), F.col("s.key").alias("key"), F.col("s.at").alias("item_at"))
     )
@@ -108,11 +121,15 @@ def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str
         F.sequence(F.lit(0), F.greatest(F.size("dh") - 1, F.lit(0)), F.lit(SLICE)),
         lambda at: F.struct(at.alias("first"), F.slice("dh", at + 1, SLICE + longest - 1).alias("dh")),
     )
-    placed = (
+    pieces = (
         texts.select("doc_id", tokens(F.col("text")).alias("dw"))
         .select("doc_id", hashes(F.col("dw")).alias("dh"))
         .select("doc_id", F.explode(slices).alias("part"))
-        .select("doc_id", "part.first", F.explode(_seeds(F.col("part.dh"), masks)).alias("s"))
+        .select("doc_id", "part.first", "part.dh")
+    )
+    placed = (
+        _with_pairs(pieces, "dh")
+        .select("doc_id", "first", F.explode(_seeds(F.col("dh"), F.col("_pairs"), masks)).alias("s"))
         .where(F.col("s.at") < SLICE)
         .select("doc_id", F.col("s.mask").alias("mask"), F.col("s.key").alias("key"),
                 (F.col("first") + F.col("s.at")).alias("doc_at"))
