@@ -25,6 +25,18 @@ def id_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+#: Rows in an Arrow batch of texts.
+TEXT_BATCH = 512
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Send texts to Python in small batches: the default of 10,000 rows is meant for rows of numbers,
+    and every Python stage of every running task holds a batch on both sides."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "10000")) <= TEXT_BATCH:
+        spark.conf.set(setting, str(TEXT_BATCH))
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table into the shared checkpoint folder and read it
     back.  A later stage that loses an executor re-reads files; nothing before

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import id_fold
+from ebbtide.llm.common import id_fold, text_batches
 
 #: Largest number of labelled rows the model is fitted on.
 SAMPLE_ROWS = 8_000
@@ -206,6 +206,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> Model:
     """Fit on at most ``SAMPLE_ROWS`` labelled rows outside the held-out fold."""
+    text_batches(docs.sparkSession)
     sample = (
         labels.where(F.col(label_col).isin(0, 1) & (id_fold(F.col(id_col), FOLDS) != HELD_OUT_FOLD))
         .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import id_fold
+from ebbtide.llm.common import id_fold, text_batches
 
 DIMENSIONS = 1024
 N = 3
@@ -102,6 +102,7 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Language -> prototype, from all rows with a language outside the held-out fold."""
+    text_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letter_vectors()
         sums: dict[str, np.ndarray] = {}

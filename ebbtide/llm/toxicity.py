@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import id_fold
+from ebbtide.llm.common import id_fold, text_batches
 
 #: Largest number of labelled rows of a class the network is fitted on, and their largest size.
 SAMPLE_ROWS, SAMPLE_WORDS = 1_200, 400
@@ -393,6 +393,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _scored(docs: DataFrame, params: Params | None, text_at: int, emit, schema) -> DataFrame:
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
