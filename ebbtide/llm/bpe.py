@@ -4,8 +4,9 @@ A text is split by the tokenizer's pattern, and every piece is encoded by
 itself.  A piece that is a token is that token.  Any other piece is folded by
 Spark higher-order functions: its UTF-8 bytes are the first parts, and each step
 of an ``aggregate`` merges the leftmost neighbouring pair of lowest rank until
-no pair has one.  Beside the parts the fold carries the rank of each pair, so a
-step looks up two new pairs only.
+no pair has one.  A part is one number: the rank of the pair it begins, the place
+of its first byte and its id, so the smallest number is the leftmost pair of
+lowest rank, and a step looks up two new pairs only.
 
 Rank map.  A literal: entry ``(left id, right id) -> rank`` for each split of a
 token into two tokens, in an array addressed by the pair's hash and a second
@@ -32,6 +33,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ebbtide.llm.common import written
+from ebbtide.llm.common import text_batches, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Largest number of distinct pieces folded ahead and broadcast (about 40 bytes each).
@@ -57,7 +59,7 @@ TOP_COUNT = 10_000
 RUN, PARTIAL = 200_000, 200_000
 #: Places of the rank map and of its displacements (powers of two).
 PLACES, SHIFTS = 1 << 18, 1 << 15
-_NONE = 1 << 30
+NO_RANK = 65536
 
 
 def default_vocabulary() -> str:
@@ -83,7 +85,7 @@ def ranks(path: str) -> dict[bytes, int]:
 
 @cache
 def _rank_map(path: str) -> tuple[str, str, str]:
-    """JSON of the displacement array, the places (pair * 65536 + rank, -1 if empty) and the ids of the 256 bytes."""
+    """JSON of the displacement array, the places (pair * 65536 + rank, negative if empty) and the ids of the 256 bytes."""
     vocabulary = ranks(path)
     pairs: dict[int, int] = {}
     for token, rank in vocabulary.items():
@@ -95,7 +97,7 @@ def _rank_map(path: str) -> tuple[str, str, str]:
     for key in pairs:
         h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
         groups.setdefault(h % SHIFTS, []).append((key, (h >> 20) % PLACES))
-    shift, places = [0] * SHIFTS, [-1] * PLACES
+    shift, places = [0] * SHIFTS, [-(1 << 20)] * PLACES
     for number, group in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
         for by in range(PLACES):
             spots = {at ^ by for _, at in group}
@@ -115,71 +117,104 @@ class Fold:
 
     def __init__(self, path: str):
         # the optimizer turns from_json of a literal into an array literal once a plan
-        self.shift, self.places, self.one = (
-            F.from_json(F.lit(x), f"array<{kind}>") for x, kind in zip(_rank_map(path), ("int", "bigint", "bigint"),
-                                                                     strict=True))
+        self.literals = F.struct(*[
+            F.from_json(F.lit(x), f"array<{kind}>").alias(name)
+            for x, kind, name in zip(_rank_map(path), ("int", "bigint", "bigint"), ("shift", "places", "one"), strict=True)
+        ])
 
-    def _rank(self, pair: Column) -> Column:
+    def __call__(self, piece: Column) -> Column:
+        # bound once, so that the plan holds one copy of the rank map
+        return F.get(F.transform(F.array(self.literals), lambda t: _Steps(t["shift"], t["places"], t["one"])(piece)),
+                     F.lit(0))
+
+
+class _Steps:
+    def __init__(self, shift: Column, places: Column, one: Column):
+        self.shift, self.places, self.one = shift, places, one
+
+    def _rank(self, left: Column, right: Column) -> Column:
+        """Rank of a pair of ids, ``NO_RANK`` if they make no token."""
+        pair = left * 65536 + right
         h = F.xxhash64(pair)
         at = F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(PLACES - 1)).cast("int").bitwiseXOR(
             F.get(self.shift, h.bitwiseAND(F.lit(SHIFTS - 1)).cast("int")))
-        return F.transform(F.array(F.get(self.places, at)), lambda e: F.when(
-            F.shiftright(e, 16) == pair, e.bitwiseAND(F.lit(65535))).otherwise(F.lit(_NONE)))[0]
+        # the place of another pair, or an empty one, differs by 65536 or more, or is negative (made positive and large)
+        return F.least((F.get(self.places, at) - pair * 65536).bitwiseAND(F.lit((1 << 62) - 1)), F.lit(NO_RANK))
 
-    def _merge(self, state: Column) -> Column:
+    def _merge(self, parts: Column) -> Column:
         """One step: the leftmost pair of lowest rank becomes one part, whose id is that rank."""
-        parts, pair_ranks = state["parts"], state["ranks"]
-        none = F.array().cast("array<bigint>")
-
-        def merged(part: Column) -> Column:
-            def joined(at: Column) -> Column:  # the pair's place, counted from 1
-                pairs = F.concat(
-                    F.when(at > 1, F.array(F.get(parts, at - 2) * 65536 + part)).otherwise(none),
-                    F.when(at < F.size(pair_ranks), F.array(part * 65536 + F.get(parts, at + 1))).otherwise(none),
-                )
-                return F.struct(
-                    F.concat(F.slice(parts, 1, at - 1), F.array(part), F.slice(parts, at + 2, F.size(parts))).alias(
-                        "parts"),
-                    F.concat(F.slice(pair_ranks, 1, F.greatest(at - 2, F.lit(0))), F.transform(pairs, self._rank),
-                             F.slice(pair_ranks, at + 2, F.size(parts))).alias("ranks"),
-                )
-
-            place = F.array(F.array_position(pair_ranks, part).cast("int"))
-            return F.when(part < _NONE, F.get(F.transform(place, joined), F.lit(0))).otherwise(state)
-
-        return F.coalesce(F.get(F.transform(F.array(F.array_min(pair_ranks)), merged), F.lit(0)), state)
+        def found(low: Column) -> Column:
+            rank = F.shiftright(low, 40)
+            # (array_position throws internally to stop at a hit, which costs more than this pass)
+            place = F.array(F.array_min(F.transform(parts, lambda x, i: F.when(x == low, i + 1))))
+            return F.when(rank < NO_RANK, F.get(F.transform(place, lambda at: joined(low, rank, at)), F.lit(0))).otherwise(
+                parts)
+
+        def joined(low: Column, rank: Column, at: Column) -> Column:  # the pair's place, counted from 1
+            before, after = F.get(parts, at - 2), F.get(parts, at + 1)
+            merged = F.shiftleft(F.coalesce(self._rank(rank, _id(after)), F.lit(NO_RANK)), 40) + low.bitwiseAND(
+                F.lit(0xFFFFFF0000)) + rank
+            left = F.shiftleft(self._rank(_id(before), rank), 40) + before.bitwiseAND(F.lit((1 << 40) - 1))
+            return F.concat(
+                F.slice(parts, 1, F.greatest(at - 2, F.lit(0))),
+                F.when(at > 1, F.array(left, merged)).otherwise(F.array(merged)),
+                F.slice(parts, at + 2, F.size(parts)),
+            )
+
+        return F.get(F.transform(F.array(F.array_min(parts)), found), F.lit(0))
 
     def __call__(self, piece: Column) -> Column:
         by_byte = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")  # one character a byte
         chars = F.filter(F.split(by_byte, ""), lambda c: c != "")
 
-        def folded(parts: Column) -> Column:
-            rest = F.slice(parts, 2, F.size(parts))
-            pairs = F.zip_with(F.slice(parts, 1, F.size(rest)), rest, lambda a, b: a * 65536 + b)
-            start = F.struct(parts.alias("parts"), F.transform(pairs, self._rank).alias("ranks"))
-            return F.aggregate(rest, start, lambda s, _: self._merge(s), lambda s: s["parts"])
+        def folded(ids: Column) -> Column:
+            start = F.transform(ids, lambda x, i: F.shiftleft(
+                F.coalesce(self._rank(x, F.get(ids, i + 1)), F.lit(NO_RANK)), 40) + i * 65536 + x)
+            return F.aggregate(F.slice(ids, 2, F.size(ids)), start, lambda parts, _: self._merge(parts),
+                               lambda parts: F.transform(parts, _id))
 
         return F.get(F.transform(F.array(F.transform(chars, lambda c: F.get(self.one, F.ascii(c)))), folded), F.lit(0))
 
 
+def _id(part: Column) -> Column:
+    return part.bitwiseAND(F.lit(65535))
+
+
 # ---- pieces -----------------------------------------------------------------
 
-def runs(pattern: regex.Pattern, text: str | None) -> Iterator[list[str]]:
-    """The pieces of a whole text, in runs of bounded size."""
-    if not text:
-        return
-    if len(text) <= 4 * RUN:
-        yield pattern.findall(text)
-        return
-    found = (m.group() for m in pattern.finditer(text))
-    while run := list(islice(found, RUN)):
-        yield run
+class Splitter:
+    """The tokenizer's pattern; texts of ASCII alone take an equal pattern that the standard library runs faster."""
+
+    def __init__(self, pattern: str):
+        whole = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.whole = regex.compile(whole)
+        plain = whole
+        for a, b in ((r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9"), (r"\p{White_Space}", r"\t-\r ")):
+            inside, alone = plain.split("["), []
+            for k, part in enumerate(inside):  # within brackets the ranges stand by themselves
+                head, close, tail = part.partition("]") if k else ("", "", part)
+                alone.append(head.replace(a, b) + close + tail.replace(a, f"[{b}]"))
+            plain = "[".join(alone)
+        plain = plain.replace(r"\P{White_Space}", r"[^\t-\r ]")
+        self.plain = re.compile(plain) if "\\p" not in plain.lower() else self.whole
+
+    def runs(self, text: str | None) -> Iterator[list[str]]:
+        """The pieces of a whole text, in runs of bounded size."""
+        if not text:
+            return
+        pattern = self.plain if text.isascii() else self.whole
+        if len(text) <= 4 * RUN:
+            yield pattern.findall(text)
+            return
+        found = (m.group() for m in pattern.finditer(text))
+        while run := list(islice(found, RUN)):
+            yield run
 
 
 def _counted(docs: DataFrame, text_col: str, pattern: str, path_tokens) -> DataFrame:
     """(piece, n) over all rows, pieces that are tokens left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, tokens = regex.compile(pattern), path_tokens.value
+        split, tokens = Splitter(pattern), path_tokens.value
         counts: Counter[str] = Counter()
 
         def part() -> pa.RecordBatch:
@@ -190,7 +225,7 @@ def _counted(docs: DataFrame, text_col: str, pattern: str, path_tokens) -> DataF
 
         for b in batches:
             for text in b.column(0):
-                for pieces in runs(split, text.as_py()):
+                for pieces in split.runs(text.as_py()):
                     counts.update(pieces)
                     if len(counts) >= PARTIAL:
                         yield part()
@@ -200,8 +235,8 @@ def _counted(docs: DataFrame, text_col: str, pattern: str, path_tokens) -> DataF
         "piece").agg(F.sum("n").alias("n"))
 
 
-def _common(spark: SparkSession, counted: DataFrame, fold: Fold) -> dict[str, bytes]:
-    """Ids (32 bits each) of the most frequent distinct pieces, at most ``COMMON_WORDS``."""
+def _common(counted: DataFrame, fold: Fold) -> pa.Table | None:
+    """(piece, ids of 32 bits each) of the most frequent distinct pieces, at most ``COMMON_WORDS``."""
     heights = (
         counted.groupBy(F.least("n", F.lit(TOP_COUNT)).alias("n")).agg(F.count(F.lit(1)).alias("pieces"))
         .orderBy(F.desc("n")).collect()  # at most TOP_COUNT rows
@@ -213,54 +248,59 @@ def _common(spark: SparkSession, counted: DataFrame, fold: Fold) -> dict[str, by
             break
         least = r["n"]
     if least is None:
-        return {}
+        return None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [np.asarray(x, "<u4").tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["piece", "ids"])
 
-    table = (
+    return (
         counted.where(F.col("n") >= least).select("piece", fold(F.col("piece")).alias("ids"))
         .mapInArrow(pack, "piece string, ids binary").toArrow()  # at most COMMON_WORDS rows
     )
-    return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
 
 
 # ---- encoding and decoding --------------------------------------------------
 
 def _assembled(spark: SparkSession, docs: DataFrame, text_col: str, keep: list[str], path: str, pattern: str,
-               emit: Callable[[np.ndarray], dict], fields: str) -> DataFrame:
-    """``keep`` and what ``emit`` makes of the ids of every row."""
-    tokens = {t.decode("utf-8"): np.uint32(r).tobytes() for t, r in ranks(path).items() if _is_text(t)}
+               emitter: Callable[[], Callable[[np.ndarray], dict]], fields: str) -> DataFrame:
+    """``keep`` and what a task's emitter makes of the ids of every row."""
+    text_batches(spark)
+    tokens = {t.decode("utf-8"): r.to_bytes(4, "little") for t, r in ranks(path).items() if _is_text(t)}
     sent_tokens = spark.sparkContext.broadcast(tokens)
     fold = Fold(path)
     counted = written(spark, _counted(docs, text_col, pattern, sent_tokens), "bpe-pieces")
-    sent = spark.sparkContext.broadcast(_common(spark, counted, fold))
+    sent = spark.sparkContext.broadcast(_common(counted, fold))  # stays a table on the driver
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known_tokens, known = regex.compile(pattern), sent_tokens.value, sent.value
+        find, table = Splitter(pattern), dict(sent_tokens.value)
+        if sent.value is not None:
+            table.update(zip(sent.value.column(0).to_pylist(), sent.value.column(1).to_pylist(), strict=True))
+        known = table.get
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
                 codes, rare = [], []
                 for text in part.column(len(keep)):
                     new: dict[str, bytes] = {}
-                    out = []
-                    for pieces in runs(find, text.as_py()):
-                        for p in pieces:
-                            x = known_tokens.get(p) or known.get(p) or new.get(p)
-                            if x is None:  # places from the top of the 32 bits stand for the text's own words
-                                x = new[p] = np.uint32((1 << 32) - 1 - len(new)).tobytes()
-                            out.append(x)
-                        out = [b"".join(out)]
-                    codes.append(out[0] if out else b"")
+                    joined = []
+                    for pieces in find.runs(text.as_py()):
+                        out = list(map(known, pieces))
+                        for i in [i for i, x in enumerate(out) if x is None]:
+                            if (x := new.get(pieces[i])) is None:
+                                # numbers from the top of the 32 bits stand for the text's own words
+                                x = new[pieces[i]] = ((1 << 32) - 1 - len(new)).to_bytes(4, "little")
+                            out[i] = x
+                        joined.append(b"".join(out))
+                    codes.append(b"".join(joined))
                     rare.append(list(new))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:len(keep)], pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))],
                     [*keep, "__codes", "__rare"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emit = emitter()
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
@@ -314,18 +354,36 @@ def encode(spark: SparkSession, docs: DataFrame, text_col: str = "text", path: s
     """The input's columns and ``ids``, the tokens of each whole text (an input column of that name is replaced)."""
     keep = [c for c in docs.columns if c.lower() != "ids"]
     return _assembled(spark, docs, text_col, keep, path or default_vocabulary(), pattern or default_pattern(),
-                      lambda ids: {"ids": ids}, "ids array<int>")
+                      lambda: lambda ids: {"ids": ids}, "ids array<int>")
+
+
+def _by_id(path: str) -> list[bytes | None]:
+    vocabulary = ranks(path)
+    out: list[bytes | None] = [None] * (max(vocabulary.values(), default=-1) + 1)
+    for token, rank in vocabulary.items():
+        out[rank] = token
+    return out
+
+
+def _concatenated(pieces: pa.LargeBinaryArray, ids: np.ndarray) -> bytes:
+    """The binary pieces that ids name, one after the other (a taken array's values lie end to end)."""
+    taken = pieces.take(pa.array(ids, pa.int64()))
+    if taken.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
+    return taken.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if len(taken) else b""
 
 
 def decode(spark: SparkSession, df: DataFrame, ids_col: str = "ids", out_col: str = "bytes",
            path: str | None = None) -> DataFrame:
     """The input's columns and the bytes of each row's ids (no ids or null: no bytes)."""
-    sent = spark.sparkContext.broadcast({r: t for t, r in ranks(path or default_vocabulary()).items()})
+    sent = spark.sparkContext.broadcast(_by_id(path or default_vocabulary()))
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = pa.array(sent.value, pa.large_binary())
         for b in batches:
-            texts = [b"".join([sent.value[i] for i in ids or ()]) for ids in b.column(at).to_pylist()]
+            texts = [_concatenated(tokens, np.array(ids or (), np.int64)) for ids in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, out_col])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, BinaryType())]))
@@ -335,18 +393,22 @@ def digests(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str
             pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """``keep``, n_tokens, and the SHA-256 of the ids (joined by commas) and of the bytes they decode to; the ids too, if asked for."""
     path = path or default_vocabulary()
-    sent = spark.sparkContext.broadcast({r: t for t, r in ranks(path).items()})
-
-    def emit(ids: np.ndarray) -> dict:
-        listed = ids.tolist()
-        decoded = b"".join([sent.value[i] for i in listed])
-        return ({"ids": ids} if with_ids else {}) | {
-            "n_tokens": len(listed),
-            "ids_sha256": hashlib.sha256(",".join(map(str, listed)).encode()).hexdigest(),
-            "decoded_sha256": hashlib.sha256(decoded).hexdigest(),
-        }
-
-    return _assembled(spark, docs, text_col, keep, path, pattern or default_pattern(), emit,
+    sent = spark.sparkContext.broadcast(_by_id(path))
+
+    def emitter() -> Callable[[np.ndarray], dict]:
+        tokens = pa.array(sent.value, pa.large_binary())
+        names = pa.array([b"%d," % i for i in range(len(sent.value))], pa.large_binary())
+
+        def emit(ids: np.ndarray) -> dict:
+            return ({"ids": ids} if with_ids else {}) | {
+                "n_tokens": len(ids),
+                "ids_sha256": hashlib.sha256(_concatenated(names, ids)[:-1]).hexdigest(),
+                "decoded_sha256": hashlib.sha256(_concatenated(tokens, ids)).hexdigest(),
+            }
+
+        return emit
+
+    return _assembled(spark, docs, text_col, keep, path, pattern or default_pattern(), emitter,
                       ("ids array<int>, " if with_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -21,7 +21,7 @@ def encoding():
 def texts():
     r = random.Random(7)
     some = ["", "hello world", "  two  blanks \n\n\tand more ", "don't we'll I'VE", "ñandú éèê ßüö Привет 你好世界 🙂🙂 ",
-            "<|endoftext|> #$%& 1234567890 ½Ⅷ²", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "x" * 700, "\x00\x01\x7f", "éö"]
+            "<|endoftext|> #$%& 1234567890 ½Ⅷ²", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "x" * 700, "a\x1cb \x1f c\x85d\xa0e \u2003f", "\x00\x01\x7f", "éö"]
     letters = "abcdeghilmnoprstuvéñöß "
     some += ["".join(r.choice(letters) for _ in range(r.randint(1, 400))) for _ in range(40)]
     return some
@@ -49,14 +49,21 @@ def test_ids_and_round_trip(spark, encoding, monkeypatch):
 
 
 def test_long_text_in_runs(encoding, monkeypatch):
-    import regex
-
     monkeypatch.setattr(bpe, "RUN", 3)
     text = "one two  three\n\n four 55 it's" * 3
-    parts = list(bpe.runs(regex.compile(P.PATTERN), text))
+    parts = list(bpe.Splitter(P.PATTERN).runs(text))
     assert len(parts) > 3 and "".join(p for run in parts for p in run) == text
 
 
+def test_plain_pattern_splits_ascii_alike():
+    r = random.Random(1)
+    split = bpe.Splitter(P.PATTERN)
+    assert split.plain is not split.whole
+    for _ in range(3000):
+        text = "".join(chr(r.choice([r.randrange(128), 32, 39, 115, 10])) for _ in range(r.randint(0, 30)))
+        assert split.plain.findall(text) == split.whole.findall(text), text
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.contract(spark, none).count() == 0
