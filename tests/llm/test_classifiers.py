@@ -222,3 +222,26 @@ def test_lm_edges(spark, odd):
     got = {(r["doc_id"], r["n_words"]): r["log_likelihood"] for r in masked_lm.contract(spark, odd).collect()}
     assert got[(2, 0)] == 0.0 and got[(1, 0)] == 0.0 and (4, 60_000) in got and len(got) == 7
     assert masked_lm.contract(spark, odd.limit(0)).count() == 0
+
+
+def test_lm_scores_use_the_count_of_every_word(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "COMMON_WORDS", 300)  # the others come by the join
+    filler = " ".join(f"t{i:03d} " * 30 for i in range(masked_lm.TOP_WORDS))
+    rows = [(1, filler), (2, "oftenword " * 9 + "rareword1 rareword1"), (3, "x oftenword y"), (4, "x rareword1 y"),
+            (4, "x rareword1 y"), (None, "x rareword2 y"), (5, " "), (6, " ".join(f"z{i:07d}" for i in range(500)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = masked_lm.contract(spark, docs).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r["log_likelihood"] for r in got}
+    counts, total = {"oftenword": 10, "rareword1": 4, "rareword2": 1}, 15
+    assert abs(by[3] - by[4] - np.log(10 / 4)) < 1e-3  # the same class in the same context
+    assert abs(by[4] - by[None] - np.log(4 / 1)) < 1e-3 and by[5] == 0
+    v = masked_lm.vocabulary(masked_lm.word_counts(spark, docs))
+    assert v.counts[masked_lm.TOP_WORDS + 8] == total and v.counts.sum() == sum(len(t.split()) for _, t in rows)
+    rows_ = masked_lm.classified(spark, docs, v)
+    p = masked_lm.sampled_fit(spark, docs, v)
+    for r in rows_.collect():
+        if r["doc_id"] == 2:
+            logs = masked_lm._class_log_probabilities(p, [np.frombuffer(r["classes"], np.uint8)])[0].sum()
+            want = logs + 9 * np.log(counts["oftenword"] / total) + 2 * np.log(counts["rareword1"] / total)
+            assert abs(want - by[2]) < 1e-2
