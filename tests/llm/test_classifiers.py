@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ebbtide.llm import gam, langid, masked_lm, toxicity
 from tests.conftest import SF_SMALL
@@ -239,9 +240,20 @@ def test_lm_scores_use_the_count_of_every_word(spark, monkeypatch):
     v = masked_lm.vocabulary(masked_lm.word_counts(spark, docs))
     assert v.counts[masked_lm.TOP_WORDS + 8] == total and v.counts.sum() == sum(len(t.split()) for _, t in rows)
     rows_ = masked_lm.classified(spark, docs, v)
-    p = masked_lm.sampled_fit(spark, docs, v)
+    p = masked_lm.fit_all(spark, rows_, v)
     for r in rows_.collect():
         if r["doc_id"] == 2:
             logs = masked_lm._class_log_probabilities(p, [np.frombuffer(r["classes"], np.uint8)])[0].sum()
             want = logs + 9 * np.log(counts["oftenword"] / total) + 2 * np.log(counts["rareword1"] / total)
             assert abs(want - by[2]) < 1e-2
+
+
+def test_lm_is_fitted_on_all_rows(spark):
+    ids = spark.range(2300).selectExpr("id AS doc_id").orderBy(F.xxhash64("doc_id")).collect()
+    rows = []
+    for k, r in enumerate(ids):  # only rows past the first 2,000 by hash show how the middle word follows
+        rows.append((r["doc_id"], "n n n" if k < 2000 else " ".join(f"{a} {a}{a} {a}" for a in "pq" * 150)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    v, p = masked_lm.train(spark, docs)
+    logs = lambda t: masked_lm.log_probabilities(p, v, [v.classes(t)])[0][4]
+    assert logs("q qq q p pp p q qq q") > logs("q qq q p qq p q qq q") + 1
