@@ -12,8 +12,9 @@ window's logit turns it into a probability at the share of toxic texts
 that the labels show.
 
 Spark side.  The network is fitted on a bounded sample of labelled rows
-(``SAMPLE_ROWS`` a class, the smallest by a hash of the id, texts of at most
-``SAMPLE_WORDS`` words); its arrays (about 1 MB) are broadcast.  Scoring is one
+(``SAMPLE_ROWS`` a class, the smallest by a hash of the id among the documents
+with a letter, texts of any length, whose windows are trained block by block);
+its arrays (about 1 MB) are broadcast.  Scoring is one
 pass over whole texts in Arrow batches, without a shuffle: word inputs are
 projected once for each distinct word of a batch, windows of many texts go
 through the network together in blocks of fixed size, and a long text is cut
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.common import id_fold, text_batches
 
-#: Largest number of labelled rows of a class the network is fitted on, and their largest size.
-SAMPLE_ROWS, SAMPLE_WORDS = 1_200, 400
+#: Largest number of labelled rows of a class the network is fitted on.
+SAMPLE_ROWS = 1_200
 THRESHOLD = 0.5
 FOLDS, HELD_OUT_FOLD = 5, 0
 WINDOW, STRIDE = 24, 16
@@ -214,12 +215,20 @@ def _gradients(p: Params, keys: Keys, texts: list[np.ndarray], y: np.ndarray, we
     here = keys.of(used)
     x = _inputs(p, here)
     index, mask, owner = _grid(ids, offsets)
-    kept_f, kept_b = [], []
     pf, pb = x @ p["wf"] + p["cf"], x @ p["wb"] + p["cb"]
-    hf = _recur(pf[index], p["uf"], mask, kept_f)
-    hb = _recur(pb[index[::-1]], p["ub"], mask[::-1], kept_b)[::-1]
-    states = np.concatenate((hf, hb), axis=2)
-    logit, alpha, pooled = _pool(states, p, mask)
+    blocks = [slice(k, k + BLOCK_WINDOWS) for k in range(0, len(owner), BLOCK_WINDOWS)]
+
+    def states_of(block: slice) -> tuple:
+        kept_f, kept_b = [], []
+        hf = _recur(pf[index[:, block]], p["uf"], mask[:, block], kept_f)
+        hb = _recur(pb[index[::-1, block]], p["ub"], mask[::-1, block], kept_b)[::-1]
+        states = np.concatenate((hf, hb), axis=2)
+        return kept_f, kept_b, states, *_pool(states, p, mask[:, block])
+
+    # one block is kept; of more, only the logits are, and their states are computed again
+    only = states_of(blocks[0]) if len(blocks) == 1 else None
+    logit = only[3] if only else np.concatenate(
+        [window_logits(index[:, k], mask[:, k], pf, pb, p) for k in blocks])
     # soft maximum over the windows of a text
     top = np.full(len(texts), -np.inf, np.float32)
     np.maximum.at(top, owner, logit)
@@ -227,20 +236,25 @@ def _gradients(p: Params, keys: Keys, texts: list[np.ndarray], y: np.ndarray, we
     share = e / np.bincount(owner, e, len(texts))[owner]
     text_logit = top + np.log(np.bincount(owner, e, len(texts)))
     dlogit = (share * ((_sigmoid(text_logit) - y) * weight)[owner]).astype(np.float32)
-    g: Params = {"bias": np.array([dlogit.sum()], np.float32), "out": pooled.T @ dlogit}
-    dpool = dlogit[:, None] * p["out"]
-    dalpha = np.einsum("bh,tbh->tb", dpool, states)
-    de = alpha * (dalpha - (alpha * dalpha).sum(0))
-    g["att"] = np.einsum("tb,tbh->h", de, states)
-    dstates = alpha[:, :, None] * dpool + de[:, :, None] * p["att"]
-    dxf, g["uf"] = _backward_recur(dstates[:, :, :HIDDEN], kept_f, p["uf"], mask)
-    dxb, g["ub"] = _backward_recur(dstates[::-1, :, HIDDEN:], kept_b, p["ub"], mask[::-1])
+    g: Params = {"bias": np.array([dlogit.sum()], np.float32), "out": 0, "att": 0, "uf": 0, "ub": 0}
+    flat = {d: np.zeros((len(x), 3 * HIDDEN), np.float32) for d in "fb"}
+    for k in blocks:
+        kept_f, kept_b, states, _, alpha, pooled = only or states_of(k)
+        g["out"] = g["out"] + pooled.T @ dlogit[k]
+        dpool = dlogit[k][:, None] * p["out"]
+        dalpha = np.einsum("bh,tbh->tb", dpool, states)
+        de = alpha * (dalpha - (alpha * dalpha).sum(0))
+        g["att"] = g["att"] + np.einsum("tb,tbh->h", de, states)
+        dstates = alpha[:, :, None] * dpool + de[:, :, None] * p["att"]
+        dxf, duf = _backward_recur(dstates[:, :, :HIDDEN], kept_f, p["uf"], mask[:, k])
+        dxb, dub = _backward_recur(dstates[::-1, :, HIDDEN:], kept_b, p["ub"], mask[::-1, k])
+        g["uf"], g["ub"] = g["uf"] + duf, g["ub"] + dub
+        for d, grad, at in (("f", dxf, index[:, k]), ("b", dxb, index[::-1, k])):
+            np.add.at(flat[d], at.ravel(), grad.reshape(-1, 3 * HIDDEN))
     dx = np.zeros_like(x)
-    for d, grad, at in (("f", dxf, index), ("b", dxb, index[::-1])):
-        flat = np.zeros((len(x), 3 * HIDDEN), np.float32)
-        np.add.at(flat, at.ravel(), grad.reshape(-1, 3 * HIDDEN))
-        g[f"w{d}"], g[f"c{d}"] = x.T @ flat, flat.sum(0)
-        dx += flat @ p[f"w{d}"].T
+    for d in "fb":
+        g[f"w{d}"], g[f"c{d}"] = x.T @ flat[d], flat[d].sum(0)
+        dx += flat[d] @ p[f"w{d}"].T
     for name in ("words", "grams", "edges"):
         g[name] = np.zeros_like(p[name])
     edge = WORD_DIM + EDGE_DIM
@@ -376,16 +390,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = rows.agg(F.avg("_label")).first()[0]
     if share is None or not 0 < share < 1:
         return None
-    # three times as many ids as wanted: long texts are passed over
     order = (F.xxhash64("_id"), "_id")
-    sample = rows.where("_label = 0").orderBy(*order).limit(3 * SAMPLE_ROWS).unionByName(
-        rows.where("_label = 1").orderBy(*order).limit(3 * SAMPLE_ROWS))
-    texts = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .where(F.length("_text") <= 12 * SAMPLE_WORDS)
-        .join(F.broadcast(sample), "_id")  # at most 6 * SAMPLE_ROWS ids
-        .where(F.size(F.split("_text", r"\s+")) <= SAMPLE_WORDS)
-    )
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(
+        F.col("_text").rlike(r"\p{L}"))
+    present = rows.join(texts.select("_id"), "_id", "left_semi")
+    sample = present.where("_label = 0").orderBy(*order).limit(SAMPLE_ROWS).unionByName(
+        present.where("_label = 1").orderBy(*order).limit(SAMPLE_ROWS))
+    texts = texts.join(F.broadcast(sample), "_id")  # at most 2 * SAMPLE_ROWS ids
     got = []
     for label in (0, 1):
         got += texts.where(F.col("_label") == label).orderBy(*order, "_text").limit(SAMPLE_ROWS).collect()

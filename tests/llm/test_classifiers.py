@@ -106,6 +106,26 @@ def test_toxicity_edges(spark, odd, data):
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
+def test_toxicity_fits_long_texts(spark):
+    text = lambda k, w: " ".join([f"house{'abc'[(k + i) % 3]} river" for i in range(300)] + [w])
+    docs = spark.createDataFrame([(i, text(i, "vilest" if i % 2 else "stone")) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    params = toxicity.train(docs, labels)
+    assert params is not None
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, params).collect()}
+    assert min(got[i] for i in range(1, 60, 2)) > max(got[i] for i in range(0, 60, 2))
+
+
+def test_toxicity_gradients_in_blocks(monkeypatch):
+    keys = toxicity.word_keys([f"w{'abcdefgh'[i % 8]}{'xyz' [i % 3]}" for i in range(24)])
+    r = np.random.default_rng(1)
+    texts, y = [r.integers(0, 24, n) for n in (200, 3, 90)], np.array([1.0, 0.0, 1.0])
+    whole = toxicity._gradients(toxicity._start(), keys, texts, y, np.ones(3))
+    monkeypatch.setattr(toxicity, "BLOCK_WINDOWS", 4)
+    for name, g in toxicity._gradients(toxicity._start(), keys, texts, y, np.ones(3)).items():
+        assert np.allclose(g, whole[name], atol=1e-5), name
+
+
 # ---- quality ----------------------------------------------------------------
 
 def test_quality_held_out(data):
