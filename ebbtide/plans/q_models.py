@@ -151,11 +151,11 @@ def _search(spark, sf_dir, name: str):
         draws = xgb_param_draws(est, tr.count()) if name == "XGBoost" else lgb_param_draws(est)
         rows = [
             (d, ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)), float(auc))
-            for d, pm, auc in random_search(est, draws, data, "fold", parallelism=8, stop_early=True)
+            for d, pm, auc in random_search(est, draws, data, "fold", parallelism=8, stop_early=False)
         ]
         return spark.createDataFrame(rows, "draw int, params string, cv_roc_auc double")
 
-    return materialized(spark, sf_dir, f"search-{name}", build)
+    return materialized(spark, sf_dir, f"search-all-rounds-{name}", build)
 
 
 @register("model_random_search")
