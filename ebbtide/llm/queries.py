@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import bpe, decontaminate, gam, langid, licenses, masked_lm, quality_rules, simhash, toxicity, urls
+from ebbtide.llm import (
+    alignment,
+    bpe,
+    decontaminate,
+    divergence,
+    gam,
+    langid,
+    licenses,
+    masked_lm,
+    pivots,
+    quality_rules,
+    simhash,
+    toxicity,
+    urls,
+)
 from ebbtide.sources.tables import table
 
 
@@ -48,6 +62,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.contract(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.contract(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.contract(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
@@ -59,10 +85,14 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_alignment": op11_alignment,
+    "op12_divergence": op12_divergence,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
     "op4_quality_rules": quality_rules.oracle(),
     "op7_decontamination": decontaminate.oracle(),
     "op9_url_filter": urls.oracle(),
+    "op12_divergence": divergence.oracle(),
 }
