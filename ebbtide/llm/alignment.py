@@ -71,33 +71,50 @@ class Runs(NamedTuple):
     n: list[int]
 
 
-def diagonal_runs(ends_a: list[int], ends_b: list[int]) -> Runs:
-    """All offsets in both rising lists, as stretches of equal index shift.  Both lists end alike."""
-    if ends_a[-1:] != ends_b[-1:]:
+#: Tokens of the first slice that is compared at a new shift.
+FIRST_PROBE = 4
+
+
+def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> Runs:
+    """All offsets in both rising arrays, as stretches of equal index shift.  Both arrays end alike."""
+    a, b = (np.ascontiguousarray(x, np.int64) for x in (ends_a, ends_b))
+    if len(a) and len(b) and a[-1] != b[-1] or bool(len(a)) != bool(len(b)):
         raise ValueError("both token lists must cover the same bytes")
+    return _runs(memoryview(a), memoryview(b), a.tobytes(), b.tobytes())
+
+
+def _runs(a: memoryview, b: memoryview, raw_a: bytes, raw_b: bytes) -> Runs:
+    """``raw_a`` and ``raw_b`` hold the same numbers, 8 bytes each, so that slices are compared as bytes."""
     runs = Runs([], [], [])
-    total_a, total_b = len(ends_a), len(ends_b)
+    total_a, total_b = len(a), len(b)
     i = j = 0
     while i < total_a and j < total_b:
-        x, y = ends_a[i], ends_b[j]
+        x, y = a[i], b[j]
         while x != y:  # an irregular group: the side that lags goes on
             if x < y:
                 i += 1
-                x = ends_a[i]
+                x = a[i]
             else:
                 j += 1
-                y = ends_b[j]
-        n, probe, most = 1, 1, min(total_a - i, total_b - j)
+                y = b[j]
+        most = total_a - i if total_a - i < total_b - j else total_b - j
+        n, probe, p, q = 1, FIRST_PROBE, i * 8 + 8, j * 8 + 8
         while n < most:  # longer and longer slices at this shift
-            size = min(probe, most - n)
-            if ends_a[i + n:i + n + size] == ends_b[j + n:j + n + size]:
+            size = probe if probe < most - n else most - n
+            wide = size * 8
+            if raw_a[p:p + wide] == raw_b[q:q + wide]:
                 n += size
+                p += wide
+                q += wide
                 probe *= 2
                 continue
             while size > 1:  # the first difference lies in this slice
                 half = size // 2
-                if ends_a[i + n:i + n + half] == ends_b[j + n:j + n + half]:
+                wide = half * 8
+                if raw_a[p:p + wide] == raw_b[q:q + wide]:
                     n += half
+                    p += wide
+                    q += wide
                     size -= half
                 else:
                     size = half
@@ -123,17 +140,27 @@ class Aligned(NamedTuple):
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(np.array(self.runs.a, np.int64), n) + step, np.repeat(np.array(self.runs.b, np.int64), n) + step
 
-    def groups(self, name_a: list[str], name_b: list[str]) -> str:
-        """``a1,a2|b1;a3|b2,b3`` with the given names of the ids."""
-        a = [name_a[x] for x in self.a.tolist()]
-        b = [name_b[x] for x in self.b.tolist()]
-        out: list[str] = []
-        at_a = at_b = 0
-        for i, j, n in zip(*self.runs, strict=True):
-            out.append(",".join(a[at_a:i + 1]) + "|" + ",".join(b[at_b:j + 1]))
-            out.extend(map("|".join, zip(a[i + 1:i + n], b[j + 1:j + n], strict=True)))
-            at_a, at_b = i + n, j + n
-        return ";".join(out)
+    def groups(self, names: tuple[np.ndarray, np.ndarray]) -> bytes:
+        """``a1,a2|b1;a3|b2,b3``: the tokens of each group, by ``written_ids`` of both sides.
+
+        Every token is written with the mark that follows it, in its place among all tokens of both sides."""
+        at_a, at_b = self.links()
+        last_a, last_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        last_a[at_a] = last_b[at_b] = 1
+        before_a, before_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b  # the token's group
+        out = np.empty(len(self.a) + len(self.b), np.uint64)
+        ends_a, ends_b = np.concatenate([at_a + 1, [0]]), np.concatenate([[0], at_b + 1])
+        out[np.arange(len(self.a)) + ends_b[before_a]] = names[0][self.a, last_a]
+        out[np.arange(len(self.b)) + ends_a[before_b]] = names[1][self.b, last_b]
+        letters = out.view(np.uint8)
+        return letters[letters != 0][:-1].tobytes()
+
+
+def written_ids(number: int, last: bytes) -> np.ndarray:
+    """Decimal ids as 8 bytes, followed by a comma (column 0) or by ``last`` (column 1), filled up with zero bytes."""
+    if number > 10 ** 7:
+        raise ValueError("an id and its mark must fit 8 bytes")
+    return np.column_stack([np.array([b"%d%s" % (k, mark) for k in range(number)], "S8").view(np.uint64) for mark in (b",", last)])
 
 
 def _byte_level() -> dict[str, int]:
@@ -169,33 +196,35 @@ class Tokenizers:
         ]
         self._size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self._size_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.name_a = [str(k) for k in range(len(self.bytes_a))]
-        self.name_b = [str(k) for k in range(len(self.bytes_b))]
+        self.names = written_ids(len(self.bytes_a), b"|"), written_ids(len(self.bytes_b), b";")
 
     @property
     def shape(self) -> tuple[int, int]:
         return len(self.bytes_a), len(self.bytes_b)
 
-    def first(self, text: str) -> list[int]:
+    def first(self, text: str) -> np.ndarray:
         if len(text) <= LONG:
-            return self._ranks.encode_ordinary(text)
+            return self._ranks.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_str(self._file)
         own.encode_special_tokens = True
-        return own.encode(text, add_special_tokens=False).ids
+        return np.array(own.encode(text, add_special_tokens=False).ids, np.int64)
 
     def align(self, text: str | None) -> Aligned | None:
         """The alignment of one text (A reads a blank and the text, B adds its own), None if it has no tokens."""
         if not text:
             return None
-        a, b = self.first(" " + text), self._pieces.encode(text)
-        want = (" " + text).encode()
-        if b"".join(map(self.bytes_b.__getitem__, b)) != want or b"".join(map(self.bytes_a.__getitem__, a)) != want:
+        whole = " " + text
+        want = whole.encode()
+        b = self._pieces.encode(text)
+        if b"".join(map(self.bytes_b.__getitem__, b)) != want:
             return None
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ids_a, ids_b = self.first(whole), np.array(b, np.int64)
         ends_a, ends_b = np.cumsum(self._size_a[ids_a]), np.cumsum(self._size_b[ids_b])
-        return Aligned(ids_a, ids_b, diagonal_runs(ends_a.tolist(), ends_b.tolist()))
+        if ends_a[-1] != len(want):  # a byte-level vocabulary has every byte, so A keeps all of them
+            return None
+        return Aligned(ids_a, ids_b, diagonal_runs(ends_a, ends_b))
 
 
 @cache
@@ -250,7 +279,7 @@ def _linked(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, file
                     continue
                 at_a, at_b = x.links()
                 pairs, times = np.unique(x.a[at_a] * width + x.b[at_b], return_counts=True)
-                digest = hashlib.sha256(x.groups(both.name_a, both.name_b).encode()).hexdigest()
+                digest = hashlib.sha256(x.groups(both.names)).hexdigest()
                 n = len(at_a)
                 out.append((len(x.a), len(x.b), n, n, digest, pairs.astype("<u4").tobytes(), times.astype("<u4").tobytes()))
             rows = pa.array(np.arange(row, row + len(out)))
