@@ -60,21 +60,71 @@ def gram_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     return g
 
 
-def vif_from_gram(g: np.ndarray, tol: float = 1e-12) -> np.ndarray:
-    """VIF_i = (R^-1)_ii with R the Gram matrix scaled to a unit diagonal, so columns
-    of any magnitude count alike.  Columns that take part in an exact linear
-    dependence (and all-zero columns) are infinite; the rest use the
-    pseudo-inverse on the remaining directions."""
-    d = g.shape[0]
-    diag = np.diag(g)
-    scale = np.sqrt(np.where(diag > 0, diag, 1.0))
-    w, v = np.linalg.eigh(g / np.outer(scale, scale))
-    null = w <= tol * d
-    power = v * v
-    out = power[:, ~null] @ (1.0 / w[~null])
-    out[power[:, null].sum(axis=1) > 1e-9] = np.inf
-    out[diag <= 0] = np.inf
-    return np.ones(1) if d == 1 else out
+#: What is left of a scaled column that the others explain is taken for zero up to this.
+RESIDUAL = 1e-9
+#: Coefficients above this take part in a linear dependence.
+COEFFICIENT = 1e-7
+
+
+def sweep(a: np.ndarray, k: int, sign: int = 1) -> np.ndarray:
+    """The symmetric matrix swept on column k: k enters the explaining columns (``sign`` -1: leaves them)."""
+    d = a[k, k]
+    out = a - np.outer(a[:, k], a[k, :]) / d
+    out[k, :] = sign * a[k, :] / d
+    out[:, k] = sign * a[:, k] / d
+    out[k, k] = -1.0 / d
+    return out
+
+
+class Collinear:
+    """VIFs of a set of columns from their Gram matrix, kept up to date while columns leave.
+
+    The matrix, scaled to a unit diagonal so that columns of any magnitude count
+    alike, is swept on every column that the earlier ones do not explain; the swept
+    block is then the negative inverse, whose diagonal holds the VIFs.  Columns that
+    are left out depend on those with a coefficient in their row; all of a dependence
+    are infinite.  Dropping a column is one sweep back, and one sweep more if a
+    dependent column is free then: d squared steps, not a new decomposition."""
+
+    def __init__(self, g: np.ndarray) -> None:
+        diag = np.diag(g)
+        scale = np.sqrt(np.where(diag > 0, diag, 1.0))
+        self.a = g / np.outer(scale, scale)
+        self.swept, self.waiting = [], []
+        for k in range(len(g)):
+            if self.a[k, k] > RESIDUAL:
+                self.a = sweep(self.a, k)
+                self.swept.append(k)
+            else:
+                self.waiting.append(k)
+
+    def vif(self) -> dict[int, float]:
+        out = {k: float("inf") for k in self.waiting}
+        for k in self.swept:
+            depends = len(self.waiting) and np.abs(self.a[k, self.waiting]).max() > COEFFICIENT
+            out[k] = float("inf") if depends else float(-self.a[k, k])
+        return out
+
+    def drop(self, k: int) -> None:
+        if k in self.waiting:
+            self.waiting.remove(k)
+            return
+        self.a = sweep(self.a, k, -1)
+        self.swept.remove(k)
+        for free in self.waiting:
+            if self.a[free, free] > RESIDUAL:
+                self.a = sweep(self.a, free)
+                self.waiting.remove(free)
+                self.swept.append(free)
+                return  # the rank is whole again: the others depend as before
+
+
+def vif_from_gram(g: np.ndarray) -> np.ndarray:
+    """VIF of every column; columns of an exact linear dependence and all-zero columns are infinite."""
+    if g.shape[0] == 1:
+        return np.ones(1)
+    found = Collinear(g).vif()
+    return np.array([found[k] for k in range(g.shape[0])])
 
 
 def numeric_null_free(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -95,20 +145,18 @@ def vif_table(spark: SparkSession, df: DataFrame, cols: Sequence[str]) -> DataFr
 
 
 def iterative_drop(g: np.ndarray, cols: Sequence[str], threshold: float, min_cols: int = 2):
-    """Drop the worst column while its VIF > threshold; stop under ``min_cols`` columns."""
+    """Drop the worst column (the first by name of equals) while its VIF > threshold; stop under ``min_cols`` columns."""
     cols = list(cols)
-    keep = list(range(len(cols)))
-    dropped = []
-    while len(keep) >= min_cols:
-        v = vif_from_gram(g[np.ix_(keep, keep)])
-        order = sorted(range(len(keep)), key=lambda i: (-v[i], cols[keep[i]]))
-        worst = order[0]
-        if v[worst] > threshold:
-            dropped.append((cols[keep[worst]], float(v[worst])))
-            keep.pop(worst)
-        else:
+    state, dropped = Collinear(g), []
+    while len(cols) - len(dropped) >= min_cols:
+        v = state.vif()
+        worst = min(v, key=lambda k: (-v[k], cols[k]))
+        if not v[worst] > threshold:
             break
-    return [cols[i] for i in keep], dropped
+        dropped.append((cols[worst], v[worst]))
+        state.drop(worst)
+    gone = {c for c, _ in dropped}
+    return [c for c in cols if c not in gone], dropped
 
 
 class VIFDropperModel(StateModel):

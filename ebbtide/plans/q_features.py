@@ -19,7 +19,7 @@ from ebbtide.operators.preprocess import ID_COLS, build_preprocessing_pipeline
 from ebbtide.operators.split import kfold
 from ebbtide.plans.common import round_doubles
 from ebbtide.plans.fixture_sql import with_views
-from ebbtide.plans.fixtures import cust_clean, cust_feat, cust_split
+from ebbtide.plans.fixtures import NUMERIC_FEATURES, STRING_FEATURES, cust_clean, cust_feat, cust_split
 from ebbtide.plans.registry import register
 
 EPS_SQL = "0.000001"
@@ -71,8 +71,8 @@ def split_kfold(spark, sf_dir):
 
 # ---- M1 imputer -------------------------------------------------------------------
 
-IMPUTED_NUM = ("rev_Mean", "mou_Mean", "change_mou", "eqpdays")
-IMPUTED_CAT = ("prizm_social_one", "crclscod")
+IMPUTED_NUM = NUMERIC_FEATURES
+IMPUTED_CAT = (*STRING_FEATURES, "rev_text")
 
 
 def _mode_sql(c):
@@ -267,7 +267,7 @@ def feat_target_encode_oof(spark, sf_dir):
 
 # ---- M6 ordinal encoding ---------------------------------------------------------------
 
-ORDINAL_COLS = ("ethnic", "infobase", "crclscod", "rev_text")
+ORDINAL_COLS = (*STRING_FEATURES, "rev_text")
 
 
 @register(
@@ -303,20 +303,17 @@ def feat_ordinal_encode(spark, sf_dir):
 
 # ---- M11 standard scaler ---------------------------------------------------------------
 
-SCALED = ("rev_Mean", "mou_Mean", "months", "eqpdays", "actvsubs")
+SCALED = NUMERIC_FEATURES
 
 
 @register(
     "feat_standardize",
     _views(
-        "SELECT cust_id, split, "
-        + ", ".join(
-            f"round((\"{c}\" - (SELECT avg(\"{c}\") FROM cust_split WHERE split = 'train')) / "
-            f"(SELECT CASE WHEN stddev_pop(\"{c}\") > 0 THEN stddev_pop(\"{c}\") ELSE 1 END FROM cust_split "
-            f"WHERE split = 'train'), 6) AS \"{c}\""
-            for c in SCALED
-        )
-        + " FROM cust_split",
+        "WITH st AS (SELECT " + ", ".join(
+            f"avg(\"{c}\") AS m{k}, CASE WHEN stddev_pop(\"{c}\") > 0 THEN stddev_pop(\"{c}\") ELSE 1 END AS s{k}"
+            for k, c in enumerate(SCALED)) + " FROM cust_split WHERE split = 'train') SELECT cust_id, split, "
+        + ", ".join(f"round((\"{c}\" - m{k}) / s{k}, 6) AS \"{c}\"" for k, c in enumerate(SCALED))
+        + " FROM cust_split, st",
         "cust_split",
     ),
 )
@@ -329,25 +326,39 @@ def feat_standardize(spark, sf_dir):
 
 # ---- M7 / M8 VIF -----------------------------------------------------------------
 
-GRAM_COLS = ("call_completion_rate", "drop_rate", "block_rate", "short_call_ratio", "unanswered_rate",
-             "data_to_voice_ratio", "peak_usage_share", "active_sub_ratio")
+GRAM_COLS = (*NUMERIC_FEATURES, *ENGINEERED)  # every numeric column; none holds a null
+
+GRAM_SQL = """
+long AS (
+  SELECT cust_id, split, k, v FROM (
+    SELECT cust_id, split, unnest(range({d})) AS k, unnest([{values}]) AS v FROM engineered)
+),
+sums AS (
+  SELECT x.k AS i, y.k AS j, sum(x.v * y.v) AS g FROM long x JOIN long y ON x.cust_id = y.cust_id
+  WHERE {where} GROUP BY x.k, y.k
+),
+gram AS (
+  SELECT s.i, s.j, CASE WHEN a.g > 0 AND b.g > 0 THEN s.g / sqrt(a.g) / sqrt(b.g) ELSE 0 END AS g
+  FROM sums s JOIN sums a ON a.i = s.i AND a.j = s.i JOIN sums b ON b.i = s.j AND b.j = s.j
+)"""
 
 
-@register(
-    "feat_vif_gram",
-    _views(
-        " UNION ALL ".join(
-            f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a} * {b}), 6) AS g FROM engineered"
-            for i, a in enumerate(GRAM_COLS) for b in GRAM_COLS[i:]
-        ),
-        "cust_split",
-        extra=ENGINEERED_VIEW,
-    ),
-)
+def _gram_views(body, where="true"):
+    values = ", ".join(f"CAST(\"{c}\" AS DOUBLE)" for c in GRAM_COLS)
+    gram = GRAM_SQL.replace("{d}", str(len(GRAM_COLS))).replace("{values}", values).replace("{where}", where)
+    names = "[" + ", ".join(f"'{c}'" for c in GRAM_COLS) + "]"
+    return _views(body.replace("{names}", names), "cust_split", extra=ENGINEERED_VIEW + "," + gram)
+
+
+@register("feat_vif_gram", _gram_views("SELECT ({names})[i + 1] AS a, ({names})[j + 1] AS b, round(g, 6) AS g FROM gram WHERE i <= j"))
 def feat_vif_gram(spark, sf_dir):
-    """X'X of the rate features from one aggregate (the only distributed step of VIF)."""
+    """X'X of all numeric columns, raw and engineered, scaled to a unit diagonal (the only distributed step of VIF)."""
     eng = FeatureEngineer().transform(cust_feat(spark, sf_dir))
-    return round_doubles(gram_long(eng, GRAM_COLS))
+    long = gram_long(eng, GRAM_COLS)
+    own = long.where("a = b")
+    of_a, of_b = (own.select(F.col("a").alias(c), F.col("g").alias(f"g_{c}")) for c in ("a", "b"))
+    scaled = F.when((F.col("g_a") > 0) & (F.col("g_b") > 0), F.col("g") / F.sqrt("g_a") / F.sqrt("g_b")).otherwise(0.0)
+    return round_doubles(long.join(of_a, "a").join(of_b, "b").select("a", "b", scaled.alias("g")))
 
 
 def _engineered_numeric(spark, sf_dir):
@@ -355,15 +366,74 @@ def _engineered_numeric(spark, sf_dir):
     return FeatureEngineer().transform(s)
 
 
-@register("feat_vif")
+def _sweep_sql(column, sign):
+    """The matrix (a list of d * d numbers) swept on a column."""
+    d, k = len(GRAM_COLS), column
+    i, j = f"(x // {d})", f"(x % {d})"
+    cell = f"a[x + 1] - a[{i} * {d} + {k} + 1] * a[{k} * {d} + {j} + 1] / a[{k} * {d} + {k} + 1]"
+    return (f"[CASE WHEN {i} = {k} AND {j} = {k} THEN -1 / a[x + 1] WHEN {i} = {k} OR {j} = {k} "
+            f"THEN {sign} * a[x + 1] / a[{k} * {d} + {k} + 1] ELSE {cell} END FOR x IN range({d * d})]")
+
+
+def _vifs_sql():
+    d = len(GRAM_COLS)
+    return (f"[CASE WHEN st[k + 1] = 3 THEN -1 WHEN st[k + 1] = 2 OR list_bool_or([st[e + 1] = 2 AND abs(a[k * {d} + e + 1]) > 1e-7 "
+            f"FOR e IN range({d})]) THEN 'inf'::DOUBLE ELSE -a[k * {d} + k + 1] END FOR k IN range({d})]")
+
+
+def _vif_sql(threshold):
+    """Elimination as a recursive query over one row: matrix a, st per column (0 open, 1 swept, 2 dependent, 3 dropped).
+
+    A step sweeps the next column, or a dependent column that has come free, or drops the worst column."""
+    d = len(GRAM_COLS)
+    residual = f"a[k * {d} + k + 1] > 1e-9"
+    return f"""
+start AS (SELECT list(g ORDER BY i, j) AS a FROM gram),
+steps AS (
+  WITH RECURSIVE r AS (
+    SELECT 0 AS step, a, [0 FOR k IN range({d})] AS st, -1 AS dropped, 0.0::DOUBLE AS v, false AS done FROM start
+    UNION ALL
+    SELECT step + 1, CASE kind WHEN 'in' THEN {_sweep_sql('c', 1)} WHEN 'out' THEN {_sweep_sql('c', -1)} ELSE a END,
+      [CASE WHEN k = c THEN to_state ELSE st[k + 1] END FOR k IN range({d})],
+      CASE WHEN to_state = 3 THEN c ELSE -1 END, CASE WHEN to_state = 3 THEN vifs[c + 1] ELSE 0 END, c < 0
+    FROM (
+      SELECT *, CASE WHEN step < {d} THEN step WHEN free >= 0 THEN free WHEN left_ >= 2 AND vifs[worst + 1] > {threshold} THEN worst ELSE -1 END AS c,
+        CASE WHEN step < {d} THEN CASE WHEN a[step * {d} + step + 1] > 1e-9 THEN 'in' ELSE '' END WHEN free >= 0 THEN 'in'
+          WHEN left_ >= 2 AND vifs[worst + 1] > {threshold} AND st[worst + 1] = 1 THEN 'out' ELSE '' END AS kind,
+        CASE WHEN step < {d} THEN CASE WHEN a[step * {d} + step + 1] > 1e-9 THEN 1 ELSE 2 END WHEN free >= 0 THEN 1 ELSE 3 END AS to_state
+      FROM (
+        SELECT *, coalesce(list_min([k FOR k IN range({d}) IF st[k + 1] = 2 AND {residual}]), -1) AS free,
+          len([k FOR k IN range({d}) IF st[k + 1] <> 3]) AS left_,
+          list_sort([{{'v': -vifs[k + 1], 'name': ({{names}})[k + 1], 'k': k}} FOR k IN range({d})])[1].k AS worst
+        FROM (SELECT *, {_vifs_sql()} AS vifs FROM r WHERE NOT done AND step < 400)
+      )
+    )
+  ) SELECT * FROM r
+)"""
+
+
+def _vif_views(threshold, body, where="true"):
+    return _gram_views("WITH " + _vif_sql(threshold).lstrip() + body, where)
+
+
+@register("feat_vif", _vif_views("'inf'::DOUBLE", """
+SELECT ({names})[k + 1] AS feature, round(vifs[k + 1], 3) AS vif FROM (
+  SELECT vifs, unnest(range(len(vifs))) AS k FROM (
+    SELECT {vif} AS vifs FROM steps WHERE step = {d}))
+""".replace("{d}", str(len(GRAM_COLS))).replace("{vif}", _vifs_sql())))
 def feat_vif(spark, sf_dir):
     """VIF of every null-free numeric feature (uncentred R^2), highest first."""
     eng = _engineered_numeric(spark, sf_dir)
     cols = numeric_null_free(eng, exclude=ID_COLS)
-    return vif_table(spark, eng, cols)
+    return round_doubles(vif_table(spark, eng, cols), 3)
 
 
-@register("feat_vif_drop")
+@register("feat_vif_drop", _vif_views("10", """,
+gone AS (SELECT dropped AS k, v, row_number() OVER (ORDER BY step) - 1 AS n FROM steps WHERE dropped >= 0)
+SELECT ({names})[c.k + 1] AS feature, CASE WHEN g.k IS NULL THEN 'kept' ELSE 'dropped' END AS decision,
+  round(g.v, 3) AS vif, CAST(g.n AS INTEGER) AS step
+FROM (SELECT unnest(range({d})) AS k) c LEFT JOIN gone g ON g.k = c.k
+""".replace("{d}", str(len(GRAM_COLS))), "x.split = 'train'"))
 def feat_vif_drop(spark, sf_dir):
     """Columns the iterative VIF dropper removes (threshold 10) and keeps."""
     eng = _engineered_numeric(spark, sf_dir)
@@ -371,7 +441,7 @@ def feat_vif_drop(spark, sf_dir):
     st = model._get_state()
     rows = [(c, "dropped", float(v), i) for i, (c, v) in enumerate(st["dropped"])]
     rows += [(c, "kept", None, None) for c in st["kept"]]
-    return spark.createDataFrame(rows, "feature string, decision string, vif double, step int")
+    return round_doubles(spark.createDataFrame(rows, "feature string, decision string, vif double, step int"), 3)
 
 
 # ---- M12 pipeline -------------------------------------------------------------------
