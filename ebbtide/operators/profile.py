@@ -178,20 +178,24 @@ def variance_topk(df: DataFrame, cols: Sequence[str], k: int = 20) -> DataFrame:
     return long.where(F.col("variance").isNotNull()).orderBy(F.col("variance").desc(), F.col("feature")).limit(k)
 
 
-def hist_by_label(df: DataFrame, col: Column, label: str, n_bins: int) -> DataFrame:
-    """Equal-width histogram with bins shared across labels: exactly ``n_bins`` bins
-    over the pooled [min, max], top edge closed.  Two passes: range, then counts."""
-    v = df.select(F.col(label), col.alias("x")).where(F.col("x").isNotNull() & F.col(label).isNotNull())
-    rng = v.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.lit(1).alias("_k"))
-    b = v.withColumn("_k", F.lit(1)).join(F.broadcast(rng), "_k")  # one-row range table
-    return (
-        b.groupBy(label, width_bin("x", F.col("lo"), F.col("hi"), n_bins).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-        .select(
-            label, "bin", "n",
-            (F.col("lo") + (F.col("bin") - 1) * (F.col("hi") - F.col("lo")) / n_bins).alias("bin_lo"),
-        )
-    )
+def hists_by_label(df: DataFrame, values: dict[str, Column], label: str, n_bins: int) -> DataFrame:
+    """(feature, label, bin, n, bin_lo): equal-width histograms of several columns, bins shared across labels:
+    exactly ``n_bins`` over the pooled [min, max] of a column, top edge closed.
+
+    Two scans for all columns: one row of ranges, then counts by (column, label, bin) that
+    are added up within each task before the shuffle."""
+    known = df.where(F.col(label).isNotNull())
+    ranges = known.agg(*[f(v).alias(f"{end}{k}") for k, v in enumerate(values.values())
+                         for end, f in (("lo", F.min), ("hi", F.max))]).first()  # two numbers a column
+    cells = [F.struct(F.lit(name).alias("feature"), F.lit(float(ranges[f"lo{k}"])).alias("lo"), F.lit(float(ranges[f"hi{k}"])).alias("hi"),
+                      F.when(v.isNotNull(), width_bin(v, float(ranges[f"lo{k}"]), float(ranges[f"hi{k}"]), n_bins)).alias("bin"))
+             for k, (name, v) in enumerate(values.items()) if ranges[f"lo{k}"] is not None]
+    empty = "array<struct<feature:string,lo:double,hi:double,bin:int>>"
+    binned = known.select(label, F.explode((F.array(*cells) if cells else F.array()).cast(empty)).alias("c")).where(
+        F.col("c.bin").isNotNull())
+    return binned.groupBy(F.col("c.feature").alias("feature"), label, F.col("c.bin").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.first("c.lo").alias("lo"), F.first("c.hi").alias("hi")).select(
+            "feature", label, "bin", "n", (F.col("lo") + (F.col("bin") - 1) * (F.col("hi") - F.col("lo")) / n_bins).alias("bin_lo"))
 
 
 def density_smooth(df: DataFrame, col: str, label: str, clip_q: float = 0.97, n_bins: int = 80,

@@ -10,7 +10,7 @@ from ebbtide.operators import profile as prof
 from ebbtide.operators.stats import chi2_independence, welch_t
 from ebbtide.plans.common import round_doubles
 from ebbtide.plans.fixture_sql import with_views
-from ebbtide.plans.fixtures import NUMERIC_FEATURES, cust_clean, cust_dirty, cust_feat, scored
+from ebbtide.plans.fixtures import MODEL_SEEDS, NUMERIC_FEATURES, cust_clean, cust_dirty, cust_feat, scored
 from ebbtide.plans.registry import register
 
 CLEAN_COLS = ("cust_id", "churn", *NUMERIC_FEATURES,
@@ -185,7 +185,7 @@ def agg_box_stats(spark, sf_dir):
 
 # ---- A11 quantiles ----------------------------------------------------------------
 
-QUANTILE_COLS = ("rev_Mean", "mou_Mean", "change_mou", "eqpdays", "months", "ovrmou_Mean")
+QUANTILE_COLS = NUMERIC_FEATURES
 
 
 @register(
@@ -250,51 +250,48 @@ def topk_variance_columns(spark, sf_dir):
 
 # ---- A19 histogram by label ------------------------------------------------------
 
+HIST_SQL = """
+v2 AS (SELECT {by}, churn, x FROM ({values}) WHERE x IS NOT NULL AND churn IS NOT NULL),
+r AS (SELECT {by}, min(x) AS lo, max(x) AS hi FROM v2 GROUP BY {by}),
+b AS (
+  SELECT v2.{by}, churn, CASE WHEN hi = lo THEN 1
+                     ELSE CAST(least(floor((x - lo) / ((hi - lo) / {n})) + 1, {n}) AS INTEGER) END AS bin, lo, hi
+  FROM v2 JOIN r ON v2.{by} = r.{by}
+)
+SELECT {by}, churn, bin, count(*) AS n, round(min(lo) + (bin - 1) * (min(hi) - min(lo)) / {n}, 6) AS bin_lo
+FROM b GROUP BY {by}, churn, bin
+"""
+
+
+def _hist_sql(by, values, n):
+    return "WITH " + HIST_SQL.replace("{by}", by).replace("{values}", values).replace("{n}", str(n)).lstrip()
+
+
 @register(
     "agg_hist_by_label",
     with_views(
-        """
-WITH v AS (SELECT churn, CASE WHEN mou_Mean > -1 THEN ln(1 + mou_Mean) END AS x FROM cust_clean),
-v2 AS (SELECT * FROM v WHERE x IS NOT NULL AND churn IS NOT NULL),
-r AS (SELECT min(x) AS lo, max(x) AS hi FROM v2),
-b AS (
-  SELECT churn, CASE WHEN hi = lo THEN 1
-                     ELSE CAST(least(floor((x - lo) / ((hi - lo) / 20)) + 1, 20) AS INTEGER) END AS bin, lo, hi
-  FROM v2, r
-)
-SELECT churn, bin, count(*) AS n, round(min(lo) + (bin - 1) * (min(hi) - min(lo)) / 20, 6) AS bin_lo
-FROM b GROUP BY churn, bin
-""",
+        _hist_sql("feature", " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, churn, CASE WHEN \"{c}\" > -1 THEN ln(1 + \"{c}\") END AS x FROM cust_clean"
+            for c in KEY_PRESENT), 20),
         "cust_clean",
     ),
 )
 def agg_hist_by_label(spark, sf_dir):
-    """20 equal-width bins of log1p(mou_Mean), shared by both labels."""
+    """20 equal-width bins of log1p of every key numeric column, shared by both labels (two scans for all columns)."""
     d = cust_clean(spark, sf_dir)
-    return round_doubles(prof.hist_by_label(d, log1p_safe("mou_Mean"), "churn", 20))
+    return round_doubles(prof.hists_by_label(d, {c: log1p_safe(c) for c in KEY_PRESENT}, "churn", 20))
 
 
 @register(
     "agg_score_hist_by_label",
-    with_views(
-        """
-WITH v2 AS (SELECT churn, p AS x FROM scored WHERE model = 'A'),
-r AS (SELECT min(x) AS lo, max(x) AS hi FROM v2),
-b AS (
-  SELECT churn, CASE WHEN hi = lo THEN 1
-                     ELSE CAST(least(floor((x - lo) / ((hi - lo) / 40)) + 1, 40) AS INTEGER) END AS bin, lo, hi
-  FROM v2, r
-)
-SELECT churn, bin, count(*) AS n, round(min(lo) + (bin - 1) * (min(hi) - min(lo)) / 40, 6) AS bin_lo
-FROM b GROUP BY churn, bin
-""",
-        "scored",
-    ),
+    with_views(_hist_sql("model", "SELECT model, churn, p AS x FROM scored", 40), "scored"),
 )
 def agg_score_hist_by_label(spark, sf_dir):
-    """Probability histogram, 40 bins by label (dashboard overview chart data)."""
-    s = scored(spark, sf_dir).where(F.col("model") == "A")
-    return round_doubles(prof.hist_by_label(s, F.col("p"), "churn", 40))
+    """Probability histograms of both models, 40 bins by label (dashboard overview chart data)."""
+    models = sorted(MODEL_SEEDS)
+    s = scored(spark, sf_dir)
+    of = {m: F.when(F.col("model") == m, F.col("p")) for m in models}
+    return round_doubles(prof.hists_by_label(s, of, "churn", 40).withColumnRenamed("feature", "model"))
 
 
 # ---- W1 density + moving average ----------------------------------------------------
