@@ -6,35 +6,37 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.scalar import is_missing
 from ebbtide.operators import metrics as M
+from ebbtide.operators.boosting import BoostedModel, Table, bin_edges, binned_table
 from ebbtide.operators.explain import linear_attributions, mean_abs, tree_attributions_wide
+from ebbtide.operators.features import ENGINEERED, FeatureEngineer
 from ebbtide.operators.models import (
     FEATURES,
     LOGISTIC_C,
+    SEARCH_SPACES,
     assemble,
     cross_validate,
     feature_columns,
     importance_table,
     knn_score,
-    lgb_param_draws,
     model_zoo,
     positive_probability,
+    positive_weight,
     random_search,
-    with_class_weight,
-    xgb_param_draws,
+    refit,
 )
 from ebbtide.operators.preprocess import ID_COLS, build_preprocessing_pipeline
 from ebbtide.operators.split import kfold
 from ebbtide.plans.common import round_doubles
 from ebbtide.plans.fixture_sql import with_views
-from ebbtide.plans.fixtures import materialized, stage_done, stage_path
-from ebbtide.plans.q_features import dirty_split
+from ebbtide.plans.fixtures import NUMERIC_FEATURES, cust_split, materialized, stage_done, stage_path
+from ebbtide.plans.q_features import ENGINEERED_VIEW, dirty_split
 from ebbtide.plans.registry import register
 from ebbtide.session import scratch_path
 
@@ -71,22 +73,46 @@ def no_nulls(df: DataFrame) -> DataFrame:
     return df.where(F.when(missing, F.raise_error(F.lit("preprocessing left a missing value"))).otherwise(F.lit(True)))
 
 
-def _best_model(spark, sf_dir):
-    """The boosted model of the test queries, fitted once per input on every train row and kept beside the stage tables."""
+def _binned_train(spark, sf_dir):
+    """The train rows, binned once for both searches and their refits."""
     df, cols = _matrix(spark, sf_dir)
-    path = stage_path(spark, sf_dir, "boosted-model")
+    path = stage_path(spark, sf_dir, "binned-train")
+    train = df.where(F.col("split") == "train")
+    edges_at = stage_path(spark, sf_dir, "binned-edges")
+    if not (stage_done(spark, path) and stage_done(spark, edges_at)):
+        edges = bin_edges(train, cols)
+        binned_table(train, cols, path, edges=edges)
+        spark.createDataFrame(list(enumerate(edges)), "k int, edges array<double>").coalesce(1).write.mode("overwrite").parquet(edges_at)
+    edges = [r["edges"] for r in spark.read.parquet(edges_at).orderBy("k").collect()]  # a row a column
+    blocks = spark.read.parquet(path)
+    return Table(blocks, edges, cols, blocks.agg(F.sum("n")).first()[0] or 0)
+
+
+def _tuned_model(spark, sf_dir, name: str) -> BoostedModel:
+    """The best draw of a search, fitted to all train rows, kept beside the stage tables."""
+    path = stage_path(spark, sf_dir, f"tuned-{name}")
     if not stage_done(spark, f"{path}/metadata"):
-        tr = assemble(with_class_weight(df.where(F.col("split") == "train")), cols)
-        model_zoo()["LightGBM"].fit(tr).write().overwrite().save(path)
-    return GBTClassificationModel.load(path), df, cols
+        best = _search(spark, sf_dir, name).orderBy(F.col("cv_roc_auc").desc(), "draw").first()["draw"]
+        df, _ = _matrix(spark, sf_dir)
+        draw = SEARCH_SPACES[name]()[best]
+        model = refit(spark, _binned_train(spark, sf_dir), draw, stage_path(spark, sf_dir, f"refit-{name}"), positive_weight(df))
+        model.write().overwrite().save(path)
+    return BoostedModel.load(path)
+
+
+def _best_model(spark, sf_dir):
+    """The tuned model that scoring and explanations take: the first of LightGBM and XGBoost that is saved (the former if neither is)."""
+    df, cols = _matrix(spark, sf_dir)
+    saved = [n for n in ("LightGBM", "XGBoost") if stage_done(spark, f"{stage_path(spark, sf_dir, f'tuned-{n}')}/metadata")]
+    return _tuned_model(spark, sf_dir, saved[0] if saved else "LightGBM"), df, cols
 
 
 @register("model_batch_score")
 def model_batch_score(spark, sf_dir):
-    """Positive-class probability of the test customers from the boosted model."""
+    """Positive-class probability of the test customers from the tuned boosted model."""
     model, df, cols = _best_model(spark, sf_dir)
-    te = assemble(df.where(F.col("split") == "test"), cols)
-    return round_doubles(positive_probability(model.transform(te)).select("row_id", "cust_id", "churn", "p"))
+    te = df.where(F.col("split") == "test").select("row_id", "cust_id", "churn", *cols)
+    return round_doubles(model.transform(te).select("row_id", "cust_id", "churn", "p"))
 
 
 @register("sink_model_roundtrip")
@@ -120,7 +146,7 @@ def _cv_scores(spark, sf_dir, parallelism=8):
     folds = kfold(tr.select("row_id", "churn"), "row_id", "churn", 3, seed=44).select(
         "row_id", F.col("fold").cast("int").alias("cv_fold"))
     data = tr.join(folds, "row_id")
-    return cross_validate(model_zoo(early_stopping=True), data, "cv_fold", 3, cols, key="row_id",
+    return cross_validate(model_zoo(weight=positive_weight(df)), data, "cv_fold", 3, cols, key="row_id",
                           parallelism=parallelism)
 
 
@@ -141,21 +167,11 @@ def model_cv_summary(spark, sf_dir):
 
 
 def _search(spark, sf_dir, name: str):
-    """30 seeded draws of one search space, 5 stratified folds; best first, kept as a stage table."""
-    df, cols = _matrix(spark, sf_dir)
-
-    def build():
-        tr = df.where(F.col("split") == "train").withColumn("fold", F.col("fold").cast("int"))
-        data = assemble(with_class_weight(tr), cols)
-        est = model_zoo()[name]
-        draws = xgb_param_draws(est, tr.count()) if name == "XGBoost" else lgb_param_draws(est)
-        rows = [
-            (d, ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)), float(auc))
-            for d, pm, auc in random_search(est, draws, data, "fold", parallelism=8, stop_early=False)
-        ]
-        return spark.createDataFrame(rows, "draw int, params string, cv_roc_auc double")
-
-    return materialized(spark, sf_dir, f"search-all-rounds-{name}", build)
+    """30 seeded draws of one search space, 5 stratified folds, kept as a stage table."""
+    df, _ = _matrix(spark, sf_dir)
+    base = stage_path(spark, sf_dir, f"search-fits-{name}")
+    return materialized(spark, sf_dir, f"search-boosted-{name}", lambda: random_search(
+        spark, _binned_train(spark, sf_dir), SEARCH_SPACES[name](), base, positive_weight(df)))
 
 
 @register("model_random_search")
@@ -181,21 +197,22 @@ def model_tuning_result(spark, sf_dir):
     return round_doubles(best[0].unionByName(best[1]).orderBy(F.col("cv_roc_auc").desc(), "model"))
 
 
-KNN_COLS = ("rev_Mean", "mou_Mean", "avgrev", "plcd_vce_Mean", "totmrc_Mean")
+KNN_COLS = (*NUMERIC_FEATURES, *ENGINEERED)
 
 
 def _knn_sql():
-    z_t = ", ".join(
-        f"(\"{c}\" - m{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1 END AS z{i}" for i, c in enumerate(KNN_COLS))
-    stats = ", ".join(f"avg(\"{c}\") AS m{i}, stddev_pop(\"{c}\") AS s{i}" for i, c in enumerate(KNN_COLS))
-    dist = " + ".join(f"(t.z{i} - q.z{i}) * (t.z{i} - q.z{i})" for i in range(len(KNN_COLS)))
+    def z(c, k):
+        return f"(\"{c}\" - m{k}) / CASE WHEN s{k} > 0 THEN s{k} ELSE 1 END"
+
+    row = "[" + ", ".join(z(c, k) for k, c in enumerate(KNN_COLS)) + "]"
+    stats = ", ".join(f"avg(\"{c}\") AS m{k}, stddev_pop(\"{c}\") AS s{k}" for k, c in enumerate(KNN_COLS))
     return with_views(
         f"""
-WITH tr AS (SELECT * FROM cust_split WHERE split = 'train'),
+WITH tr AS (SELECT * FROM engineered WHERE split = 'train'),
 st AS (SELECT {stats} FROM tr),
-tz AS (SELECT cust_id AS t_key, CAST(churn AS DOUBLE) AS t_y, {z_t} FROM tr, st),
-qz AS (SELECT cust_id AS q_key, {z_t} FROM cust_split, st WHERE split = 'test'),
-d AS (SELECT q.q_key, t.t_key, t.t_y, sqrt({dist}) AS d FROM qz q, tz t),
+tz AS (SELECT cust_id AS t_key, CAST(churn AS DOUBLE) AS t_y, {row} AS z FROM tr, st),
+qz AS (SELECT cust_id AS q_key, {row} AS z FROM engineered, st WHERE split = 'test'),
+d AS (SELECT q.q_key, t.t_key, t.t_y, list_distance(q.z, t.z) AS d FROM qz q, tz t),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY d, t_key) AS r FROM d) WHERE r <= 15)
 SELECT q_key AS cust_id,
   round(CASE WHEN sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) > 0 THEN avg(CASE WHEN d = 0 THEN t_y END)
@@ -203,19 +220,16 @@ SELECT q_key AS cust_id,
 FROM top GROUP BY q_key
 """,
         "cust_split",
+        extra=ENGINEERED_VIEW,
     )
 
 
 @register("join_knn_score", _knn_sql())
 def join_knn_score(spark, sf_dir):
-    """Exact 15-NN distance-weighted churn score of every test customer among the
-    train customers (standardised columns; grid over two random projections)."""
-    from ebbtide.plans.fixtures import cust_split
-
-    s = cust_split(spark, sf_dir)
-    tr = s.where(F.col("split") == "train")
-    te = s.where(F.col("split") == "test")
-    return round_doubles(knn_score(tr, te, KNN_COLS, k=15))
+    """Exact 15-NN distance-weighted churn score of every test customer among the train
+    customers, on all numeric columns, raw and engineered, standardised (pivot index)."""
+    s = FeatureEngineer().transform(cust_split(spark, sf_dir))
+    return round_doubles(knn_score(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), KNN_COLS, k=15))
 
 
 # ---- explanations ------------------------------------------------------------------
@@ -290,7 +304,7 @@ def explain_tree_global(spark, sf_dir):
 def explain_tree_local(spark, sf_dir):
     """Boosted model: top 15 attributions of its highest- and lowest-probability rows."""
     _, att, te, cols, model = _tree(spark, sf_dir)
-    return _local(att, positive_probability(model.transform(assemble(te, cols))).select("row_id", "p"))
+    return _local(att, model.transform(te.select("row_id", *cols)).select("row_id", "p"))
 
 
 @register("explain_tree_dependence")
