@@ -100,11 +100,21 @@ def _tuned_model(spark, sf_dir, name: str) -> BoostedModel:
     return BoostedModel.load(path)
 
 
+#: The tuned model that scoring and explanations take (the reference's evaluation ranks it first).
+BEST = "XGBoost"
+
+
 def _best_model(spark, sf_dir):
-    """The tuned model that scoring and explanations take: the first of LightGBM and XGBoost that is saved (the former if neither is)."""
     df, cols = _matrix(spark, sf_dir)
-    saved = [n for n in ("LightGBM", "XGBoost") if stage_done(spark, f"{stage_path(spark, sf_dir, f'tuned-{n}')}/metadata")]
-    return _tuned_model(spark, sf_dir, saved[0] if saved else "LightGBM"), df, cols
+    return _tuned_model(spark, sf_dir, BEST), df, cols
+
+
+def first_saved(spark, paths):
+    """The first of several saved models that is there, loaded; None if none is."""
+    for path in paths:
+        if stage_done(spark, f"{path}/metadata"):
+            return BoostedModel.load(path)
+    return None
 
 
 @register("model_batch_score")
