@@ -41,6 +41,8 @@ REPLACED = 5
 LONG = ("11101011", "110100111")
 SHORT = ("111", "11011")
 #: Item seeds that may be broadcast (about 40 bytes each).
+#: Words of the shortest item for which a document is dropped; a shorter one stands in any text.
+LEAST_WORDS = 5
 BROADCAST_ROWS = 500_000
 SLICE = 4096
 
@@ -98,19 +100,21 @@ def _of_item(mask: Column, size: Column) -> Column:
 
 
 def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+             item_col: str = "item_id", item_text_col: str = "text", least_words: int = 1) -> DataFrame:
     """(doc_id, item_id, matched, window, at): contaminated pairs; the best window's
-    matching words, its size and the item's place in the text (in words)."""
+    matching words, its size and the item's place in the text (in words).  Items under
+    ``least_words`` words are not looked for."""
+    # an item is its id and its words: ids may be null or repeat
     bench = items.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("iw")).where(
-        F.size("iw") > 0).withColumn("size", F.size("iw"))
+        F.size("iw") >= least_words).select("*", F.size("iw").alias("size"), F.xxhash64("item_id", "iw").alias("item")).dropDuplicates(["item"])
     sizes = {r[0] for r in bench.select(F.least("size", F.lit(WINDOW))).distinct().collect()}  # at most 13 numbers
     masks = _masks(sizes)
     hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
     seeds = (
         _with_pairs(bench.withColumn("ih", hashes(F.col("iw"))), "ih")
-        .select("item_id", "size", F.explode(_seeds(F.col("ih"), F.col("_pairs"), masks)).alias("s"))
+        .select("item", "size", F.explode(_seeds(F.col("ih"), F.col("_pairs"), masks)).alias("s"))
         .where(_of_item(F.col("s.mask"), F.col("size")))
-        .select("item_id", F.col("s.mask").alias("mask"), F.col("s.key").alias("key"), F.col("s.at").alias("item_at"))
+        .select("item", F.col("s.mask").alias("mask"), F.col("s.key").alias("key"), F.col("s.at").alias("item_at"))
     )
     seeds = written(spark, seeds, "decontamination-seeds")
     if seeds.count() <= BROADCAST_ROWS:
@@ -136,17 +140,17 @@ def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str
     )
     hits = (
         placed.join(seeds, ["mask", "key"])
-        .select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+        .select("doc_id", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"))
         .distinct()
     )
     # a text's alignments are bounded by its own length; each text with a hit is split into words once
-    by_text = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits"))
+    by_text = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift")).alias("hits"))
     aligned = (
         texts.join(written(spark, by_text, "decontamination-hits"), "doc_id")
         .select("doc_id", tokens(F.col("text")).alias("dw"), "hits")
         .select("doc_id", "dw", F.explode("hits").alias("hit"))
-        .select("doc_id", "dw", "hit.item_id", "hit.shift")
-        .join(bench, "item_id")
+        .select("doc_id", "dw", "hit.item", "hit.shift")
+        .join(bench, "item")
     )
     n = F.least("size", F.lit(WINDOW))
     same = F.transform("iw", lambda w, q: F.coalesce(
@@ -156,10 +160,10 @@ def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str
         lambda q: F.aggregate(F.slice("same", q + 1, n), F.lit(0), lambda acc, x: acc + x),
     ))
     return (
-        aligned.select("doc_id", "item_id", "shift", "size", same.alias("same"))
-        .select("doc_id", "item_id", "shift", n.alias("window"), best.alias("matched"))
+        aligned.select("doc_id", "item", "item_id", "shift", "size", same.alias("same"))
+        .select("doc_id", "item", "item_id", "shift", n.alias("window"), best.alias("matched"))
         .where(F.col("matched") >= F.col("window") - F.floor(F.col("window") / REPLACED))
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "item", "item_id")
         .agg(F.max(F.struct(F.col("matched"), F.col("window"), (-F.col("shift")).alias("back"))).alias("b"))
         .select("doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.window").alias("window"),
                 (-F.col("b.back")).alias("at"))
@@ -167,9 +171,9 @@ def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
-    """The rows that overlap no item, with all their columns (rows without an id stay)."""
-    found = overlaps(spark, docs, items, id_col, text_col).select(F.col("doc_id").alias("_hit")).distinct()
+                      text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows that overlap no item of at least ``least_words`` words, with all their columns (rows without an id stay)."""
+    found = overlaps(spark, docs, items, id_col, text_col, least_words=least_words).select(F.col("doc_id").alias("_hit")).distinct()
     return docs.join(found, F.col(id_col) == F.col("_hit"), "left_anti")
 
 

@@ -205,12 +205,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> Model:
-    """Fit on at most ``SAMPLE_ROWS`` labelled rows outside the held-out fold."""
+    """Fit on at most ``SAMPLE_ROWS`` rows of labelled ids outside the held-out fold that ``docs`` holds."""
     text_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    order = (F.xxhash64("_id"), "_id")
     sample = (
         labels.where(F.col(label_col).isin(0, 1) & (id_fold(F.col(id_col), FOLDS) != HELD_OUT_FOLD))
         .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
+        .join(texts.select("_id"), "_id", "left_semi").orderBy(*order).limit(SAMPLE_ROWS)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +222,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 [b.column(0), b.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "label", "x"])
 
     rows = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .join(F.broadcast(sample), "_id")  # at most SAMPLE_ROWS ids
-        .select(F.col("_id").cast("long"), "_text", "_label").mapInArrow(run, "id long, label int, x array<double>")
+        texts.join(F.broadcast(sample), "_id")  # at most SAMPLE_ROWS ids
+        .select("_id", "_text", "_label").mapInArrow(run, f"id {dict(texts.dtypes)['_id']}, label int, x array<double>")
+        .orderBy(F.xxhash64("id"), "id", "x").limit(SAMPLE_ROWS)  # an id may have many rows
         .collect()
     )
     rows.sort(key=lambda r: (r["id"], r["x"]))  # the same model whatever the order of arrival
@@ -247,7 +249,10 @@ def batch_scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns."""
+    """The rows whose score reaches the threshold, with all their columns.  A model that was not given
+    both classes tells no row from another, so all rows stay."""
+    if not any(len(c) for c in model.cuts):
+        return docs
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,9 @@ LETTERS = 1021
 SHARPNESS = 30.0
 #: Texts bundled by one matrix product, and n-grams looked up at once.
 BLOCK_TEXTS, BLOCK_GRAMS = 256, 4096
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Characters that are no letters: beside \W, digits and the underscore, numbers such as fractions and circled ones.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(f"[\\W\\d_{_NUMBERS}]+")
 _SLICE = 1 << 20
 
 

@@ -134,7 +134,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     to the shared folder.  Stops when a round leaves the edges as they were.
     """
     def state(e: DataFrame) -> tuple:
-        r = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
+        r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -175,13 +175,22 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     )
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component, the one with the smallest id, with all its columns.
-    Repeated rows of an id shrink to one; rows with a null id stay."""
-    named = docs.where(F.col(id_col).isNotNull())
-    first = near_duplicates(spark, named, id_col, text_col).select(F.col("component_id").alias("_first")).distinct()
-    kept = named.join(first, F.col(id_col).cast("long") == F.col("_first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+    Rows are told apart by id and text: an id with several texts is several rows, of which each may
+    stay; rows alike in both shrink to one.  Rows with a null id stay."""
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("_row", F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit(""))))
+    fps = written(spark, fingerprints(named, "_row", text_col, size).distinct(), "simhash-rows")
+    nodes = written(spark, fps.select("fp", F.col("fp").alias("node")).distinct(), "simhash-nodes")
+    found = components(spark, links(nodes, max_bits))
+    of_row = fps.join(found, F.col("fp") == F.col("node"), "left").select(
+        F.col("doc_id").alias("_row"), F.coalesce("component", "fp").alias("_component"))
+    first = named.select("_row", F.col(id_col).alias("_id")).distinct().join(of_row, "_row").groupBy("_component").agg(
+        F.min(F.struct("_id", "_row"))["_row"].alias("_row"))
+    kept = named.join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def contract(spark: SparkSession, df: DataFrame) -> DataFrame:

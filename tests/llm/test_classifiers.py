@@ -277,3 +277,26 @@ def test_lm_is_fitted_on_all_rows(spark):
     v, p = masked_lm.train(spark, docs)
     logs = lambda t: masked_lm.log_probabilities(p, v, [v.classes(t)])[0][4]
     assert logs("q qq q p pp p q qq q") > logs("q qq q p qq p q qq q") + 1
+
+
+def test_quality_stage_without_usable_labels_keeps_all(data):
+    docs, labels = data
+    for some in (labels.limit(0), labels.where("quality = 1"), labels.withColumn("doc_id", F.col("doc_id") + 10**9)):
+        assert gam.keep_good(docs, gam.train(docs, some)).count() == docs.count()
+
+
+def test_quality_sample_is_cut_after_the_join(data, monkeypatch):
+    docs, labels = data
+    some = docs.where("doc_id >= 60")
+    monkeypatch.setattr(gam, "SAMPLE_ROWS", 40)  # the first 40 ids by hash are not all among these documents
+    seen = []
+    monkeypatch.setattr(gam, "fit", lambda x, y: seen.append(len(y)))
+    gam.train(some.unionByName(some), labels)
+    assert seen == [40]
+
+
+@pytest.mark.parametrize("text", ["½ ②", "²³", "Ⅷ ৴", "12 _ 3", "٣"])
+def test_numbers_are_no_letters(spark, text):
+    df = spark.createDataFrame([(k, "the words of a language", "en") for k in range(9)] + [(9, text, None)],
+                               "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.contract(df).collect()}[9] == "und"

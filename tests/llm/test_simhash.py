@@ -94,3 +94,10 @@ def test_edges_of_the_input(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 7, 8]
     none = spark.createDataFrame([], df.schema)
     assert S.near_duplicates(spark, none).count() == 0 and S.keep_one(spark, none).count() == 0
+
+
+def test_one_id_with_several_texts_keeps_each(spark):
+    rows = [(4, "the first of two quite different texts under one id"), (4, "nothing alike stands in this other sequence of words"),
+            (4, "nothing alike stands in this other sequence of words"), (3, "the first of two quite different texts under one id")]
+    kept = S.keep_one(spark, spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted(map(tuple, kept)) == [rows[3], rows[1]]

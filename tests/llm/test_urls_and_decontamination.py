@@ -71,7 +71,7 @@ def test_overlaps_match_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(x["doc_id"], x["item_id"], x["matched"], x["at"]) for x in D.contract(spark, df, bench).collect()}
     assert got == brute(docs, items)
-    kept = D.drop_contaminated(spark, df, bench)
+    kept = D.drop_contaminated(spark, df, bench, least_words=1)
     hit = {g[0] for g in got}
     assert kept.columns == df.columns
     assert Counter(x["doc_id"] for x in kept.collect()) == Counter(d for d, _ in docs if d not in hit)
@@ -93,6 +93,15 @@ def test_shuffled_seeds(spark, monkeypatch):
     assert [x["doc_id"] for x in D.contract(spark, df, bench).collect()] == [1]
 
 
+def test_items_without_ids_with_repeated_ids_and_of_few_words(spark):
+    a, b = "one two three four five six seven", "red green blue black white brown pink"
+    df = spark.createDataFrame([(1, a), (2, b), (3, "the end"), (4, "something else")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, a), (8, b), (8, "not in any text at all here"), (8, b), (9, "the")], "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"] or -1, x["matched"]) for x in D.contract(spark, df, bench).collect())
+    assert got == [(1, -1, 7), (2, 8, 7), (3, 9, 1)]
+    assert sorted(x["doc_id"] for x in D.drop_contaminated(spark, df, bench).collect()) == [3, 4]
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o")], "doc_id long, text string")
