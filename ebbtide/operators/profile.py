@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, StructField, StructType
@@ -171,6 +173,42 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.a", "e.b", "e.corr")
 
 
+def correlation_from_products(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(a, b, corr): pairwise-complete Pearson matrix of any number of columns, both triangles.
+
+    With X the values (0 where missing) and M the presence of each cell, the sums of a pair over the
+    rows where both are present are cells of M'M, X'M, (X X)'M and X'X.  Each task multiplies its Arrow
+    batches and returns those cells; one small grouped sum adds them.  Columns are centred and scaled
+    first, so that no cancellation is worse than for standard scores."""
+    cols = list(cols)
+    d = len(cols)
+    known = [F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in cols]
+    row = df.agg(*[F.avg(v).alias(f"m{k}") for k, v in enumerate(known)],
+                 *[F.stddev_pop(v).alias(f"s{k}") for k, v in enumerate(known)]).first()  # two numbers a column
+    scaled = [((v - F.lit(row[f"m{k}"] or 0.0)) / F.lit(row[f"s{k}"] or 1.0)).alias(f"x{k}") for k, v in enumerate(known)]
+    i, j = (v.ravel() for v in np.indices((d, d)))
+
+    def products(batches):
+        sums = np.zeros((4, d, d))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            m = ~np.isnan(x)
+            x, m = np.where(m, x, 0.0), m.astype(float)
+            sums += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), **{
+            name: s.ravel() for name, s in zip(("n", "sx", "sxx", "sxy"), sums, strict=True)}})
+
+    parts = df.select(*scaled).mapInPandas(products, "i int, j int, n double, sx double, sxx double, sxy double")
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
+    other = total.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
+    spread = (F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n"))
+    corr = F.when(F.col("i") == F.col("j"), F.when(F.col("sxx") > 0, 1.0)).otherwise(
+        F.when((F.col("n") > 1) & (spread > 1e-18), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(spread)))
+    names = F.array(*[F.lit(c) for c in cols])
+    return total.join(other, ["i", "j"]).select(
+        F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), corr.alias("corr"))
+
+
 def variance_topk(df: DataFrame, cols: Sequence[str], k: int = 20) -> DataFrame:
     """Columns with the largest sample variance (ddof=1): one-row agg, unpivot, top-k."""
     wide = df.agg(*[F.var_samp(F.col(c)).alias(c) for c in cols])

@@ -230,6 +230,35 @@ def agg_correlation_matrix(spark, sf_dir):
     return round_doubles(prof.correlation_matrix(cust_clean(spark, sf_dir), KEY_PRESENT))
 
 
+CORR_LONG_SQL = """
+numbered AS (SELECT *, row_number() OVER () AS rid FROM cust_clean),
+long AS (SELECT rid, unnest([{names}]) AS feature, unnest([{values}]) AS v FROM numbered),
+top AS (SELECT feature FROM long GROUP BY feature HAVING var_samp(v) IS NOT NULL ORDER BY var_samp(v) DESC, feature LIMIT {limit})
+SELECT a.feature AS a, b.feature AS b, round(CASE WHEN a.feature = b.feature THEN 1 ELSE corr(a.v, b.v) END, 6) AS corr
+FROM long a JOIN long b ON a.rid = b.rid AND a.v IS NOT NULL AND b.v IS NOT NULL
+WHERE a.feature IN (FROM top) AND b.feature IN (FROM top) GROUP BY a.feature, b.feature
+""".replace("{names}", ", ".join(f"'{c}'" for c in NUMERIC_FEATURES)).replace(
+    "{values}", ", ".join(f'CAST("{c}" AS DOUBLE)' for c in NUMERIC_FEATURES))
+
+
+def _corr_long(limit):
+    return with_views("WITH " + CORR_LONG_SQL.replace("{limit}", str(limit)).lstrip(), "cust_clean")
+
+
+@register("agg_correlation_all", _corr_long(len(NUMERIC_FEATURES)))
+def agg_correlation_all(spark, sf_dir):
+    """Pairwise-complete Pearson matrix of every numeric column, by products of values and presence."""
+    return round_doubles(prof.correlation_from_products(cust_clean(spark, sf_dir), NUMERIC_FEATURES))
+
+
+@register("agg_correlation_top_variance", _corr_long(20))
+def agg_correlation_top_variance(spark, sf_dir):
+    """The dashboard's heat map: correlations of the 20 numeric columns of largest variance."""
+    d = cust_clean(spark, sf_dir)
+    top = [r["feature"] for r in prof.variance_topk(d, NUMERIC_FEATURES, 20).collect()]  # 20 names
+    return round_doubles(prof.correlation_from_products(d, top))
+
+
 # ---- T3 top variance ------------------------------------------------------------
 
 @register(

@@ -16,10 +16,13 @@ from ebbtide.plans.fixtures import NUMERIC_FEATURES, cust_dirty, cust_feat, cust
 from ebbtide.plans.registry import register
 from ebbtide.session import scratch_path
 from ebbtide.sources.io import (
+    map_document,
     metrics_document,
     read_csv,
+    read_json_document,
     read_metrics_document,
     read_parquet,
+    records_document,
     scrub_null_tokens,
     write_csv,
     write_parquet,
@@ -122,12 +125,43 @@ def src_json_metrics(spark, sf_dir):
     return round_doubles(read_metrics_document(spark, path))
 
 
-@register("sink_json_metrics")
+@register("sink_json_metrics", with_views(METRICS_SQL, "scored"))
 def sink_json_metrics(spark, sf_dir):
-    """The written JSON document itself (one text row)."""
+    """The document ``{metric: {model: value}}`` as it was written, read by the reader of all shapes."""
     path = _fresh(spark, "metrics-doc")
-    write_text_document(metrics_document(round_doubles(_model_metrics(spark, sf_dir))), path)
-    return spark.read.text(path)
+    write_text_document(metrics_document(_model_metrics(spark, sf_dir)), path)
+    return round_doubles(read_json_document(spark, path).select(
+        F.col("outer").alias("metric"), F.col("inner").alias("model"), F.col("value").cast("double").alias("value")))
+
+
+@register("sink_json_records", with_views(
+    """
+SELECT CAST(row_number() OVER (ORDER BY model) - 1 AS VARCHAR) AS record, model,
+  round(avg((p - churn) * (p - churn)), 6) AS brier FROM scored GROUP BY model
+""",
+    "scored",
+))
+def sink_json_records(spark, sf_dir):
+    """A model table written as an array of records (the tuning summary's shape) and read back."""
+    path = _fresh(spark, "records-doc")
+    wide = scored(spark, sf_dir).groupBy("model").agg(F.avg(F.pow(F.col("p") - F.col("churn"), 2)).alias("brier"))
+    write_text_document(records_document(wide.select("model", "brier")), path)
+    cells = read_json_document(spark, path)
+    return round_doubles(cells.groupBy(F.col("outer").alias("record")).agg(
+        F.max(F.when(F.col("inner") == "model", F.col("value"))).alias("model"),
+        F.max(F.when(F.col("inner") == "brier", F.col("value").cast("double"))).alias("brier")))
+
+
+@register("sink_json_config", with_views(
+    "SELECT 'SCALE_POS_WEIGHT' AS key, round((1 - avg(churn)) / avg(churn), 6) AS value FROM cust_feat", "cust_feat"))
+def sink_json_config(spark, sf_dir):
+    """The class weight written as ``{key: value}`` (the configuration's shape) and read back."""
+    path = _fresh(spark, "config-doc")
+    m = F.avg("churn")
+    weight = cust_feat(spark, sf_dir).agg(((1 - m) / m).alias("value")).select(F.lit("SCALE_POS_WEIGHT").alias("key"), "value")
+    write_text_document(map_document(weight), path)
+    return round_doubles(read_json_document(spark, path).where(F.col("outer").isNull()).select(
+        F.col("inner").alias("key"), F.col("value").cast("double").alias("value")))
 
 
 # ---- P1 drop the low-signal column set -----------------------------------------
@@ -245,6 +279,9 @@ SELECT 'cust_feat' AS table_name, count(*) AS row_count,
 FROM cust_feat
 UNION ALL
 SELECT 'cust_dirty', count(*), CAST(sum({dirty_nulls}) AS BIGINT) FROM cust_dirty
+UNION ALL
+SELECT 'processed_' || split, count(*), CAST(0 AS BIGINT)
+FROM cust_dirty d JOIN (SELECT cust_id, split FROM cust_split) s ON d.cust_id = s.cust_id GROUP BY split
 """.replace(
             "{feat_nulls}", " + ".join(f'CAST("{c}" IS NULL AS BIGINT)' for c in NUMERIC_FEATURES)
         ).replace(
@@ -253,13 +290,18 @@ SELECT 'cust_dirty', count(*), CAST(sum({dirty_nulls}) AS BIGINT) FROM cust_dirt
                 f'CAST("{c}" IS NULL AS BIGINT)' for c in (*NUMERIC_FEATURES, "prizm_social_one", "crclscod", "rev_text")
             ),
         ),
-        "cust_dirty",
+        "cust_dirty", "cust_split",
     ),
 )
 def check_no_nulls(spark, sf_dir):
-    """One-row null count per table (the no-null post-condition of preprocessing)."""
+    """Null cells per table: the raw views, and both splits that preprocessing wrote, which
+    must have none in any column (its job fails at the first row that has one)."""
+    from ebbtide.operators.preprocess import ID_COLS
+    from ebbtide.plans.q_models import processed
+
     feat = cust_feat(spark, sf_dir)
     dirty = cust_dirty(spark, sf_dir)
+    done = processed(spark, sf_dir)
     a = feat.agg(F.count(F.lit(1)).alias("row_count"), F.sum(_null_cells_expr(NUMERIC_FEATURES)).alias("null_cells"))
     b = dirty.agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -267,6 +309,10 @@ def check_no_nulls(spark, sf_dir):
     )
     return a.select(F.lit("cust_feat").alias("table_name"), "*").unionByName(
         b.select(F.lit("cust_dirty").alias("table_name"), "*")
+    ).unionByName(
+        done.groupBy(F.concat(F.lit("processed_"), "split").alias("table_name")).agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.sum(_null_cells_expr([c for c in done.columns if c not in ID_COLS])).alias("null_cells"))
     )
 
 

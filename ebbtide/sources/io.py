@@ -102,14 +102,30 @@ def read_metrics_document(spark: SparkSession, path: str, outer: str = "metric",
     return parsed.select(outer, F.explode("m").alias(inner, "value"))
 
 
-def read_records_json(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """Record-oriented JSON (one object per line)."""
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
-
-
-METRIC_RECORD_SCHEMA = StructType(
-    [StructField("model", StringType()), StructField("metric", StringType()), StructField("value", DoubleType())]
-)
+def records_document(table: DataFrame) -> DataFrame:
+    """A small table -> one row holding ``[{column: value}, ...]`` as JSON, rows in the order of all columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in table.columns])
+    return table.agg(F.to_json(F.array_sort(F.collect_list(row)), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def map_document(table: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """A small (key, value) table -> one row holding ``{key: value}`` as JSON."""
+    return table.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("json"))
+
+
+def read_json_document(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON document of any of the three shapes -> long (outer, inner, value as text).
+
+    ``{a: {b: v}}`` gives (a, b, v); ``[{b: v}, ...]`` gives (number of the record from 0, b, v);
+    ``{b: v}`` gives (null, b, v).  Values that are null stay rows with a null value."""
+    top = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
+    first = top.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select(
+        "pos", "key", F.col("value").alias("v"))
+    inner = first.select(F.col("pos").alias("p"), F.col("key").alias("k"), "v")
+    deep = inner.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer())).select(
+        "p", "k", "v", F.col("key").alias("k2"), F.col("value").alias("v2"))
+    is_deep = F.col("k2").isNotNull()
+    outer = F.when(is_deep, F.coalesce(F.col("k"), F.col("p").cast("string")))
+    return deep.select(
+        outer.alias("outer"), F.when(is_deep, F.col("k2")).otherwise(F.col("k")).alias("inner"),
+        F.when(is_deep, F.col("v2").cast("string")).otherwise(F.col("v").cast("string")).alias("value"))
