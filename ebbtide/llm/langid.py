@@ -39,9 +39,7 @@ LETTERS = 1021
 SHARPNESS = 30.0
 #: Texts bundled by one matrix product, and n-grams looked up at once.
 BLOCK_TEXTS, BLOCK_GRAMS = 256, 4096
-#: Characters that are no letters: beside \W, digits and the underscore, numbers such as fractions and circled ones.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(f"[\\W\\d_{_NUMBERS}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SLICE = 1 << 20
 
 
@@ -49,13 +47,21 @@ def _letter_vectors() -> np.ndarray:
     return np.random.default_rng(8).integers(0, 2, (LETTERS, DIMENSIONS), dtype=np.int8) * 2 - 1
 
 
+def letters_only(text: str) -> str:
+    """The text with one blank for each run of what are no letters."""
+    words = _NOT_LETTERS.sub(" ", text).strip()
+    if words and not words.replace(" ", "").isalpha():  # numbers that are no digits: fractions, circled ones
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
+    return words
+
+
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct letter trigrams (packed) of a whole text and their counts; words are edged by one blank."""
     keys, counts = [], []
     text = text or ""
     for at in range(0, len(text), _SLICE):  # slices share two characters
         part = text[max(at - 2, 0):at + _SLICE].lower()
-        codes = np.frombuffer(f" {_NOT_LETTERS.sub(' ', part).strip()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.frombuffer(f" {letters_only(part)} ".encode("utf-32-le", "surrogatepass"), "<u4")
         codes = (codes % LETTERS).astype(np.int64)
         if len(codes) < N:
             continue
