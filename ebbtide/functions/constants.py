@@ -60,11 +60,6 @@ EXPLORER_FEATURES = (
     "rev_Mean", "mou_Mean", "months", "eqpdays", "change_mou",
     "change_rev", "custcare_Mean", "ovrmou_Mean", "roam_Mean", "actvsubs",
 )
-DASHBOARD_CATEGORICALS = (
-    "crclscod", "asl_flag", "prizm_social_one", "area", "dualband",
-    "refurb_new", "hnd_webcap", "ownrent", "dwlltype", "marital", "infobase",
-    "HHstatin", "ethnic", "creditcd", "kid0_2",
-)
 
 # risk tiers on the positive-class probability
 RISK_HIGH = 0.70
@@ -80,8 +75,7 @@ DECLINE_CUTOFF = -5
 # composite model score
 COMPOSITE_WEIGHTS = {"roc_auc": 0.35, "pr_auc": 0.25, "f1": 0.20, "recall": 0.15, "brier": 0.05}
 
-# smoothing of the target encoder, folds of the encoder
+# smoothing of the target encoder
 TARGET_SMOOTHING = 20
-TARGET_FOLDS = 5
 
 # --- FIXED VALUES (end) ------------------------------------------------------

@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.constants import COMPOSITE_WEIGHTS
 from ebbtide.functions.scalar import safe_div
+from ebbtide.operators.scan import prefix_sums
 
 # numpy.linspace(0.01, 0.99, 100) and the calibration edges linspace(0, 1, 11)
 SWEEP_GRID = [float(x) for x in np.linspace(0.01, 0.99, 100)]
 CALIBRATION_EDGES = [float(x) for x in np.linspace(0.0, 1.0, 11)[1:-1]]
 SLIDER_GRID = [float(f"{k / 100:.2f}") for k in range(1, 100)]
 
-PREFIX_BUCKETS = 1024
-
 
 def score_histogram(scores: DataFrame, by: Sequence[str] = ("model",), p: str = "p", label: str = "churn") -> DataFrame:
     """(by..., p, pos, neg): one row per distinct score."""
@@ -42,36 +41,10 @@ def score_histogram(scores: DataFrame, by: Sequence[str] = ("model",), p: str =
 
 
 def cumulative_confusion(hist: DataFrame, by: Sequence[str] = ("model",), p: str = "p") -> DataFrame:
-    """Adds tp, fp = positives / negatives with score >= p (inclusive), and P, N totals.
-
-    Two-level prefix sum in descending score order (see module doc)."""
+    """Adds tp, fp = positives / negatives with score >= p (inclusive), and n_pos, n_neg totals (see ``scan``)."""
     by = list(by)
-    probs = [i / PREFIX_BUCKETS for i in range(1, PREFIX_BUCKETS)]
-    cuts = sorted(set(hist.approxQuantile(p, probs, 0.001)))  # [] for an empty histogram
-    splits = [float("-inf"), *cuts, float("inf")]
-    b = Bucketizer(splits=splits, inputCol=p, outputCol="_b", handleInvalid="keep").transform(
-        hist.withColumn(p, F.col(p).cast("double"))
-    )
-    tot = b.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    higher = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    offs = tot.select(
-        *by, "_b",
-        F.coalesce(F.sum("_bp").over(higher), F.lit(0)).alias("_op"),
-        F.coalesce(F.sum("_bn").over(higher), F.lit(0)).alias("_on"),
-        F.sum("_bp").over(whole).alias("n_pos"),
-        F.sum("_bn").over(whole).alias("n_neg"),
-    )
-    # offsets: at most (#groups x PREFIX_BUCKETS) rows -> bounded broadcast
-    j = b.join(F.broadcast(offs), [*by, "_b"])
-    inside = Window.partitionBy(*by, "_b").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(
-        *by, p, "pos", "neg",
-        (F.sum("pos").over(inside) + F.col("_op")).cast("long").alias("tp"),
-        (F.sum("neg").over(inside) + F.col("_on")).cast("long").alias("fp"),
-        F.col("n_pos").cast("long").alias("n_pos"),
-        F.col("n_neg").cast("long").alias("n_neg"),
-    )
+    rows = hist.select(*by, F.col(p).cast("double").alias(p), "pos", "neg")
+    return prefix_sums(rows, by, F.col(p).desc(), {"tp": "pos", "fp": "neg"}, {"n_pos": "pos", "n_neg": "neg"})
 
 
 def roc_auc(cum: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.operators.scan import prefix_sums
+
 BUCKET_DIGITS = 4  # 65,536 buckets per class
 
 
@@ -102,43 +104,14 @@ def kfold(df: DataFrame, key: str, label: str, n_folds: int, seed: int = 43) ->
     return r.withColumn("fold", F.pmod(F.col("_rn_fold") - 1, F.lit(n_folds)).cast("int")).drop("_rn_fold")
 
 
-def key_rank(df: DataFrame, key: str, rank_col: str = "rn", n_buckets: int = 1024) -> DataFrame:
-    """1-based rank of a numeric ``key`` over the whole table, without a
-    single-partition window: range buckets from approximate quantiles (a
-    driver-side list of ``n_buckets`` numbers), exact ranks inside buckets."""
-    from pyspark.ml.feature import Bucketizer
-
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(set(df.select(F.col(key).cast("double").alias("_k")).approxQuantile("_k", probs, 0.001)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    keyed = df.withColumn("_kd", F.col(key).cast("double"))
-    bucketed = Bucketizer(splits=splits, inputCol="_kd", outputCol="_kb", handleInvalid="keep").transform(keyed)
-    out = ranked(bucketed, [], F.col(key), key, rank_col, bucket=F.col("_kb"))
-    return out.drop("_kd", "_kb")
+def key_rank(df: DataFrame, key: str, rank_col: str = "rn") -> DataFrame:
+    """1-based rank of a distinct ``key`` over the whole table, without a single-partition window."""
+    ones = df.withColumn("_one", F.lit(1))
+    return prefix_sums(ones, [], F.col(key), {rank_col: "_one"}).drop("_one")
 
 
 def dense_rank_values(df: DataFrame, group: str, value: str, rank_col: str = "rank") -> DataFrame:
     """Distinct (group, value) pairs with the 1-based rank of ``value`` in sorted
-    order within ``group`` -- exact, without putting a group in one task.
-
-    The distinct pairs are range-partitioned on (group, value) and written to
-    the checkpoint folder, which pins each row's partition id; per-partition
-    counts (#partitions x #groups rows, a bounded table) give offsets, and rows
-    are ranked inside their partition."""
-    from ebbtide.session import checkpoint_dir
-
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    d = df.select(group, value).distinct()
-    r = (
-        d.repartitionByRange(parts, F.col(group), F.col(value))
-        .withColumn("_pid", F.spark_partition_id())
-        .checkpoint(eager=True)
-    )
-    counts = r.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_pid", group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    j = r.join(F.broadcast(offs), ["_pid", group])
-    local = Window.partitionBy("_pid", group).orderBy(value)
-    return j.select(group, value, (F.row_number().over(local) + F.col("_off")).alias(rank_col))
+    order within ``group``, exact, without putting a group in one task."""
+    ones = df.select(group, value).distinct().withColumn("_one", F.lit(1))
+    return prefix_sums(ones, [group], F.col(value), {rank_col: "_one"}).drop("_one")
