@@ -41,18 +41,25 @@ from ebbtide.plans.registry import register
 from ebbtide.session import scratch_path
 
 
+def with_row_id(df: DataFrame) -> DataFrame:
+    """Duplicated raw rows stay rows of their own: the copies of a customer are numbered."""
+    copy = F.row_number().over(Window.partitionBy("cust_id").orderBy("cust_id"))
+    return df.withColumn("row_id", F.concat_ws("-", F.col("cust_id").cast("string"), copy.cast("string")))
+
+
+def _train_folds(spark, sf_dir) -> DataFrame:
+    d = dirty_split(spark, sf_dir)
+    return d.withColumn("fold", F.when(F.col("split") == "train", F.col("fold")))
+
+
 def processed(spark, sf_dir) -> DataFrame:
     """Preprocessed feature matrix of every row (pipeline fitted on train rows);
     written once as a stage table."""
 
     def build():
-        d = dirty_split(spark, sf_dir)
-        d = d.withColumn("fold", F.when(F.col("split") == "train", F.col("fold")))
+        d = _train_folds(spark, sf_dir)
         model = build_preprocessing_pipeline().fit(d.where(F.col("split") == "train"))
-        # duplicated raw rows stay rows of their own: copies of a customer are numbered
-        copy = F.row_number().over(Window.partitionBy("cust_id").orderBy("cust_id"))
-        return no_nulls(model.transform(d)).withColumn(
-            "row_id", F.concat_ws("-", F.col("cust_id").cast("string"), copy.cast("string")))
+        return with_row_id(no_nulls(model.transform(d)))
 
     return materialized(spark, sf_dir, "processed", build)
 
@@ -128,26 +135,25 @@ def model_batch_score(spark, sf_dir):
 @register("sink_model_roundtrip")
 def sink_model_roundtrip(spark, sf_dir):
     """Fitted preprocessing + classifier saved with ML persistence, loaded back and
-    applied to the test rows; returns scores before and after the round trip."""
-    d = dirty_split(spark, sf_dir)
-    d = d.withColumn("fold", F.when(F.col("split") == "train", F.col("fold")))
+    applied to the test rows; returns each row's scores before and after the round trip."""
+    d = _train_folds(spark, sf_dir)
     train = d.where(F.col("split") == "train")
     prep = build_preprocessing_pipeline().fit(train)
     mat = prep.transform(train)
     cols = feature_columns(mat, ID_COLS)
     clf = Pipeline(stages=[
         VectorAssembler(inputCols=cols, outputCol=FEATURES, handleInvalid="keep"),
-        LogisticRegression(featuresCol=FEATURES, labelCol="label", regParam=0.1, maxIter=200),
+        LogisticRegression(featuresCol=FEATURES, labelCol="label", regParam=1 / (LOGISTIC_C * mat.count()), maxIter=200),
     ]).fit(mat.withColumn("label", F.col("churn").cast("double")))
     base = scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}")
     prep.write().overwrite().save(f"{base}/preprocessor")
     clf.write().overwrite().save(f"{base}/classifier")
     prep2 = PipelineModel.load(f"{base}/preprocessor")
     clf2 = PipelineModel.load(f"{base}/classifier")
-    te = d.where(F.col("split") == "test")
-    before = positive_probability(clf.transform(prep.transform(te))).select("cust_id", F.col("p").alias("p_before"))
-    after = positive_probability(clf2.transform(prep2.transform(te))).select("cust_id", F.col("p").alias("p_after"))
-    return round_doubles(before.join(after, "cust_id").dropDuplicates(["cust_id"]))
+    te = with_row_id(d.where(F.col("split") == "test"))
+    before = positive_probability(clf.transform(prep.transform(te))).select("row_id", "cust_id", F.col("p").alias("p_before"))
+    after = positive_probability(clf2.transform(prep2.transform(te))).select("row_id", F.col("p").alias("p_after"))
+    return round_doubles(before.join(after, "row_id"))
 
 
 def _cv_scores(spark, sf_dir, parallelism=8):

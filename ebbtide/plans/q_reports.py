@@ -76,7 +76,8 @@ def agg_kpi_strip(spark, sf_dir):
 SUMMARY_STATS = ("total_records", "churned", "not_churned", "train_size", "test_size", "input_features",
                  "optimal_threshold", "roc_auc", "pr_auc", "f1", "recall", "precision")
 
-N_INPUT_FEATURES = 43  # cust_feat columns minus key and label (checked in tests)
+#: Width of the model matrix: 43 inputs and the text column, one column each after encoding, and 24 engineered ones.
+N_MODEL_FEATURES = 68
 
 
 @register("agg_dataset_summary", sql(
@@ -86,7 +87,7 @@ SELECT statistic, round(value, 6) AS value, best_model FROM (
     (SELECT model FROM tm ORDER BY {COMPOSITE_SQL} DESC, model LIMIT 1) b,
     (SELECT count(*) AS total_records, sum(churn) AS churned, count(*) - sum(churn) AS not_churned,
        sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS train_size,
-       sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS test_size, {N_INPUT_FEATURES} AS input_features
+       sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS test_size, {N_MODEL_FEATURES} AS input_features
      FROM cust_split) c,
     LATERAL (SELECT * FROM tm WHERE tm.model = b.model) m,
     LATERAL (VALUES ('total_records', c.total_records::DOUBLE), ('churned', c.churned::DOUBLE),
@@ -98,7 +99,11 @@ SELECT statistic, round(value, 6) AS value, best_model FROM (
 """,
     TEST_METRICS))
 def agg_dataset_summary(spark, sf_dir):
-    """Statistic/value table: sizes, split, feature count, best model and its metrics."""
+    """Statistic/value table: sizes, split, width of the model matrix, best model and its metrics."""
+    from ebbtide.operators.models import feature_columns
+    from ebbtide.operators.preprocess import ID_COLS
+    from ebbtide.plans.q_models import processed
+
     s = cust_split(spark, sf_dir)
     sizes = s.agg(
         F.count(F.lit(1)).cast("double").alias("total_records"),
@@ -106,7 +111,7 @@ def agg_dataset_summary(spark, sf_dir):
         (F.count(F.lit(1)) - F.sum("churn")).cast("double").alias("not_churned"),
         F.sum((F.col("split") == "train").cast("int")).cast("double").alias("train_size"),
         F.sum((F.col("split") == "test").cast("int")).cast("double").alias("test_size"),
-        F.lit(float(len(cust_feat(spark, sf_dir).columns) - 2)).alias("input_features"),
+        F.lit(float(len(feature_columns(processed(spark, sf_dir), ID_COLS)))).alias("input_features"),
         F.lit(1).alias("_k"),
     )
     tm = test_metrics(spark, sf_dir)
@@ -163,17 +168,22 @@ def page_customer_explorer(spark, sf_dir):
     return page(_explorer(spark, sf_dir), [F.col("churn_prob").desc(), F.col("cust_id")], page_no=1)
 
 
-@register("sink_csv_export")
+@register("sink_csv_export", sql(
+    "SELECT *, count(*) OVER () AS shown, (SELECT count(*) FROM ex) AS total, "
+    "'Showing ' || format('{:,}', count(*) OVER ()) || ' of ' || format('{:,}', (SELECT count(*) FROM ex)) "
+    "|| ' customers.' AS count_text FROM ex WHERE risk_level = 'High Risk'",
+    f"{TEST_METRICS}, {EXPLORER_SQL_CTE}"))
 def sink_csv_export(spark, sf_dir):
-    """The filtered explorer view exported as CSV (header), read back."""
+    """The filtered explorer view exported as CSV (header), read back with the view's types."""
     import uuid
 
     from ebbtide.session import scratch_path
     from ebbtide.sources.io import write_csv
 
     path = scratch_path(spark, f"export-{uuid.uuid4().hex[:12]}")
-    write_csv(filter_explorer(_explorer(spark, sf_dir), risk="High Risk"), path)
-    return spark.read.option("header", True).csv(path)
+    view = filter_explorer(_explorer(spark, sf_dir), risk="High Risk")
+    write_csv(view, path)
+    return spark.read.schema(view.schema).option("header", True).csv(path)
 
 
 # ---- A15 CV summary (3 folds over train rows), R1 pivot -----------------------------
