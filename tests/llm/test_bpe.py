@@ -55,12 +55,29 @@ def test_long_text_in_runs(encoding, monkeypatch):
     assert len(parts) > 3 and "".join(p for run in parts for p in run) == text
 
 
-def test_plain_pattern_splits_ascii_alike():
+@pytest.mark.parametrize("letters", ["a", "ab", "acgt", "abcdefghijklmnopqrstuvwxyz", "日本語のテキスト", "\U0001F642é"])
+def test_long_pieces_from_a_heap(encoding, letters):
+    r, ranks = random.Random(len(letters)), bpe.ranks(P.path(bpe.VOCABULARY))
+    for n in (1, 2, 3, 7, 40, 300, 3_000):
+        piece = "".join(r.choice(letters) for _ in range(n)).encode()
+        assert bpe.merged(piece, ranks) == encoding._core_bpe.encode_single_piece(piece), n
+
+
+def test_very_long_pieces_end(spark, encoding):
+    r = random.Random(3)
+    base = "".join(r.choice("ACGT") for _ in range(1_000_000))
+    rows = [(1, base), (2, "x" * 700 + " " + base[:5_000] + " tail " + base[:5_000]), (3, "=" * 3_000 + " " * 3_000 + "z"),
+            (4, base[:bpe.LONG_PIECE]), (5, base[:bpe.LONG_PIECE + 1]), (6, "é" * 200)]
+    for row in bpe.encode(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert row["ids"] == encoding.encode_ordinary(row["text"])
+
+
+def test_plain_pattern_splits_latin_alike():
     r = random.Random(1)
     split = bpe.Splitter(P.PATTERN)
     assert split.plain is not split.whole
     for _ in range(3000):
-        text = "".join(chr(r.choice([r.randrange(128), 32, 39, 115, 10])) for _ in range(r.randint(0, 30)))
+        text = "".join(chr(r.choice([r.randrange(128), r.randrange(256), 32, 39, 115, 10])) for _ in range(r.randint(0, 30)))
         assert split.plain.findall(text) == split.whole.findall(text), text
 
 
