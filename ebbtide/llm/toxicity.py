@@ -13,8 +13,9 @@ that the labels show.
 
 Spark side.  The network is fitted on a bounded sample of labelled rows
 (``SAMPLE_ROWS`` a class, the smallest by a hash of the id among the documents
-with a letter, texts of any length, whose windows are trained block by block);
-its arrays (about 1 MB) are broadcast.  Scoring is one
+with a letter, texts of any length, whose windows are trained block by block) by
+one task of the cluster, not by the driver, which receives its arrays (about 1 MB)
+and broadcasts them.  Scoring is one
 pass over whole texts in Arrow batches, without a shuffle: word inputs are
 projected once for each distinct word of a batch, windows of many texts go
 through the network together in blocks of fixed size, and a long text is cut
@@ -397,10 +398,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = present.where("_label = 0").orderBy(*order).limit(SAMPLE_ROWS).unionByName(
         present.where("_label = 1").orderBy(*order).limit(SAMPLE_ROWS))
     texts = texts.join(F.broadcast(sample), "_id")  # at most 2 * SAMPLE_ROWS ids
-    got = []
-    for label in (0, 1):
-        got += texts.where(F.col("_label") == label).orderBy(*order, "_text").limit(SAMPLE_ROWS).collect()
-    return fit([r["_text"] for r in got], np.array([r["_label"] for r in got], float), float(share))
+    texts = texts.where("_label = 0").orderBy(*order, "_text").limit(SAMPLE_ROWS).unionByName(
+        texts.where("_label = 1").orderBy(*order, "_text").limit(SAMPLE_ROWS))
+    prior = float(share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampled = [row for b in batches for row in b.to_pylist()]  # 2 * SAMPLE_ROWS texts at most
+        if sampled:
+            fitted = fit([r["_text"] for r in sampled], np.array([r["_label"] for r in sampled], float), prior)
+            if fitted is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(fitted)), pa.array([str(x.dtype) for x in fitted.values()]),
+                     pa.array([list(x.shape) for x in fitted.values()], pa.list_(pa.int32())),
+                     pa.array([x.tobytes() for x in fitted.values()], pa.binary())], ["name", "kind", "shape", "cells"])
+
+    got = (
+        texts.select("_label", F.xxhash64("_id").alias("_at"), "_id", "_text").repartition(1)
+        .sortWithinPartitions("_label", "_at", "_id", "_text").select("_label", "_text")
+        .mapInArrow(run, "name string, kind string, shape array<int>, cells binary").collect()  # the arrays, about 1 MB
+    )
+    return {r["name"]: np.frombuffer(bytes(r["cells"]), r["kind"]).reshape(r["shape"]).copy() for r in got} or None
 
 
 def _scored(docs: DataFrame, params: Params | None, text_at: int, emit, schema) -> DataFrame:
