@@ -194,9 +194,8 @@ class _Steps:
     def __init__(self, shift: Column, places: Column):
         self.shift, self.places = shift, places
 
-    def _rank(self, left: Column, right: Column) -> Column:
-        """Rank of a pair of ids, ``NO_RANK`` if they make no token."""
-        pair = left * 65536 + right
+    def _rank(self, pair: Column) -> Column:
+        """Rank of a pair of ids, ``NO_RANK`` if they make no token or there is no pair."""
         h = F.xxhash64(pair)
         at = F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(PLACES - 1)).cast("int").bitwiseXOR(
             F.get(self.shift, h.bitwiseAND(F.lit(SHIFTS - 1)).cast("int")))
@@ -214,12 +213,13 @@ class _Steps:
 
         def joined(low: Column, rank: Column, at: Column) -> Column:  # the pair's place, counted from 1
             before, after = F.get(parts, at - 2), F.get(parts, at + 1)
-            merged = F.shiftleft(F.coalesce(self._rank(rank, _id(after)), F.lit(NO_RANK)), 40) + low.bitwiseAND(
-                F.lit(0xFFFFFF0000)) + rank
-            left = F.shiftleft(self._rank(_id(before), rank), 40) + before.bitwiseAND(F.lit((1 << 40) - 1))
+            # the part before, which now begins another pair, and the merged part (lambdas bind each pair once)
+            two = F.transform(F.array(_id(before) * 65536 + rank, rank * 65536 + _id(after)), lambda pair, i: F.shiftleft(
+                self._rank(pair), 40) + F.when(i == 0, before.bitwiseAND(F.lit((1 << 40) - 1))).otherwise(
+                    low.bitwiseAND(F.lit(0xFFFFFF0000)) + rank))
             return F.concat(
                 F.slice(parts, 1, F.greatest(at - 2, F.lit(0))),
-                F.when(at > 1, F.array(left, merged)).otherwise(F.array(merged)),
+                F.when(at > 1, two).otherwise(F.slice(two, 2, 1)),
                 F.slice(parts, at + 2, F.size(parts)),
             )
 
@@ -392,9 +392,12 @@ def _assembled(spark: SparkSession, docs: DataFrame, text_col: str, keep: list[s
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
                 made: dict[str, list] = {}
-                for code, words in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist(),
-                                       strict=True):
-                    for k, v in emit(_in_order(np.frombuffer(code, "<u4"), words)).items():
+                rare = part.column(len(keep) + 1)
+                ends, flat = rare.offsets.to_numpy(), rare.values.flatten().to_numpy(zero_copy_only=False)
+                inner = rare.values.offsets.to_numpy() - rare.values.offsets[0].as_py()
+                for code, first, stop in zip(part.column(len(keep)), ends[:-1], ends[1:], strict=True):
+                    code = np.frombuffer(code.as_py(), "<u4")
+                    for k, v in emit(_in_order(code, flat, inner[first:stop + 1])).items():
                         made.setdefault(k, []).append(v)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:len(keep)],
@@ -417,22 +420,23 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
-def _in_order(codes: np.ndarray, words: list[list[int]]) -> np.ndarray:
-    """The ids of a text: its own words' ids in the places that stand for them."""
-    if not words:
-        return codes.astype(np.int64)
-    own = codes >= (1 << 32) - len(words)
-    number = ((1 << 32) - 1 - codes.astype(np.int64))[own]
+def _in_order(codes: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The ids of a text: its own words' ids, of which word k's lie in ``flat`` from ``ends[k]``, in the places that
+    stand for them."""
+    out = codes.astype(np.int64)
+    words = len(ends) - 1
+    if words < 1:
+        return out
+    own = codes >= (1 << 32) - words
+    number = (1 << 32) - 1 - out[own]
+    lens = np.diff(ends).astype(np.int64)
+    mine = lens[number]
     sizes = np.ones(len(codes), np.int64)
-    lens = np.array([len(w) for w in words], np.int64)
-    sizes[own] = lens[number]
-    out = np.repeat(codes.astype(np.int64), sizes)
-    starts = np.cumsum(lens) - lens
-    flat = np.concatenate([np.asarray(w, np.int64) for w in words])
+    sizes[own] = mine
+    out = np.repeat(out, sizes)
     at = (np.cumsum(sizes) - sizes)[own]
-    total = int(lens[number].sum())
-    inside = np.arange(total) - np.repeat(np.cumsum(lens[number]) - lens[number], lens[number])
-    out[np.repeat(at, lens[number]) + inside] = flat[np.repeat(starts[number], lens[number]) + inside]
+    inside = np.arange(int(mine.sum())) - np.repeat(np.cumsum(mine) - mine, mine)
+    out[np.repeat(at, mine) + inside] = flat[np.repeat(ends[:-1][number], mine) + inside]
     return out
 
 
