@@ -137,29 +137,33 @@ def build_cust_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")
     rf = F.col("l_returnflag")
     ls = F.col("l_linestatus")
-    per_cust_lines = (
-        lineitem.join(pre_orders, lineitem.l_orderkey == pre_orders.o_orderkey)
-        .groupBy("cust_id")
-        .agg(
-            F.count(F.lit(1)).alias("lines"),
-            _count_if(rf == "N").alias("l_comp"),
-            _count_if(rf == "R").alias("l_drop"),
-            _count_if((rf == "A") & (ls == "F")).alias("l_blck"),
-            _count_if((rf == "A") & (ls == "O")).alias("l_unan"),
-            _count_if(q < 10).alias("l_short"),
-            _count_if(F.col("l_discount") >= 0.05).alias("l_dat"),
-            F.sum(F.when(rf == "N", q).otherwise(0.0)).alias("q_comp"),
-            F.sum(q).alias("q_all"),
-            F.sum(F.greatest(q - 40, F.lit(0.0))).alias("q_over"),
-            _count_if(F.col("l_tax") >= 0.06).alias("l_care"),
-            _count_if(ls == "O").alias("l_peak"),
-            _count_if(ls == "F").alias("l_offpeak"),
-            F.count_distinct("l_suppkey").alias("n_supp"),
-            F.count_distinct("l_partkey").alias("n_part"),
-            F.sum(F.when(F.col("in3"), q).otherwise(0.0)).alias("q3"),
-            F.sum(F.when(F.col("in6"), q).otherwise(0.0)).alias("q6"),
-        )
+    lines = lineitem.join(pre_orders, lineitem.l_orderkey == pre_orders.o_orderkey)
+    line_sums = lines.groupBy("cust_id").agg(
+        F.count(F.lit(1)).alias("lines"),
+        _count_if(rf == "N").alias("l_comp"),
+        _count_if(rf == "R").alias("l_drop"),
+        _count_if((rf == "A") & (ls == "F")).alias("l_blck"),
+        _count_if((rf == "A") & (ls == "O")).alias("l_unan"),
+        _count_if(q < 10).alias("l_short"),
+        _count_if(F.col("l_discount") >= 0.05).alias("l_dat"),
+        F.sum(F.when(rf == "N", q).otherwise(0.0)).alias("q_comp"),
+        F.sum(q).alias("q_all"),
+        F.sum(F.greatest(q - 40, F.lit(0.0))).alias("q_over"),
+        _count_if(F.col("l_tax") >= 0.06).alias("l_care"),
+        _count_if(ls == "O").alias("l_peak"),
+        _count_if(ls == "F").alias("l_offpeak"),
+        F.sum(F.when(F.col("in3"), q).otherwise(0.0)).alias("q3"),
+        F.sum(F.when(F.col("in6"), q).otherwise(0.0)).alias("q6"),
+    )
+    # distinct suppliers and parts in narrow rows of their own: beside the sums, every (customer, supplier) and
+    # (customer, part) would carry all the sums' buffers
+    seen = F.array(F.struct(F.lit(True).alias("supp"), F.col("l_suppkey").cast("long").alias("k")),
+                   F.struct(F.lit(False).alias("supp"), F.col("l_partkey").cast("long").alias("k")))
+    line_keys = (
+        lines.select("cust_id", F.explode(seen).alias("s")).select("cust_id", "s.supp", "s.k").where(F.col("k").isNotNull())
+        .distinct().groupBy("cust_id").agg(_count_if(F.col("supp")).alias("n_supp"), _count_if(~F.col("supp")).alias("n_part"))
     )
+    per_cust_lines = line_sums.join(line_keys, "cust_id", "left")
 
     geo = F.broadcast(
         nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
