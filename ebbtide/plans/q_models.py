@@ -48,8 +48,10 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def _train_folds(spark, sf_dir) -> DataFrame:
-    d = dirty_split(spark, sf_dir)
-    return d.withColumn("fold", F.when(F.col("split") == "train", F.col("fold")))
+    """Scrubbed rows with their split, and the fold of train rows: written once, as the fit of the preprocessing
+    pipeline reads them some ten times and would join them anew each time."""
+    return materialized(spark, sf_dir, "train-folds", lambda: dirty_split(spark, sf_dir).withColumn(
+        "fold", F.when(F.col("split") == "train", F.col("fold"))))
 
 
 def processed(spark, sf_dir) -> DataFrame:
@@ -139,13 +141,14 @@ def sink_model_roundtrip(spark, sf_dir):
     d = _train_folds(spark, sf_dir)
     train = d.where(F.col("split") == "train")
     prep = build_preprocessing_pipeline().fit(train)
-    mat = prep.transform(train)
+    base = scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}")
+    prep.transform(train).write.parquet(f"{base}/train")  # read by the count and each pass of the fit
+    mat = spark.read.parquet(f"{base}/train")
     cols = feature_columns(mat, ID_COLS)
     clf = Pipeline(stages=[
         VectorAssembler(inputCols=cols, outputCol=FEATURES, handleInvalid="keep"),
         LogisticRegression(featuresCol=FEATURES, labelCol="label", regParam=1 / (LOGISTIC_C * mat.count()), maxIter=200),
     ]).fit(mat.withColumn("label", F.col("churn").cast("double")))
-    base = scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}")
     prep.write().overwrite().save(f"{base}/preprocessor")
     clf.write().overwrite().save(f"{base}/classifier")
     prep2 = PipelineModel.load(f"{base}/preprocessor")
