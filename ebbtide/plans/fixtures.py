@@ -41,6 +41,7 @@ def _count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0))
 
 
+KEY_ROWS = 1_000_000  # (customer, key) rows of a task when distinct keys are counted, about
 STAGE_VERSION = "3"  # bump when a stage table's definition changes
 
 
@@ -120,14 +121,18 @@ def build_cust_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.when(pre & (date >= _ts(SINCE_6M)), price).otherwise(0.0)).alias("rev6"),
             F.min(F.when(pre, date)).alias("first_date"),
             F.max(F.when(pre, date)).alias("last_date"),
-            F.count_distinct(F.when(pre & (date >= _ts(SINCE_12M)), F.col("o_orderpriority"))).alias("actvsubs"),
-            F.count_distinct(F.when(pre, F.col("o_orderpriority"))).alias("uniqsubs"),
             F.max(
                 F.when(pre, F.struct(date, F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")))
             ).alias("last_order"),
         )
         .where(F.col("n") > 0)
     )
+    priorities = (
+        orders.where(pre & F.col("o_orderpriority").isNotNull())
+        .groupBy(F.col("o_custkey").alias("cust_id"), "o_orderpriority")
+        .agg(F.max(F.when(date >= _ts(SINCE_12M), 1).otherwise(0)).alias("recent"))
+        .groupBy("cust_id").agg(F.sum("recent").alias("actvsubs"), F.count(F.lit(1)).alias("uniqsubs"))
+    )
 
     pre_orders = orders.where(pre).select(
         "o_orderkey", F.col("o_custkey").alias("cust_id"),
@@ -156,12 +161,12 @@ def build_cust_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when(F.col("in6"), q).otherwise(0.0)).alias("q6"),
     )
     # distinct suppliers and parts in narrow rows of their own: beside the sums, every (customer, supplier) and
-    # (customer, part) would carry all the sums' buffers
+    # (customer, part) would carry all the sums' buffers; nearly all are distinct, so they are dealt out by customer first
     seen = F.array(F.struct(F.lit(True).alias("supp"), F.col("l_suppkey").cast("long").alias("k")),
                    F.struct(F.lit(False).alias("supp"), F.col("l_partkey").cast("long").alias("k")))
     line_keys = (
         lines.select("cust_id", F.explode(seen).alias("s")).select("cust_id", "s.supp", "s.k").where(F.col("k").isNotNull())
-        .distinct().groupBy("cust_id").agg(_count_if(F.col("supp")).alias("n_supp"), _count_if(~F.col("supp")).alias("n_part"))
+        .repartition(max(1, -(-2 * lineitem.count() // KEY_ROWS)), "cust_id").distinct().groupBy("cust_id").agg(_count_if(F.col("supp")).alias("n_supp"), _count_if(~F.col("supp")).alias("n_part"))
     )
     per_cust_lines = line_sums.join(line_keys, "cust_id", "left")
 
@@ -172,7 +177,8 @@ def build_cust_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     base = (
-        per_cust.join(per_cust_lines, "cust_id", "left")
+        per_cust.join(priorities, "cust_id", "left")
+        .join(per_cust_lines, "cust_id", "left")
         .join(customer, F.col("cust_id") == F.col("c_custkey"))
         .join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
     )
@@ -199,8 +205,8 @@ def build_cust_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
         (avg3rev - avg6rev).alias("change_rev"),
         months.alias("months"),
         F.datediff(_ts(CUTOFF).cast("date"), F.col("last_date").cast("date")).cast("double").alias("eqpdays"),
-        F.col("actvsubs").cast("double").alias("actvsubs"),
-        F.col("uniqsubs").cast("double").alias("uniqsubs"),
+        F.coalesce(F.col("actvsubs"), F.lit(0)).cast("double").alias("actvsubs"),
+        F.coalesce(F.col("uniqsubs"), F.lit(0)).cast("double").alias("uniqsubs"),
         per_order("lines").alias("plcd_vce_Mean"),
         per_order("l_comp").alias("comp_vce_Mean"),
         per_order("l_drop").alias("drop_vce_Mean"),
