@@ -44,7 +44,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -293,11 +293,12 @@ def _counted(docs: DataFrame, text_col: str, pattern: str, sent_vocabulary) -> D
         counts: Counter[str] = Counter()
 
         def part() -> pa.RecordBatch:
-            rows = [(p, n) for p, n in counts.items()
-                    if (raw := p.encode("utf-8", "surrogatepass")) not in vocabulary and len(raw) <= LONG_PIECE]
+            pieces = [p for p in counts
+                      if (raw := p.encode("utf-8", "surrogatepass")) not in vocabulary and len(raw) <= LONG_PIECE]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(pieces, pa.string()), pa.array(np.fromiter(map(counts.__getitem__, pieces), np.int64, len(pieces)))], ["piece", "n"])
             counts.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p for p, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["piece", "n"])
+            return out
 
         for b in batches:
             for text in b.column(0):
@@ -346,8 +347,8 @@ def _common(counted: DataFrame, fold: Fold, sent_vocabulary) -> pa.Table | None:
 # ---- encoding and decoding --------------------------------------------------
 
 def _assembled(spark: SparkSession, docs: DataFrame, text_col: str, keep: list[str], path: str, pattern: str,
-               emitter: Callable[[], Callable[[np.ndarray], dict]], fields: str) -> DataFrame:
-    """``keep`` and what a task's emitter makes of the ids of every row."""
+               emitter: Callable[[], Callable[[np.ndarray, np.ndarray], dict]], fields: str) -> DataFrame:
+    """``keep`` and what a task's emitter makes of the ids of some rows, end to end, and the places where rows end."""
     text_batches(spark)
     sent_vocabulary = spark.sparkContext.broadcast(ranks(path))
     fold = Fold(path)
@@ -389,19 +390,20 @@ def _assembled(spark: SparkSession, docs: DataFrame, text_col: str, keep: list[s
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = emitter()
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                made: dict[str, list] = {}
-                rare = part.column(len(keep) + 1)
-                ends, flat = rare.offsets.to_numpy(), rare.values.flatten().to_numpy(zero_copy_only=False)
-                inner = rare.values.offsets.to_numpy() - rare.values.offsets[0].as_py()
-                for code, first, stop in zip(part.column(len(keep)), ends[:-1], ends[1:], strict=True):
-                    code = np.frombuffer(code.as_py(), "<u4")
-                    for k, v in emit(_in_order(code, flat, inner[first:stop + 1])).items():
-                        made.setdefault(k, []).append(v)
+            at = 0
+            codes = b.column(len(keep)).to_pylist()
+            while at < len(b):
+                stop, held = at + 1, len(codes[at])
+                while stop < min(len(b), at + 256) and held + len(codes[stop]) <= 4 * RUN:
+                    held += len(codes[stop])
+                    stop += 1
+                part = b.slice(at, stop - at)
+                made = emit(*_in_order(codes[at:stop], part.column(len(keep) + 1)))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:len(keep)],
-                     *(pa.array(v, to_arrow.field(k).type) for k, v in made.items())], [*keep, *made])
+                     *(v if isinstance(v, pa.Array) else pa.array(v, to_arrow.field(k).type) for k, v in made.items())],
+                    [*keep, *made])
+                at = stop
 
     added = StructType.fromDDL(fields)
     to_arrow = to_arrow_schema(added)
@@ -420,24 +422,27 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
-def _in_order(codes: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The ids of a text: its own words' ids, of which word k's lie in ``flat`` from ``ends[k]``, in the places that
-    stand for them."""
-    out = codes.astype(np.int64)
-    words = len(ends) - 1
-    if words < 1:
-        return out
-    own = codes >= (1 << 32) - words
-    number = (1 << 32) - 1 - out[own]
-    lens = np.diff(ends).astype(np.int64)
-    mine = lens[number]
-    sizes = np.ones(len(codes), np.int64)
+def _in_order(codes: list[bytes], rare: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some texts, end to end, and where each text begins and the last ends: the ids of a text's own words,
+    of which word k's lie in its k-th list of ``rare``, in the places that stand for them."""
+    out = np.frombuffer(b"".join(codes), "<u4").astype(np.int64)
+    ends = np.cumsum([0, *(len(c) // 4 for c in codes)])
+    first = rare.offsets.to_numpy().astype(np.int64)
+    inner = (rare.values.offsets.to_numpy() - rare.values.offsets[0].as_py()).astype(np.int64)
+    begins, words = np.repeat(first[:-1], np.diff(ends)), np.repeat(np.diff(first), np.diff(ends))
+    own = np.flatnonzero(out >= (1 << 32) - words)
+    if not len(own):
+        return out, ends
+    flat = rare.values.flatten().to_numpy(zero_copy_only=False)
+    number = (1 << 32) - 1 - out[own] + begins[own]
+    mine = inner[number + 1] - inner[number]
+    sizes = np.ones(len(out), np.int64)
     sizes[own] = mine
+    stops = np.concatenate([[0], np.cumsum(sizes)])
     out = np.repeat(out, sizes)
-    at = (np.cumsum(sizes) - sizes)[own]
     inside = np.arange(int(mine.sum())) - np.repeat(np.cumsum(mine) - mine, mine)
-    out[np.repeat(at, mine) + inside] = flat[np.repeat(ends[:-1][number], mine) + inside]
-    return out
+    out[np.repeat(stops[own], mine) + inside] = flat[np.repeat(inner[number], mine) + inside]
+    return out, stops[ends]
 
 
 def encode(spark: SparkSession, docs: DataFrame, text_col: str = "text", path: str | None = None,
@@ -445,7 +450,11 @@ def encode(spark: SparkSession, docs: DataFrame, text_col: str = "text", path: s
     """The input's columns and ``ids``, the tokens of each whole text (an input column of that name is replaced)."""
     keep = [c for c in docs.columns if c.lower() != "ids"]
     return _assembled(spark, docs, text_col, keep, path or default_vocabulary(), pattern or default_pattern(),
-                      lambda: lambda ids: {"ids": ids}, "ids array<int>")
+                      lambda: lambda ids, ends: {"ids": _lists(ids, ends)}, "ids array<int>")
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def _by_id(path: str) -> list[bytes | None]:
@@ -456,13 +465,13 @@ def _by_id(path: str) -> list[bytes | None]:
     return out
 
 
-def _concatenated(pieces: pa.LargeBinaryArray, ids: np.ndarray) -> bytes:
-    """The binary pieces that ids name, one after the other (a taken array's values lie end to end)."""
+def _concatenated(pieces: pa.LargeBinaryArray, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The binary pieces that ids name, one after the other (a taken array's values lie end to end), and where each begins."""
     taken = pieces.take(pa.array(ids, pa.int64()))
     if taken.null_count:
         raise ValueError("an id is not in the vocabulary")
     offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
-    return taken.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if len(taken) else b""
+    return memoryview(taken.buffers()[2] if len(taken) else b""), offsets
 
 
 def decode(spark: SparkSession, df: DataFrame, ids_col: str = "ids", out_col: str = "bytes",
@@ -474,7 +483,10 @@ def decode(spark: SparkSession, df: DataFrame, ids_col: str = "ids", out_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(sent.value, pa.large_binary())
         for b in batches:
-            texts = [_concatenated(tokens, np.array(ids or (), np.int64)) for ids in b.column(at).to_pylist()]
+            texts = []
+            for ids in b.column(at).to_pylist():
+                data, offsets = _concatenated(tokens, np.array(ids or (), np.int64))
+                texts.append(bytes(data[offsets[0]:offsets[-1]]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, out_col])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, BinaryType())]))
@@ -486,15 +498,20 @@ def digests(spark: SparkSession, docs: DataFrame, keep: list[str], text_col: str
     path = path or default_vocabulary()
     sent = spark.sparkContext.broadcast(_by_id(path))
 
-    def emitter() -> Callable[[np.ndarray], dict]:
+    def emitter() -> Callable[[np.ndarray, np.ndarray], dict]:
         tokens = pa.array(sent.value, pa.large_binary())
         names = pa.array([b"%d," % i for i in range(len(sent.value))], pa.large_binary())
 
-        def emit(ids: np.ndarray) -> dict:
-            return ({"ids": ids} if with_ids else {}) | {
-                "n_tokens": len(ids),
-                "ids_sha256": hashlib.sha256(_concatenated(names, ids)[:-1]).hexdigest(),
-                "decoded_sha256": hashlib.sha256(_concatenated(tokens, ids)).hexdigest(),
+        def digest(pieces: pa.LargeBinaryArray, ids: np.ndarray, ends: np.ndarray, last: int) -> list[str]:
+            data, offsets = _concatenated(pieces, ids)
+            cuts = offsets[ends].tolist()
+            return [hashlib.sha256(data[a:max(a, b - last)]).hexdigest() for a, b in pairwise(cuts)]
+
+        def emit(ids: np.ndarray, ends: np.ndarray) -> dict:
+            return ({"ids": _lists(ids, ends)} if with_ids else {}) | {
+                "n_tokens": np.diff(ends),
+                "ids_sha256": digest(names, ids, ends, 1),  # but for the comma after the last id
+                "decoded_sha256": digest(tokens, ids, ends, 0),
             }
 
         return emit

@@ -84,3 +84,29 @@ def test_plain_pattern_splits_latin_alike():
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.contract(spark, none).count() == 0
+
+
+def test_ids_of_many_texts_are_put_in_order_at_once():
+    r = random.Random(5)
+    codes, rare, want = [], [], []
+    for _ in range(60):
+        words = [[r.randrange(50_000) for _ in range(r.randrange(1, 5))] for _ in range(r.randrange(4))]
+        code, ids = [], []
+        for _ in range(r.randrange(12)):
+            k = r.randrange(len(words)) if words and r.random() < 0.4 else None
+            code.append(r.randrange(50_000) if k is None else (1 << 32) - 1 - k)
+            ids += code[-1:] if k is None else words[k]
+        codes.append(bpe.np.array(code, "<u4").tobytes())
+        rare.append(words)
+        want.append(ids)
+    lists = bpe.pa.array([[[1, 2]], *rare, [[3]]], bpe.pa.list_(bpe.pa.list_(bpe.pa.int64()))).slice(1, len(rare))
+    ids, ends = bpe._in_order(codes, lists)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+
+
+def test_digests_do_not_depend_on_how_many_texts_are_joined_at_once(spark, monkeypatch):
+    rows = [(k, ("zqxv%d Wörter " % (k * 977)) * (k % 7)) for k in range(40)] + [(40, None), (41, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, bpe.contract(spark, df).collect()))
+    monkeypatch.setattr(bpe, "RUN", 2)
+    assert sorted(map(tuple, bpe.contract(spark, df).collect())) == whole and len(whole) == 42
