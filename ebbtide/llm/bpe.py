@@ -7,12 +7,16 @@ with the rank of each two neighbouring bytes from a table), and each step
 of an ``aggregate`` merges the leftmost neighbouring pair of lowest rank until
 no pair has one.  A part is one number: the rank of the pair it begins, the place
 of its first byte and its id, so the smallest number is the leftmost pair of
-lowest rank, and a step looks up two new pairs only.
+lowest rank, and a step looks up two new pairs only.  The first ``EARLY_STEPS``
+steps, which nearly every piece has, are taken by NumPy for all pieces of a batch at
+once; the fold goes on from the parts they leave.
 
-Rank map.  A literal: entry ``(left id, right id) -> rank`` for each split of a
+Rank map.  A constant: entry ``(left id, right id) -> rank`` for each split of a
 token into two tokens, in an array addressed by the pair's hash and a second
-literal array of displacements chosen so that no two pairs share a place.  (A
-map literal would be searched entry by entry.)  A merged pair's rank is its id.
+array of displacements chosen so that no two pairs share a place.  (A map would be
+searched entry by entry.)  A merged pair's rank is its id.  Both arrays are the one row
+of a scalar subquery: an array literal would be spelled out, 300,000 numbers, in every
+description of a plan, and the driver keeps those of a thousand plans.
 
 Distinct words.  Pieces that are no tokens are counted over all rows.  Those at
 or above the smallest count that at most ``COMMON_WORDS`` distinct pieces reach
@@ -39,7 +43,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -66,6 +69,8 @@ TOP_COUNT = 10_000
 RUN, PARTIAL = 200_000, 200_000
 #: Bytes from which on a piece is merged from a heap.
 LONG_PIECE = 256
+#: Steps of the fold that are taken for all pieces of a batch at once.
+EARLY_STEPS = 5
 #: Places of the rank map and of its displacements (powers of two).
 PLACES, SHIFTS = 1 << 18, 1 << 15
 NO_RANK = 65536
@@ -90,56 +95,96 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-# ---- the rank map as literals -----------------------------------------------
+# ---- the rank map -----------------------------------------------------------
 
 @cache
-def _rank_map(path: str) -> tuple[str, str]:
-    """JSON of the displacement array and the places (pair * 65536 + rank, negative if empty)."""
-    vocabulary = ranks(path)
-    pairs: dict[int, int] = {}
+def _pairs(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ids that make a token, as left * 65536 + right in order, and their ranks."""
+    vocabulary, pairs = ranks(path), {}
     for token, rank in vocabulary.items():
         for i in range(1, len(token)):
             left, right = vocabulary.get(token[:i]), vocabulary.get(token[i:])
             if left is not None and right is not None:
                 pairs[left * 65536 + right] = rank
-    groups: dict[int, list[tuple[int, int]]] = {}
-    for key in pairs:
+    keys = np.fromiter(pairs, np.int64, len(pairs))
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+
+
+@cache
+def _rank_map(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The displacement array and the places (pair * 65536 + rank, negative if empty)."""
+    groups: dict[int, list[tuple[int, int, int]]] = {}
+    for key, rank in zip(*(x.tolist() for x in _pairs(path)), strict=True):
         h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
-        groups.setdefault(h % SHIFTS, []).append((key, (h >> 20) % PLACES))
+        groups.setdefault(h % SHIFTS, []).append((key, rank, (h >> 20) % PLACES))
     shift, places = [0] * SHIFTS, [-(1 << 20)] * PLACES
     for number, group in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
         for by in range(PLACES):
-            spots = {at ^ by for _, at in group}
+            spots = {at ^ by for _, _, at in group}
             if len(spots) == len(group) and all(places[s] < 0 for s in spots):
                 break
         else:
             raise ValueError("two pairs cannot be told apart by their hash")
         shift[number] = by
-        for key, at in group:
-            places[at ^ by] = key * 65536 + pairs[key]
-    return json.dumps(shift), json.dumps(places)
+        for key, rank, at in group:
+            places[at ^ by] = key * 65536 + rank
+    return np.array(shift, np.int32), np.array(places, np.int64)
 
 
 class Starts:
-    """The first parts of pieces: a number for each byte, from its id, its place and the rank of the pair it begins."""
+    """The first parts of pieces, a number each from its id, its place and the rank of the pair it begins: the bytes,
+    and what the first ``EARLY_STEPS`` steps make of them."""
 
-    def __init__(self, vocabulary: dict[bytes, int]):
+    def __init__(self, path: str):
+        vocabulary = ranks(path)
+        self.keys, self.ranks = _pairs(path)
+        self.steps = EARLY_STEPS
         self.one = np.array([vocabulary[bytes([b])] for b in range(256)], np.int64)
         self.two = np.full(1 << 16, NO_RANK, np.int64)
         for token, rank in vocabulary.items():
             if len(token) == 2:
                 self.two[token[0] * 256 + token[1]] = rank
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = (left & 65535) * 65536 + (right & 65535)
+        if not len(self.keys):
+            return np.full(len(pair), NO_RANK, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], NO_RANK)
+
+    def _step(self, parts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leftmost pair of lowest rank becomes one part in each of the pieces, none of them empty."""
+        lowest = np.minimum.reduceat(parts, np.cumsum(sizes) - sizes)
+        with_pair = np.flatnonzero(lowest >> 40 < NO_RANK)
+        lowest[lowest >> 40 >= NO_RANK] = -1
+        at = np.flatnonzero(parts == np.repeat(lowest, sizes))  # a place stands once in a piece
+        made = parts[at] >> 40
+        parts = np.delete(parts, at + 1)
+        at -= np.arange(len(at))  # parts before it that are gone
+        sizes = sizes.copy()
+        sizes[with_pair] -= 1
+        ends = np.cumsum(sizes)[with_pair]
+        parts[at] = (NO_RANK << 40) + (parts[at] & 0xFFFFFF0000) + made
+        for left in (at[at + 1 < ends], at[at > ends - sizes[with_pair]] - 1):
+            parts[left] = (self._rank(parts[left], parts[left + 1]) << 40) + (parts[left] & ((1 << 40) - 1))
+        return parts, sizes
+
     def __call__(self, pieces: list[str]) -> pa.ListArray:
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        ends = np.cumsum([0, *map(len, raw)])
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        full = np.flatnonzero(sizes)
+        ends = np.cumsum(sizes)
         cells = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
         pair = np.full(len(cells), NO_RANK, np.int64)
         pair[:-1] = self.two[cells[:-1] * 256 + cells[1:]]
-        pair[ends[1:][np.diff(ends) > 0] - 1] = NO_RANK  # the last byte of a piece begins no pair
-        place = np.arange(len(cells)) - np.repeat(ends[:-1], np.diff(ends))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(
-            (pair << 40) + (place << 16) + self.one[cells], pa.int64()))
+        pair[ends[full] - 1] = NO_RANK  # the last byte of a piece begins no pair
+        place = np.arange(len(cells)) - np.repeat(ends - sizes, sizes)
+        parts = (pair << 40) + (place << 16) + self.one[cells]
+        for _ in range(self.steps if len(full) else 0):
+            parts, sizes[full] = self._step(parts, sizes[full])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
+                                        pa.array(parts, pa.int64()))
 
 
 def merged(piece: bytes, vocabulary: dict[bytes, int]) -> list[int]:
@@ -176,18 +221,19 @@ def merged(piece: bytes, vocabulary: dict[bytes, int]) -> list[int]:
 
 
 class Fold:
-    """Spark expression for the ids of one piece, given its first parts."""
+    """Folds the pieces of an array column, given by their first parts, to their ids."""
 
-    def __init__(self, path: str):
-        # the optimizer turns from_json of a literal into an array literal once a plan
-        self.literals = F.struct(*[
-            F.from_json(F.lit(x), f"array<{kind}>").alias(name)
-            for x, kind, name in zip(_rank_map(path), ("int", "bigint"), ("shift", "places"), strict=True)
-        ])
+    def __init__(self, spark: SparkSession, path: str):
+        shift, places = (pa.array([x], pa.list_(pa.from_numpy_dtype(x.dtype))) for x in _rank_map(path))
+        self.map = spark.createDataFrame(pa.table({"shift": shift, "places": places}))
 
-    def __call__(self, start: Column) -> Column:
-        # bound once, so that the plan holds one copy of the rank map
-        return F.get(F.transform(F.array(self.literals), lambda t: _Steps(t["shift"], t["places"])(start)), F.lit(0))
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        # a column of its own until the optimizer puts the subquery in its place; bound once, outside of all other
+        # lambdas, so that the plan holds one copy of the rank map
+        bound = F.array(F.col("__map"))
+        return df.withColumn("__map", self.map.select(F.struct("shift", "places").alias("map")).scalar()).withColumn(
+            name, F.get(F.transform(bound, lambda t: F.transform(name, _Steps(t["shift"], t["places"]))), F.lit(0))
+        ).drop("__map")
 
 
 class _Steps:
@@ -226,8 +272,9 @@ class _Steps:
         return F.get(F.transform(F.array(F.array_min(parts)), found), F.lit(0))
 
     def __call__(self, start: Column) -> Column:
-        return F.aggregate(F.slice(start, 2, F.size(start)), start, lambda parts, _: self._merge(parts),
-                           lambda parts: F.transform(parts, _id))
+        folded = F.aggregate(F.slice(start, 2, F.size(start)), start, lambda parts, _: self._merge(parts),
+                             lambda parts: F.transform(parts, _id))
+        return F.when(F.shiftright(F.array_min(start), 40) < NO_RANK, folded).otherwise(F.transform(start, _id))
 
 
 def _id(part: Column) -> Column:
@@ -312,7 +359,7 @@ def _counted(docs: DataFrame, text_col: str, pattern: str, sent_vocabulary) -> D
         "piece").agg(F.sum("n").alias("n"))
 
 
-def _common(counted: DataFrame, fold: Fold, sent_vocabulary) -> pa.Table | None:
+def _common(counted: DataFrame, fold: Fold, sent_starts) -> pa.Table | None:
     """(piece, ids of 32 bits each) of the most frequent distinct pieces, at most ``COMMON_WORDS``."""
     heights = (
         counted.groupBy(F.least("n", F.lit(TOP_COUNT)).alias("n")).agg(F.count(F.lit(1)).alias("pieces"))
@@ -333,14 +380,15 @@ def _common(counted: DataFrame, fold: Fold, sent_vocabulary) -> pa.Table | None:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["piece", "ids"])
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = Starts(sent_vocabulary.value)
+        starts = sent_starts.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), starts(b.column(0).to_pylist())], ["piece", "start"])
+            one_each = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1), pa.int32()), starts(b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), one_each], ["piece", "ids"])
 
     return (
-        counted.where(F.col("n") >= least).select("piece").mapInArrow(begin, "piece string, start array<bigint>")
-        .select("piece", fold(F.col("start")).alias("ids"))
-        .mapInArrow(pack, "piece string, ids binary").toArrow()  # at most COMMON_WORDS rows
+        fold(counted.where(F.col("n") >= least).select("piece").mapInArrow(begin, "piece string, ids array<array<bigint>>"),
+             "ids")
+        .select("piece", F.get("ids", F.lit(0)).alias("ids")).mapInArrow(pack, "piece string, ids binary").toArrow()  # at most COMMON_WORDS rows
     )
 
 
@@ -351,13 +399,14 @@ def _assembled(spark: SparkSession, docs: DataFrame, text_col: str, keep: list[s
     """``keep`` and what a task's emitter makes of the ids of some rows, end to end, and the places where rows end."""
     text_batches(spark)
     sent_vocabulary = spark.sparkContext.broadcast(ranks(path))
-    fold = Fold(path)
+    sent_starts = spark.sparkContext.broadcast(Starts(path))
+    fold = Fold(spark, path)
     counted = written(spark, _counted(docs, text_col, pattern, sent_vocabulary), "bpe-pieces")
-    sent = spark.sparkContext.broadcast(_common(counted, fold, sent_vocabulary))  # stays a table on the driver
+    sent = spark.sparkContext.broadcast(_common(counted, fold, sent_starts))  # stays a table on the driver
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent_vocabulary.value
-        find, starts = Splitter(pattern), Starts(vocabulary)
+        find, starts = Splitter(pattern), sent_starts.value
         table = {t.decode("utf-8"): r.to_bytes(4, "little") for t, r in vocabulary.items() if _is_text(t)}
         if sent.value is not None:
             table.update(zip(sent.value.column(0).to_pylist(), sent.value.column(1).to_pylist(), strict=True))
@@ -410,8 +459,7 @@ def _assembled(spark: SparkSession, docs: DataFrame, text_col: str, keep: list[s
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
     coded = source.mapInArrow(
         split, StructType([*source.schema.fields[:-1], *StructType.fromDDL("__codes binary, __rare array<array<bigint>>")]))
-    folded = coded.withColumn("__rare", F.transform("__rare", fold))
-    return folded.mapInArrow(join, StructType([*source.schema.fields[:-1], *added.fields]))
+    return fold(coded, "__rare").mapInArrow(join, StructType([*source.schema.fields[:-1], *added.fields]))
 
 
 def _is_text(token: bytes) -> bool:

@@ -110,3 +110,49 @@ def test_digests_do_not_depend_on_how_many_texts_are_joined_at_once(spark, monke
     whole = sorted(map(tuple, bpe.contract(spark, df).collect()))
     monkeypatch.setattr(bpe, "RUN", 2)
     assert sorted(map(tuple, bpe.contract(spark, df).collect())) == whole and len(whole) == 42
+
+
+def test_first_steps_of_all_pieces_at_once(encoding, monkeypatch):
+    """After any number of early steps the parts are those of the byte-pair rule, and all of them end as tiktoken's ids."""
+    r, path = random.Random(11), P.path(bpe.VOCABULARY)
+    ranks = bpe.ranks(path)
+    pieces = ["".join(r.choice("abcdehinorstéñ日") for _ in range(r.randrange(1, 40))) for _ in range(400)] + ["a", "aaaa", "éé", ""]
+
+    def slow(piece, steps):
+        parts = [bytes([b]) for b in piece.encode()]
+        for _ in range(steps):
+            low, at = min(((ranks.get(a + b, bpe.NO_RANK), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))),
+                          default=(bpe.NO_RANK, 0))
+            if low < bpe.NO_RANK:
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    for steps in (0, 1, 3, 5, 60):
+        monkeypatch.setattr(bpe, "EARLY_STEPS", steps)
+        got = bpe.Starts(path)(pieces).to_pylist()
+        for piece, numbers in zip(pieces, got, strict=True):
+            parts = slow(piece, steps)
+            at = [sum(map(len, parts[:i])) for i in range(len(parts))]
+            pair = [ranks.get(a + b, bpe.NO_RANK) for a, b in zip(parts, [*parts[1:], b"\xff" * 99], strict=False)]
+            assert numbers == [(p << 40) + (k << 16) + ranks[x] for p, k, x in zip(pair, at, parts, strict=True)], (piece, steps)
+            if steps == 60:
+                assert [ranks[x] for x in parts] == (encoding._core_bpe.encode_single_piece(piece.encode()) if piece else [])
+
+
+def test_fold_does_what_the_early_steps_leave(spark, encoding, monkeypatch):
+    every = texts()
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    for steps in (0, 2):
+        monkeypatch.setattr(bpe, "EARLY_STEPS", steps)
+        for r in bpe.encode(spark, df).collect():
+            assert r["ids"] == encoding.encode_ordinary(every[r["doc_id"]])
+
+
+def test_plan_does_not_spell_out_the_rank_map(spark):
+    """The driver keeps the descriptions of a thousand plans; the rank map has some 300,000 numbers."""
+    df = spark.createDataFrame([(1, "zqxv wörtlich")], "doc_id long, text string")
+    out = bpe.contract(spark, df)
+    plan = out._jdf.queryExecution()
+    assert len(plan.toString()) < 100_000
+    # the map is no column of a row: one projection stands between the two Arrow steps
+    assert plan.executedPlan().toString().split("MapInArrow split")[0].count("Project [") == 1 and out.count() == 1
