@@ -31,12 +31,13 @@ one; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ class Vocabulary(NamedTuple):
         out, total, other = [], 0.0, []
         get = (self.common or self.top).get
         for words in _word_slices(raw):
-            found = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+            found = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
             known = found >= 0
             rare = [words[i] for i in np.flatnonzero(~known).tolist()]
             if len(self.shares):
@@ -86,7 +87,7 @@ class Vocabulary(NamedTuple):
                 other += rare
             here = np.empty(len(words), np.int16)
             here[known] = self.kinds[found[known]]
-            here[~known] = [_length_class(w) for w in rare]
+            here[~known] = _length_classes(rare)
             out.append(here)
         return (np.concatenate(out) if out else np.zeros(0, np.int16)), total, other
 
@@ -96,6 +97,13 @@ def _length_class(word: bytes) -> int:
     return TOP_WORDS + min(length, LENGTHS) - 1
 
 
+def _length_classes(words: list[bytes]) -> np.ndarray:
+    joined = b" ".join(words)
+    if not joined.isascii():
+        words = joined.decode("utf-8", "surrogatepass").split(" ")
+    return TOP_WORDS - 1 + np.minimum(np.fromiter(map(len, words), np.int64, len(words)), LENGTHS)
+
+
 def _word_slices(raw: bytes | None) -> Iterator[list[bytes]]:
     """The words of a whole text in UTF-8, in slices that end between words."""
     at, raw = 0, raw or b""
@@ -107,27 +115,58 @@ def _word_slices(raw: bytes | None) -> Iterator[list[bytes]]:
         at = end
 
 
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and end row of runs of texts of up to ``_SLICE`` bytes in all; a larger text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    at = 0
+    while at < len(sizes):
+        stop, held = at + 1, sizes[at]
+        while stop < len(sizes) and held + sizes[stop] <= _SLICE:
+            held += sizes[stop]
+            stop += 1
+        yield at, stop
+        at = stop
+
+
+def _split(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of some texts, end to end, and how many each text has."""
+    bare = pc.ascii_trim_whitespace(texts)
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), pa.scalar(None, bare.type), bare))
+    return lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+
+
+def _strings(words: list[bytes]) -> pa.StringArray:
+    return pa.array(words, pa.binary()).cast(pa.string())
+
+
 def word_counts(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all rows: counted in Arrow batches of whole texts, added up after a shuffle by word."""
     text_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.RecordBatch] = []
 
-        def part() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())],
-                ["word", "n"])
-            counts.clear()
-            return out
+        def summed() -> list[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return table.rename_columns(["word", "n"]).combine_chunks().to_batches()
 
         for b in batches:
-            for raw in b.column(0).cast(pa.binary()):
-                for words in _word_slices(raw.as_py()):
-                    counts.update(words)
-                    if len(counts) >= PARTIAL:
-                        yield part()
-        yield part()
+            texts = b.column(0).cast(pa.string())
+            for at, stop in _runs(texts):
+                if texts[at].is_valid and stop == at + 1:
+                    slices = map(_strings, _word_slices(texts[at].as_buffer().to_pybytes()))
+                else:
+                    slices = [_split(texts.slice(at, stop - at))[0]]
+                for words in slices:
+                    counts = pc.value_counts(words)
+                    held.append(pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["word", "n"]))
+                    if sum(map(len, held)) >= 2 * PARTIAL:
+                        held = summed()
+                        if sum(map(len, held)) >= PARTIAL:
+                            yield from held
+                            held = []
+        if held:
+            yield from summed()
 
     return written(
         spark,
@@ -162,6 +201,36 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
                       {w: i for i, w in enumerate(raw)}, np.array(shares), kinds)
 
 
+class Known:
+    """What ``Vocabulary.read`` gives for one text, for a run of texts at once."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, words = v, v.common or v.top
+        self.words, self.places = _strings(list(words)), np.fromiter(words.values(), np.int32, len(words))
+
+    def read(self, texts: pa.StringArray) -> list[pa.Array]:
+        """Classes, a byte a word, summed shares of the common words, and the other words of each text."""
+        words, sizes = _split(texts)
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        known = found >= 0
+        found, rare = self.places[found[known]], words.filter(pa.array(~known))
+        classes = np.empty(len(words), np.uint8)
+        classes[known] = self.v.kinds[found]
+        classes[~known] = TOP_WORDS - 1 + np.minimum(pc.utf8_length(rare).to_numpy(), LENGTHS)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        inside = np.concatenate([[0], np.cumsum(known)])[ends]  # known words before each end
+        if len(self.v.shares):
+            each = self.v.shares[found]
+            shares, others = [float(each[a:b].sum()) for a, b in pairwise(inside.tolist())], ends - inside
+        else:
+            shares, others = [0.0] * len(sizes), np.zeros(len(ends))
+        return [
+            pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(classes)]),
+            pa.array(shares, pa.float64()),
+            pa.ListArray.from_arrays(pa.array(others.astype(np.int32)), rare),
+        ]
+
+
 def classified(spark: SparkSession, docs: DataFrame, v: Vocabulary, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """One written row for each row of docs: its number, id, classes (a byte a word), the summed shares of its
@@ -170,18 +239,19 @@ def classified(spark: SparkSession, docs: DataFrame, v: Vocabulary, id_col: str
     sent = spark.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary_, known = sent.value, Known(sent.value)
         for b in batches:
-            for at in range(0, len(b), 128):
-                part = b.slice(at, 128)
-                read = [sent.value.read(t.as_py()) for t in part.column(2).cast(pa.binary())]
-                others = pa.array([w for _, _, o in read for w in o], pa.binary()).cast(pa.string())
-                ends = np.cumsum([0, *(len(o) for _, _, o in read)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1),
-                     pa.array([c.astype(np.uint8).tobytes() for c, _, _ in read], pa.binary()),
-                     pa.array([s for _, s, _ in read], pa.float64()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)],
-                    ["row", "doc_id", "classes", "shares", "others"])
+            texts = b.column(2).cast(pa.string())
+            for at, stop in _runs(texts):
+                part = b.slice(at, stop - at)
+                if texts[at].is_valid and stop == at + 1:
+                    classes, shares, others = vocabulary_.read(texts[at].as_buffer().to_pybytes())
+                    made = [pa.array([classes.astype(np.uint8).tobytes()], pa.binary()), pa.array([shares]),
+                            pa.ListArray.from_arrays(pa.array([0, len(others)], pa.int32()), _strings(others))]
+                else:
+                    made = known.read(texts.slice(at, stop - at))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made],
+                                                 ["row", "doc_id", "classes", "shares", "others"])
 
     return written(
         spark,

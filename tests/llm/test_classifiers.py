@@ -1,6 +1,7 @@
 """Toxicity, quality and language models: gradients, held-out accuracy, edge cases; LM scores against a slow model."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -309,3 +310,32 @@ def test_network_passes_a_corpus_of_any_size_once(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or plain(value))
     masked_lm.fit_all(spark, rows, v)
     assert [done for _, _, done in sent] == list(range(masked_lm.ROUNDS))
+
+
+def test_lm_words_of_many_texts_at_once(spark, monkeypatch):
+    """Counts, classes, shares and other words of runs of texts are those of each text split by itself."""
+    r = np.random.default_rng(4)
+    letters = ["a", "b", "é", "日", "\U0001F642", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", " "]
+    texts = ["".join(r.choice(letters, r.integers(0, 60))) for _ in range(150)]
+    texts += [None, "", " ", " \n", "a", " a", "a ", "word " * 400, "x" * 900, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    want = Counter(w for t in texts for w in (t or "").encode().split())
+    monkeypatch.setattr(masked_lm, "COMMON_WORDS", 260)
+    for cut, partial in ((1 << 20, 400_000), (200, 5)):  # in the second, texts of more than 200 bytes go by themselves
+        monkeypatch.setattr(masked_lm, "_SLICE", cut)
+        monkeypatch.setattr(masked_lm, "PARTIAL", partial)
+        counts = masked_lm.word_counts(spark, docs)
+        assert {x["word"].encode(): x["n"] for x in counts.collect()} == want
+        v = masked_lm.vocabulary(counts)
+        assert 0 < len(v.common) < len(want)
+        rows = {x["doc_id"]: x for x in masked_lm.classified(spark, docs, v).collect()}
+        for k, t in enumerate(texts):
+            classes, shares, others = v.read((t or "").encode())
+            assert list(rows[k]["classes"]) == classes.tolist() and [w.encode() for w in rows[k]["others"]] == others
+            assert rows[k]["shares"] == pytest.approx(shares, abs=1e-9)
+            assert classes.tolist() == [v.kinds[v.common[w]] if w in v.common else masked_lm._length_class(w)
+                                        for w in (t or "").encode().split()]
+        bare = masked_lm.Vocabulary(v.top, v.spread)  # top words alone
+        one = masked_lm.Known(bare).read(masked_lm.pa.array(texts, masked_lm.pa.string()))
+        assert [list(c) for c in one[0].to_pylist()] == [bare.classes(t).tolist() for t in texts]
+        assert one[1].to_pylist() == [0.0] * len(texts) and one[2].to_pylist() == [[]] * len(texts)
