@@ -265,10 +265,17 @@ def classified(spark: SparkSession, docs: DataFrame, v: Vocabulary, id_col: str
 Params = dict[str, np.ndarray]
 
 
-def _hidden(p: Params, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hidden layer at places ``at`` of ids laid out with two edge places around every text, and a last column of ones."""
-    h = np.ones((len(at), HIDDEN + 1), np.float32)
-    np.tanh(sum(p["in"][k].take(ids.take(at + o), axis=0) for k, o in enumerate(OFFSETS)) + p["b"], out=h[:, :HIDDEN])
+def _neighbours(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Offsets x places: the row of each neighbour's vector, the vectors of all offsets end to end."""
+    return ids.take(np.add.outer(OFFSETS, at)) + np.arange(0, len(OFFSETS) * (CLASSES + 1), CLASSES + 1, np.int16)[:, None]
+
+
+def _hidden(p: Params, rows: np.ndarray) -> np.ndarray:
+    """Hidden layer of places with these neighbours, and a last column of ones."""
+    h = np.ones((rows.shape[1], HIDDEN + 1), np.float32)
+    sums = p["in"].reshape(-1, HIDDEN).take(rows, axis=0).sum(0)
+    sums += p["b"]
+    np.tanh(sums, out=h[:, :HIDDEN])
     return h
 
 
@@ -281,14 +288,18 @@ def _layer(p: Params) -> tuple[np.ndarray, bool]:
     return np.concatenate((p["out"], (p["c"] - high)[None])), high - low < 80
 
 
-def _exponentials(h: np.ndarray, layer: np.ndarray, bounded: bool, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """exp() of the logits, their sums, and the logit of the class of each row."""
-    e = h @ layer
+def _logits(h: np.ndarray, layer: np.ndarray, bounded: bool, room: np.ndarray) -> np.ndarray:
+    """The logits of each row of h, in the first rows of ``room``."""
+    e = np.matmul(h, layer, out=room[:len(h)])
     if not bounded:
         e -= e.max(1, keepdims=True)
-    chosen = e[np.arange(len(here)), here]
+    return e
+
+
+def _exponentials(e: np.ndarray) -> np.ndarray:
+    """exp() of the logits in their place; returns the sum of each row."""
     np.exp(e, out=e)
-    return e, e @ np.ones(CLASSES, np.float32), chosen
+    return e @ np.ones(CLASSES, np.float32)
 
 
 def _lay_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,11 +322,12 @@ def log_probabilities(p: Params, v: Vocabulary, texts: list[np.ndarray]) -> tupl
 
 def _class_log_probabilities(p: Params, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, at, owner = _lay_out(texts)
-    out, layer = np.zeros(len(at)), _layer(p)
+    out, layer, room = np.zeros(len(at)), _layer(p), np.empty((BLOCK, CLASSES), np.float32)
     for k in range(0, len(at), BLOCK):
         here = at[k:k + BLOCK]
-        _, total, chosen = _exponentials(_hidden(p, ids, here), *layer, ids[here])
-        out[k:k + BLOCK] = chosen - np.log(total)
+        e = _logits(_hidden(p, _neighbours(ids, here)), *layer, room)
+        chosen = e.ravel().take(np.arange(len(here)) * CLASSES + ids.take(here))
+        out[k:k + BLOCK] = chosen - np.log(_exponentials(e))
     return out, owner, ids[at]
 
 
@@ -341,25 +353,36 @@ class Steps:
         for k, x in p.items():
             self.p[k] = self.flat[at:at + x.size].reshape(x.shape)
             at += x.size
-        self.m, self.s, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty_like(self.flat)
+        self.m, self.s, self.t, self.g = (np.zeros_like(self.flat) for _ in range(4))
+        self.room = np.empty((BATCH, CLASSES), np.float32)
+        self.found, at = {}, 0  # the gradients, laid out as the arrays are
+        for k, x in p.items():
+            self.found[k] = self.g[at:at + x.size].reshape(x.shape)
+            at += x.size
 
     def gradients(self, ids: np.ndarray, here: np.ndarray) -> Params:
-        p = self.p
-        h = _hidden(p, ids, here)
-        d, total, _ = _exponentials(h, *_layer(p), ids[here])
-        d *= (1 / (total * len(here)))[:, None]
-        d[np.arange(len(here)), ids[here]] -= np.float32(1 / len(here))
+        """The gradients of the mean loss at places ``here``, in arrays that the next call writes again."""
+        p, found = self.p, self.found
+        rows = _neighbours(ids, here)
+        h = _hidden(p, rows)
+        d = _logits(h, *_layer(p), self.room)
+        d *= (1 / (_exponentials(d) * len(here)))[:, None]
+        d.ravel()[np.arange(len(here)) * CLASSES + ids.take(here)] -= np.float32(1 / len(here))
         last, h = h.T @ d, h[:, :HIDDEN]
         dh = (d @ p["out"].T) * (1 - h * h)
-        flat, cells = dh.astype(np.float64).ravel(), np.arange(HIDDEN)
-        return {"out": last[:HIDDEN], "c": last[HIDDEN], "b": dh.sum(0), "in": np.stack([
-            np.bincount((ids.take(here + o).astype(np.int64)[:, None] * HIDDEN + cells).ravel(), flat,
-                        (CLASSES + 1) * HIDDEN).reshape(CLASSES + 1, HIDDEN) for o in OFFSETS]).astype(np.float32)}
+        found["out"][:], found["c"][:] = last[:HIDDEN], last[HIDDEN]
+        dh.sum(0, out=found["b"])
+        # a vector of HIDDEN numbers is added up as half as many complex ones
+        sums, own = np.zeros(found["in"].size // 2, complex), dh.astype(np.float64).view(complex).ravel()
+        for row in rows.astype(np.intp) * (HIDDEN // 2):
+            np.add.at(sums, np.add.outer(row, np.arange(HIDDEN // 2)).ravel(), own)
+        found["in"][:] = sums.view(np.float64).reshape(found["in"].shape)
+        return found
 
     def take(self, ids: np.ndarray, here: np.ndarray, rate: float) -> None:
         self.step += 1
-        found = self.gradients(ids, here)
-        g, m, s, t = np.concatenate([found[k].ravel() for k in self.p]), self.m, self.s, self.t
+        self.gradients(ids, here)
+        g, m, s, t = self.g, self.m, self.s, self.t
         np.subtract(g, m, out=t)
         t *= 0.1
         m += t

@@ -339,3 +339,30 @@ def test_lm_words_of_many_texts_at_once(spark, monkeypatch):
         one = masked_lm.Known(bare).read(masked_lm.pa.array(texts, masked_lm.pa.string()))
         assert [list(c) for c in one[0].to_pylist()] == [bare.classes(t).tolist() for t in texts]
         assert one[1].to_pylist() == [0.0] * len(texts) and one[2].to_pylist() == [[]] * len(texts)
+
+
+def test_lm_gradients_are_those_of_plain_sums():
+    r = np.random.default_rng(6)
+    ids, at, _ = masked_lm._lay_out([r.integers(0, masked_lm.CLASSES, n).astype(np.uint8) for n in (90, 0, 1, 40)])
+    here = r.permutation(at)
+    steps = masked_lm.Steps(masked_lm.start(np.ones(masked_lm.CLASSES)))
+    found = steps.gradients(ids, here)
+    p = {k: v.astype(float) for k, v in steps.p.items()}
+    want = {k: np.zeros_like(v) for k, v in p.items()}
+    for place in here:
+        sides = [ids[place + o] for o in masked_lm.OFFSETS]
+        hidden = np.tanh(sum(p["in"][k, c] for k, c in enumerate(sides)) + p["b"])
+        e = np.exp(hidden @ p["out"] + p["c"])
+        d = e / e.sum()
+        d[ids[place]] -= 1
+        back = (p["out"] @ d) * (1 - hidden**2)
+        want["out"] += np.outer(hidden, d) / len(here)
+        want["c"] += d / len(here)
+        want["b"] += back / len(here)
+        for k, c in enumerate(sides):
+            want["in"][k, c] += back / len(here)
+    for k in p:
+        assert np.allclose(found[k], want[k], atol=1e-6)
+    # laid end to end as the arrays are, so that a step copies none of them
+    assert np.array_equal(steps.g, np.concatenate([found[k].ravel() for k in p]))
+    assert all(np.shares_memory(found[k], steps.g) for k in p)
