@@ -19,7 +19,9 @@ fingerprint and a key of a few bytes.  No pair is emitted but true links, and a
 fingerprint has a bounded number of those: at most 32 * (1 + 32 + 496) + 5,489
 neighbours a segment, whatever the number of documents.  Components are found
 by the large-star / small-star algorithm on link tables written to the shared
-checkpoint folder; nothing but two numbers a round reaches the driver.
+checkpoint folder; nothing but two numbers a round reaches the driver.  Index and
+links are joined by sorting: their size is judged by the files they are made of, a
+small part of what they hold, so they would be broadcast far beyond the bound.
 
 Defined results: null and blank texts have fingerprint zero and are linked like
 any other; a text shorter than a shingle is hashed as one sequence; rows with
@@ -110,6 +112,11 @@ def _index(fps: DataFrame, max_bits: int) -> DataFrame:
     return fps.select("fp", "node", F.explode(F.array(*rows)).alias("k")).select("k.*", "fp", "node")
 
 
+def _sorted_in(df: DataFrame) -> DataFrame:
+    """The table, never to be broadcast by a join."""
+    return df.hint("merge")
+
+
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): pairs of nodes whose distinct fingerprints differ in 1 to ``max_bits`` bits."""
     index = _index(nodes, max_bits)
@@ -123,7 +130,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     paired = F.when(F.col("side") == 2, (F.col("side2") == 2) & (F.col("fp") < F.col("fp2"))).otherwise(
         F.col("side2") == 1)
     return left.join(
-        right, (F.col("slot") == F.col("slot2")) & (F.col("value") == F.col("value2")) & paired & near
+        _sorted_in(right), (F.col("slot") == F.col("slot2")) & (F.col("value") == F.col("value2")) & paired & near
     ).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
@@ -141,7 +148,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(
             F.col("b").alias("a"), F.col("a").alias("b"))  # (node, neighbour)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        joined = both.join(least, "a")
+        joined = both.join(_sorted_in(least), "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
         else:
@@ -168,7 +175,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     fps = written(spark, fingerprints(df, id_col, text_col, size), "simhash-fingerprints")
     nodes = written(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     found = components(spark, links(nodes, max_bits))
-    classes = nodes.join(found, "node", "left").select(
+    classes = nodes.join(_sorted_in(found), "node", "left").select(
         F.col("fp").alias("fp2"), F.coalesce("component", "node").alias("component_id"))
     return fps.join(classes, F.col("fp") == F.col("fp2"), "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -185,7 +192,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     fps = written(spark, fingerprints(named, "_row", text_col, size).distinct(), "simhash-rows")
     nodes = written(spark, fps.select("fp", F.col("fp").alias("node")).distinct(), "simhash-nodes")
     found = components(spark, links(nodes, max_bits))
-    of_row = fps.join(found, F.col("fp") == F.col("node"), "left").select(
+    of_row = fps.join(_sorted_in(found), F.col("fp") == F.col("node"), "left").select(
         F.col("doc_id").alias("_row"), F.coalesce("component", "fp").alias("_component"))
     first = named.select("_row", F.col(id_col).alias("_id")).distinct().join(of_row, "_row").groupBy("_component").agg(
         F.min(F.struct("_id", "_row"))["_row"].alias("_row"))

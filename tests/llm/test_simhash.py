@@ -81,6 +81,15 @@ def test_links_and_components_are_whole(spark):
         assert comp.get(first[f], first[f]) == brute[i]
 
 
+def test_the_index_is_never_broadcast(spark, tmp_path):
+    """66 index rows a fingerprint come from a file of some bytes a fingerprint, by which the planner judges them."""
+    spark.range(2_000).selectExpr("xxhash64(id) AS fp", "id AS node").write.parquet(f"{tmp_path}/nodes")
+    found = S.links(spark.read.parquet(f"{tmp_path}/nodes"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_edges_of_the_input(spark):
     rows = [(5, "the same words here", "c"), (2, "The SAME words here", None), (5, "the same words here", "d"),
             (9, None, "e"), (8, "", "f"), (None, "lost", "g"), (7, "something else entirely, quite another text", "h")]
